@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import chat, packing, quality, rules, simhash, urls
+from repolens.llm import chat, mixing, packing, quality, rules, simhash, urls
 from repolens.session import ship
 
 
@@ -25,6 +25,12 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_events(events.unionByName(extra)))
 
 
+def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mix of all sources."""
+    ship(spark)
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document by trees trained on labels outside the held-out fold."""
     ship(spark)
@@ -63,6 +69,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op4_mixing_sources": op4_mixing_sources,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op8_packing": op8_packing,
