@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import chat, mixing, packing, quality, rules, simhash, urls
+from repolens.llm import chat, mixing, neighbours, packing, quality, rules, simhash, urls
 from repolens.session import ship
 
 
@@ -25,6 +25,12 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_events(events.unionByName(extra)))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    ship(spark)
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mix of all sources."""
     ship(spark)
@@ -69,6 +75,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_mixing_sources": op4_mixing_sources,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
