@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import chat, mixing, neighbours, packing, quality, rules, simhash, urls
+from repolens.llm import chat, licenses, mixing, neighbours, packing, quality, rules, simhash, urls
 from repolens.session import ship
 
 
@@ -25,6 +25,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_events(events.unionByName(extra)))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families found in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every vector whose id is divisible by 20."""
     ship(spark)
@@ -75,6 +80,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_license_scan": op2_license_scan,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_mixing_sources": op4_mixing_sources,
     "op5_quality_classifier": op5_quality_classifier,
@@ -84,7 +90,13 @@ QUERIES = {
     "op10_url_filters": op10_url_filters,
 }
 
-ORACLE_SQL = {
+
+
+def oracle_sql() -> dict[str, str]:
+    return SQL | {"op2_license_scan": licenses.oracle()}
+
+
+SQL = {
     "op10_url_filters": r"""
 WITH parts AS (
   SELECT page_id, url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
