@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import chat, licenses, mixing, neighbours, packing, quality, rules, simhash, urls
+from repolens.llm import chat, licenses, lm, mixing, neighbours, packing, quality, rules, simhash, urls
 from repolens.session import ship
 
 
@@ -57,6 +57,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents")).drop("kept_words")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and trie scores of every document."""
+    ship(spark)
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids in windows of at most 4096."""
     import public_tokenizers
@@ -85,6 +91,7 @@ QUERIES = {
     "op4_mixing_sources": op4_mixing_sources,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_packing": op8_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_url_filters": op10_url_filters,
