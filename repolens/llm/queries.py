@@ -100,10 +100,17 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | {"op2_license_scan": licenses.oracle()}
+    return SQL | {"op2_license_scan": licenses.oracle(), "op6_quality_rules": rules.oracle()}
 
 
 SQL = {
+    "op1_chat_formatting": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+f AS (SELECT *, length(regexp_replace(text, '[\\\[<]', '--', 'g')) + CASE role WHEN 'system' THEN 14 WHEN 'user' THEN 16 WHEN 'assistant' THEN 12 ELSE 17 + length(regexp_replace(role, '[\\\]]', '--', 'g')) END AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id""",
     "op10_url_filters": r"""
 WITH parts AS (
   SELECT page_id, url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,

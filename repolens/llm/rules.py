@@ -34,7 +34,7 @@ BOILERPLATE = re.compile(
     r"|lorem ipsum|click here|sign in to|subscribe to our|share on (?:facebook|twitter)|page not found|skip to content",
     re.IGNORECASE,
 )
-NAVIGATION = re.compile(r"(?:^|\s)(?:[|»›>•·]|&gt;|::)(?=\s|$)")
+BARS = frozenset(("|", "»", "›", ">", "•", "·", "&gt;", "::"))
 _SPECIAL = r"[#*$%&|<>{}»›•·]|!!|::"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile("[" + re.escape(SYMBOLS) + "]")
@@ -52,7 +52,7 @@ def line_verdict(line: str, plain: bool = False) -> str:
     n = len(words)
     if not n:
         return ""
-    bars = len(NAVIGATION.findall(line))
+    bars = sum(map(BARS.__contains__, words))
     if bars * 5 >= n and "|" in line or bars * 3 >= n:
         return "navigation"
     if n <= 40 and BOILERPLATE.search(line):
@@ -187,3 +187,25 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield batch.filter(pa.array(measures(text_column(batch, text_col))["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def oracle() -> str:
+    """DuckDB SQL for judge() over ``documents`` (without kept_words)."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    bars, ends = ", ".join(map(quoted, sorted(BARS))), " OR ".join(f"ends_with(rtrim(x), {quoted(e)})" for e in TERMINAL)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i : i + 7] AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n >= 2),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(0, 8) ks(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d)),
+m AS (SELECT doc_id, x, w, len(w) AS n, len(list_filter(w, lambda v: v IN ({bars}))) AS bars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS symbols, (length(x) - length(replace(x, '!!', ''))) / 2 AS bangs,
+  len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS again FROM lines WHERE len(w) > 0),
+v AS (SELECT doc_id, x, n, (bars * 5 >= n AND contains(x, '|')) OR bars * 3 >= n OR (n <= 40 AND regexp_matches(x, {quoted('(?i)' + BOILERPLATE.pattern)})) OR (n >= 4 AND symbols * 4 >= n) OR (n >= 4 AND bangs * 4 >= n)
+  OR (n >= 8 AND again * 3 >= n) OR (n >= 4 AND contains(x, '{{') AND contains(x, '}}') AND contains(x, ';')) OR (n < 4 AND NOT ({ends})) AS gone FROM m),
+per AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines, coalesce(sum(n) FILTER (NOT gone), 0) AS kept_words FROM v GROUP BY doc_id),
+b AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(kept_words, 0) AS kept_words FROM d LEFT JOIN per USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * kept_words >= {MIN_KEPT_PERCENT} * n_words AS kept FROM b"""
