@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.functions import paths, scoring
 from repolens.functions.globs import first_match, glob_to_regex
-from repolens.operators import clones, graph, health, joins, liveness, post
+from repolens.operators import clones, graph, health, joins, liveness, post, resolve, sinks
+from repolens.plans.samples import REPOSITORIES
+from repolens.plans.scan import scan
 from repolens.session import ship
+from repolens.sources import repositories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,69 +33,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-EDGES_SQL = """e AS (SELECT DISTINCT 'u' || user_id AS src, 'u' || nxt AS dst FROM (
-  SELECT user_id, event_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL AND nxt <> user_id AND event_id % 29 = 3)"""
+EDGES_SQL = """e AS (SELECT DISTINCT 'p' || a AS src, 'p' || b AS dst FROM (SELECT p_partkey AS a, p_partkey // 3 AS b FROM part UNION ALL SELECT p_partkey // 3, p_partkey FROM part WHERE p_size <= 2) WHERE a <> b)"""
 
 
-def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between users whose events of a type follow each other, thinned to a sparse graph (part of the example, not a limit)."""
-    e = table(spark, sf_dir, "events")
-    following = e.withColumn("nxt", F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id")))
-    thin = following.filter("nxt is not null and nxt <> user_id and event_id % 29 = 3")
-    return thin.select(F.lit("events").alias("repo_id"), F.concat(F.lit("u"), "user_id").alias("src"), F.concat(F.lit("u"), "nxt").alias("dst")).distinct()
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of all parts: each points to that of a third its key, and small ones are pointed back to."""
+    third = F.floor(F.col("p_partkey") / 3)
+    part = table(spark, sf_dir, "part")
+    pairs = part.select(F.col("p_partkey").alias("a"), third.alias("b")).union(part.filter("p_size <= 2").select(third, "p_partkey"))
+    return graph.distinct_edges(pairs.select(F.lit("parts").alias("repo_id"), F.concat(F.lit("p"), "a").alias("src"), F.concat(F.lit("p"), "b").alias("dst")))
+
+
+def part_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of size 50 as production seeds, of size 49 as test seeds, both as seeds of all."""
+    node = F.concat(F.lit("p"), "p_partkey").alias("node")
+    s = table(spark, sf_dir, "part").filter("p_size >= 49").select(F.lit("parts").alias("repo_id"), F.when(F.col("p_size") == 49, "test").otherwise("prod").alias("seed_class"), node)
+    return s.union(s.select("repo_id", F.lit("all"), "node"))
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, r(node) AS (SELECT 'u1' UNION SELECT 'u2' UNION SELECT e.dst FROM r JOIN e ON r.node = e.src)
+@query(f"""WITH RECURSIVE {EDGES_SQL}, r(node) AS (SELECT 'p' || p_partkey FROM part WHERE p_size >= 49 UNION SELECT e.dst FROM r JOIN e ON r.node = e.src)
 SELECT node FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) n WHERE node NOT IN (SELECT node FROM r)""")
-def reach_unreachable_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that no seed reaches."""
-    edges = event_edges(spark, sf_dir)
-    seeds = spark.createDataFrame([("events", "all", "u1"), ("events", "all", "u2")], "repo_id string, seed_class string, node string")
+def reach_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that no seed reaches, by distributed rounds."""
+    edges = part_edges(spark, sf_dir)
     nodes = edges.select("repo_id", F.col("src").alias("node")).union(edges.select("repo_id", F.col("dst").alias("node"))).distinct()
+    seeds = part_seeds(spark, sf_dir).filter("seed_class = 'all'")
     return liveness.absent(nodes, graph.reachable(edges, seeds), ["repo_id", "node"]).select("node")
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, seeds AS (SELECT DISTINCT CASE event_type WHEN 'view' THEN 'test' ELSE 'prod' END AS seed_class, 'u' || user_id AS node FROM events WHERE event_type IN ('view', 'purchase') AND event_id % 97 = 5),
+@query(f"""WITH RECURSIVE {EDGES_SQL}, seeds AS (SELECT CASE p_size WHEN 49 THEN 'test' ELSE 'prod' END AS seed_class, 'p' || p_partkey AS node FROM part WHERE p_size >= 49),
 r(seed_class, node) AS (SELECT seed_class, node FROM seeds UNION SELECT 'all', node FROM seeds UNION SELECT r.seed_class, e.dst FROM r JOIN e ON r.node = e.src)
 SELECT node, CAST(bool_or(seed_class = 'all') AS BOOLEAN) AS live, bool_or(seed_class = 'prod') AS prod, bool_or(seed_class = 'test') AS test FROM r GROUP BY node""")
 def reach_three_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reachability from all, production and test seeds in the same rounds."""
+    """Reachability from all, production and test seeds, a repository at a time."""
     ship(spark)
-    events = table(spark, sf_dir, "events").filter("event_type in ('view', 'purchase') and event_id % 97 = 5")
-    seeds = events.select(F.lit("events").alias("repo_id"), F.when(F.col("event_type") == "view", "test").otherwise("prod").alias("seed_class"), F.concat(F.lit("u"), "user_id").alias("node")).distinct()
-    seeds = seeds.union(seeds.select("repo_id", F.lit("all"), "node")).distinct()
-    reach = graph.reachable_per_repo(event_edges(spark, sf_dir), seeds)
+    reach = graph.reachable_per_repo(part_edges(spark, sf_dir), part_seeds(spark, sf_dir))
     return reach.groupBy("node").agg(*[F.bool_or(F.col("seed_class") == k).alias(n) for k, n in (("all", "live"), ("prod", "prod"), ("test", "test"))])
 
 
-SPARSE_SQL = EDGES_SQL.replace("event_id % 29 = 3", "event_id % 41 = 3")
-
-
-@query(f"""WITH RECURSIVE {SPARSE_SQL}, c(a, b) AS (SELECT src, dst FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON c.b = e.src),
+@query(f"""WITH RECURSIVE {EDGES_SQL}, c(a, b) AS (SELECT src, dst FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON c.b = e.src),
 s AS (SELECT x.a AS node, least(x.a, min(x.b)) AS comp, count(DISTINCT x.b) AS size FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
 SELECT node, comp, CAST(size AS INTEGER) AS size FROM s WHERE size > 1""")
 def scc_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of each cycle group."""
     ship(spark)
-    e = table(spark, sf_dir, "events")
-    following = e.withColumn("nxt", F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))).filter("nxt is not null and nxt <> user_id and event_id % 41 = 3")
-    edges = following.select(F.lit("events").alias("repo_id"), F.concat(F.lit("u"), "user_id").alias("src"), F.concat(F.lit("u"), "nxt").alias("dst"))
-    return graph.strong_components(edges).select("node", "comp", "size")
+    return graph.strong_components(part_edges(spark, sf_dir)).select("node", "comp", "size")
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, t AS (SELECT DISTINCT 'u' || user_id AS node FROM events WHERE event_type = 'view' AND event_id % 499 = 5),
-r(node) AS (SELECT node FROM t UNION SELECT e.dst FROM r JOIN e ON r.node = e.src),
-n AS (SELECT 'u' || user_id AS node, count(*) AS cc FROM events GROUP BY user_id),
-v AS (SELECT node, cc, CASE WHEN node IN (SELECT dst FROM e WHERE src IN (SELECT node FROM t)) THEN 85.0 WHEN node IN (SELECT node FROM r) THEN 40.0 ELSE 0.0 END::DOUBLE AS coverage FROM n)
+@query(f"""WITH RECURSIVE {EDGES_SQL}, t AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size = 49), r(node) AS (SELECT node FROM t UNION SELECT e.dst FROM r JOIN e ON r.node = e.src),
+v AS (SELECT 'p' || p_partkey AS node, p_size AS cc, CASE WHEN 'p' || p_partkey IN (SELECT dst FROM e WHERE src IN (SELECT node FROM t)) THEN 85.0 WHEN 'p' || p_partkey IN (SELECT node FROM r) THEN 40.0 ELSE 0.0 END::DOUBLE AS coverage FROM part)
 SELECT node, cc, coverage, round(cc * cc * pow(1 - coverage / 100, 3) + cc, 4) AS crap FROM v""")
 def direct_vs_transitive_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage estimated from test imports, and the change risk that follows."""
     ship(spark)
-    events = table(spark, sf_dir, "events")
-    edges = event_edges(spark, sf_dir)
-    node = F.concat(F.lit("u"), "user_id")
-    tests = events.filter("event_type = 'view' and event_id % 499 = 5").select(F.lit("events").alias("repo_id"), node.alias("path")).distinct()
-    files = events.groupBy(node.alias("path")).agg(F.count(F.lit(1)).alias("cc")).withColumn("repo_id", F.lit("events"))
+    edges = part_edges(spark, sf_dir)
+    files = table(spark, sf_dir, "part").select(F.lit("parts").alias("repo_id"), F.concat(F.lit("p"), "p_partkey").alias("path"), F.col("p_size").alias("cc"))
+    tests = files.join(part_seeds(spark, sf_dir).filter("seed_class = 'test'").select("repo_id", F.col("node").alias("path")), ["repo_id", "path"], "left_semi")
     reach = graph.reachable_per_repo(edges, tests.select("repo_id", F.lit("test").alias("seed_class"), F.col("path").alias("node")))
     covered = graph.test_coverage(files, edges, reach, tests)
     return files.join(covered, ["repo_id", "path"]).select(F.col("path").alias("node"), "cc", "coverage", F.round(scoring.crap(F.col("cc"), F.col("coverage")), 4).alias("crap"))
@@ -395,3 +391,97 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("user_id", "began", "n")
 
 
+
+
+@query("SELECT rule || ':' || file AS line FROM (SELECT DISTINCT '::' || CASE WHEN event_type = 'error' THEN 'error' ELSE 'warning' END || ' file=u' || user_id || ',line=' || date_part('hour', ts) || '::[' || event_type || '] m' AS rule, user_id AS file FROM events)")
+def annotations_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as annotation commands."""
+    f = event_findings(spark, sf_dir).withColumn("severity", F.when(F.col("rule") == "error", 2).otherwise(1)).withColumn("message", F.lit("m"))
+    lines = sinks.to_annotations(f.select("repo_id", "severity", "file", "start_line", "rule", "message")).distinct()
+    return lines.select(F.concat("line", F.lit(":"), F.regexp_extract("line", r"file=u(\d+)", 1)).alias("line"))
+
+
+@query("SELECT 'r' || (user_id % 10) AS repo_id, max(CASE WHEN event_id % 3 = 0 AND event_type = 'error' THEN 1 ELSE 0 END) AS exit_code FROM events GROUP BY 1")
+def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which repositories fail at the error threshold."""
+    f = table(spark, sf_dir, "events").select(F.concat(F.lit("r"), (F.col("user_id") % 10).cast("string")).alias("repo_id"), F.when((F.col("event_id") % 3 == 0) & (F.col("event_type") == "error"), 2).otherwise(1).alias("severity"))
+    return post.exit_codes(f)
+
+
+@query("""WITH p AS (SELECT DISTINCT string_split(regexp_extract(url, '://[^/]*/([^?#]*)', 1), '/') AS x FROM pages)
+SELECT array_to_string(x[1 : 1], '/') AS bucket, count(*) AS files FROM (SELECT CASE WHEN len(x) > 1 THEN x ELSE [regexp_replace(x[1], '(.)\\.[^.]*$', '\\1')] END AS x FROM p) GROUP BY 1""")
+def bucket_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by their first path segment below the root."""
+    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://[^/]*/([^?#]*)", 1).alias("path")).distinct()
+    return p.groupBy(graph.bucket_of(F.col("path"), F.lit(""), 1).alias("bucket")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("""WITH f AS (SELECT p_partkey, p_size AS cyc, p_size % 17 AS cog, CASE p_partkey % 3 WHEN 0 THEN 85.0 WHEN 1 THEN 40.0 ELSE 0.0 END::DOUBLE AS cov FROM part), c AS (SELECT *, round((cyc * cyc * pow(1 - cov / 100, 3) + cyc) * 10) / 10 AS crap FROM f)
+SELECT p_partkey, crap, CASE WHEN crap >= 500 OR cyc >= 50 OR cog >= 50 THEN 'CRITICAL' WHEN crap >= 100 OR cyc >= 30 OR cog >= 30 THEN 'HIGH' WHEN crap >= 30 THEN 'ELEVATED' ELSE 'OVER' END AS band FROM c WHERE cyc > 20 OR cog > 15 OR crap >= 30""")
+def complexity_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions over their limits, with risk and triage band."""
+    f = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("cyc"), (F.col("p_size") % 17).alias("cog"), F.when(F.col("p_partkey") % 3 == 0, 85.0).when(F.col("p_partkey") % 3 == 1, 40.0).otherwise(0.0).alias("cov"))
+    f = f.withColumn("crap", scoring.round1(scoring.crap(F.col("cyc"), F.col("cov")))).filter("cyc > 20 or cog > 15 or crap >= 30")
+    return f.select("p_partkey", "crap", scoring.band(F.col("cyc"), F.col("cog"), F.col("crap")).alias("band"))
+
+
+NAMES_SQL = "n AS (SELECT p_partkey, 'src/' || CASE p_partkey % 9 WHEN 0 THEN '__init__.py' WHEN 1 THEN 'x.d.ts' WHEN 2 THEN 'vite.config.ts' WHEN 3 THEN '.eslintrc.js' WHEN 4 THEN 'Page.TSX' WHEN 5 THEN 'a.css' WHEN 6 THEN 'stub.pyi' WHEN 7 THEN 'm.mjs' ELSE 'plain.py' END AS path FROM part)"
+
+
+@query(f"WITH {NAMES_SQL} SELECT p_partkey, CASE p_partkey % 9 WHEN 1 THEN 'TypeScript' WHEN 2 THEN 'TypeScript' WHEN 3 THEN 'JavaScript' WHEN 5 THEN 'Css' WHEN 7 THEN 'JavaScript' WHEN 4 THEN NULL ELSE 'Python' END AS language, CASE WHEN p_partkey % 9 = 0 THEN 'PackageInit' WHEN p_partkey % 9 IN (1, 6) THEN 'TypeDecl' WHEN p_partkey % 9 IN (2, 3) THEN 'Config' ELSE 'Source' END AS role FROM n")
+def file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language by extension and role by name."""
+    names = ["__init__.py", "x.d.ts", "vite.config.ts", ".eslintrc.js", "Page.TSX", "a.css", "stub.pyi", "m.mjs", "plain.py"]
+    n = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("src/"), F.get(F.array(*[F.lit(x) for x in names]), (F.col("p_partkey") % 9).cast("int"))).alias("path"))
+    return n.select("p_partkey", repositories.language().alias("language"), repositories.role().alias("role"))
+
+
+@query("""WITH s AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '@acme/' || p_size || '/deep/x' WHEN 1 THEN 'pkg' || p_size || '/sub' WHEN 2 THEN 'yaml.nodes' WHEN 3 THEN 'os.path' ELSE 'cv2' END AS spec FROM part)
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN regexp_extract(spec, '^(@[^/]*/[^/]*)', 1) WHEN 1 THEN string_split(spec, '/')[1] WHEN 2 THEN 'pyyaml' WHEN 3 THEN 'os' ELSE 'opencv-python' END AS dep FROM s""")
+def external_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distribution an import comes from."""
+    k = F.col("p_partkey") % 5
+    spec = F.when(k == 0, F.concat(F.lit("@acme/"), "p_size", F.lit("/deep/x"))).when(k == 1, F.concat(F.lit("pkg"), "p_size", F.lit("/sub"))).when(k == 2, "yaml.nodes").when(k == 3, "os.path").otherwise("cv2")
+    return table(spark, sf_dir, "part").select("p_partkey", resolve.external_name(spec, F.when(k < 2, "TypeScript").otherwise("Python")).alias("dep"))
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+') AS w FROM documents), p AS (SELECT doc_id, i AS pos FROM t, LATERAL (SELECT unnest(range(0, len(w))) AS i) WHERE length(w[i + 1]) > 9)
+SELECT doc_id, count(*) AS kept FROM (SELECT doc_id, pos, list_reduce(list_prepend(-1000, list_sort(list(pos) OVER (PARTITION BY doc_id))), lambda a, x: CASE WHEN x <= pos AND x >= a + 5 THEN x ELSE a END) AS last FROM p) WHERE last = pos GROUP BY doc_id""")
+def clone_overlap_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy removal of blocks of five that overlap an earlier kept one, as a fold over sorted starts (an example on long words)."""
+    words = F.regexp_extract_all("text", F.lit(r"([^ \t\n\r\f\x0B]+)"), 1)
+    t = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.transform(words, lambda w, i: F.when(F.length(w) > 9, i)), lambda x: x.isNotNull()).alias("starts"))
+    kept = F.aggregate("starts", F.struct(F.lit(-1000).alias("last"), F.lit(0).cast("long").alias("n")), lambda acc, x: F.when(x >= acc["last"] + 5, F.struct(x.alias("last"), (acc["n"] + 1).alias("n"))).otherwise(acc))
+    return t.filter("size(starts) > 0").select("doc_id", kept["n"].alias("kept"))
+
+
+def _samples(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(r, p, t.encode()) for r, files in REPOSITORIES.items() for p, t in files.items()], "repo_id string, path string, content binary")
+
+
+@query()
+def scan_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that the front-ends extract from the sample repositories, counted by kind."""
+    ship(spark)
+    facts = repositories.extract_facts(repositories.source_files(repositories.walk(_samples(spark))))
+    return facts.select("repo_id", "path", "loc", *[F.size(c).alias(c) for c in ("symbols", "imports", "exports", "refs", "member_access", "markers", "suppressions", "annotations", "strings", "functions", "calls", "css_tokens", "css_var_refs", "css_classes", "css_class_refs")])
+
+
+@query()
+def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over the sample repositories, in one job."""
+    return post.ordered(scan(_samples(spark)).findings)
+
+
+@query()
+def sarif_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SARIF log per repository of weighted findings."""
+    f = weighted_findings(spark, sf_dir).withColumn("message", F.col("rule")).withColumn("reason", F.lit("r"))
+    return sinks.to_sarif(f)
+
+
+@query()
+def clone_groups_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clones up to consistent renaming in the sample repositories."""
+    ship(spark)
+    return clones.clone_groups(repositories.token_streams(repositories.source_files(_samples(spark))), 20, "semantic").select("repo_id", "family", "length", "fingerprint", F.size("members").alias("members"))

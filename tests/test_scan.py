@@ -2,7 +2,7 @@ import pytest
 
 from repolens.plans.scan import scan
 from repolens.sources import config as cfg
-from tests.repositories import REPOSITORIES
+from repolens.plans.samples import REPOSITORIES
 
 CONFIG = cfg.parse(
     """

@@ -7,7 +7,7 @@ from repolens.operators import draw, fix, sinks
 from repolens.sources import config as cfg
 from repolens.streaming.rescan import CHANGES, Rescanner, watch
 from repolens.plans.scan import scan
-from tests.repositories import REPOSITORIES
+from repolens.plans.samples import REPOSITORIES
 
 
 @pytest.fixture(scope="module")
