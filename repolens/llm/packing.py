@@ -1,7 +1,7 @@
 """Packing token sequences into windows (operator 8) by Karmarkar-Karp multiway differencing.
 
 Documents are tokenised in Arrow batches (each distinct whitespace chunk once), cut into whole windows and a
-remainder, and the remainders of a unit of documents are spread over near-equal windows: partial partitions
+remainder, and the remainders of a unit of documents, in parts, are spread over near-equal windows: partial partitions
 are merged largest difference first, the fullest window of one with the emptiest of the other. The window
 count starts at the least possible and rises while a window exceeds the capacity.
 
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from repolens.llm.text import bytes_list, sliced, text_column
 
-#: Remainders that are differenced together at most.
+#: Remainders that are differenced together at most, and the longest part that they are cut into (of equal length):
+#: smaller parts make windows more alike.
 UNIT = 512
+PART = 1024
 #: Chunks whose ids a worker remembers at most.
 CACHE = 400_000
 
@@ -161,11 +163,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: i
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 36
         sequence = 0
-        rest: list[tuple] = []  # doc, start, ids, doc_tokens: remainders that wait for their unit
+        rest: list[tuple] = []  # doc, start, ids, doc_tokens: parts of remainders that wait for their unit
+        waiting = 0
         rows: list[tuple] = []
 
         def flush() -> None:
-            nonlocal sequence
+            nonlocal sequence, waiting
+            waiting = 0
             for window in pack([len(x[2]) for x in rest], capacity):
                 at = 0
                 for i in window:
@@ -197,8 +201,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: i
                     rows.append((doc, start, flat[a + start : a + start + capacity], n, base + sequence, 0))
                     sequence += 1
                 if n > whole:
-                    rest.append((doc, whole, flat[a + whole : b], n))
-                    if len(rest) == unit:
+                    cuts = np.linspace(whole, n, -(-(n - whole) // PART) + 1).astype(np.int64).tolist()
+                    rest += [(doc, x, flat[a + x : a + y], n) for x, y in zip(cuts, cuts[1:])]
+                    waiting += 1
+                    if waiting == unit:
                         flush()
             if rows:
                 yield batch_of()
