@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -103,41 +102,45 @@ def clone_groups(files: DataFrame, min_tokens: int = 30, mode: str = "mild", ski
 
     mode: exact, mild (numbers alike), weak (strings too) or semantic (identifiers too, up to consistent renaming).
     files needs ``kinds array<string>`` (ident, num, str, punct) and ``texts array<string>`` beside lines and ends.
+
+    A group is as long as all members agree with its first one: every member is compared with that pivot in a row of
+    its own, so that a block in a hundred thousand files is spread over tasks; only (path, line) pairs are gathered.
     """
     alike = {"exact": [], "mild": ["num"], "weak": ["num", "str"], "semantic": ["num", "str", "ident"]}[mode]
-    sym = F.zip_with("texts", "kinds", lambda t, k: F.when(k.isin(alike), F.concat(F.lit("\u0001"), k)).otherwise(F.concat(k, F.lit("\u0002"), t)) if alike else F.concat(k, F.lit("\u0002"), t))
-    coded = files.withColumn("syms", sym)
+    plain = lambda t, k: F.concat(k, F.lit("\u0002"), t)
+    sym = F.zip_with("texts", "kinds", lambda t, k: F.when(k.isin(alike), F.concat(F.lit("\u0001"), k)).otherwise(plain(t, k)) if alike else plain(t, k))
+    coded = files.withColumn("syms", sym).withColumn("order", F.split("path", "/"))
+    group = ["repo_id", "family", "h1", "h2"]
     found = windows(coded, min_tokens, ["repo_id", "family", "path"])
-    good = left_maximal(repeated(found, ["repo_id", "family"])).select("repo_id", "family", "h1", "h2")
-    places = found.join(good, ["repo_id", "family", "h1", "h2"]).select("repo_id", "family", "h1", "h2", "path", "start")
-    # each member brings its tokens from the window on; a group's members meet in one task
-    tail = coded.select("repo_id", "family", "path", "syms", "texts", "kinds", "lines", "ends")
-    members = places.join(tail, ["repo_id", "family", "path"])
-
-    def extend(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("start", kind="stable")
-        g = g.iloc[sorted(range(len(g)), key=lambda i: (g["path"].iloc[i].split("/"), g["start"].iloc[i]))]
-        rows = list(g.itertuples(index=False))
-        length = min_tokens
-        room = min(len(r.syms) - r.start for r in rows)
-        while length < room and len({r.syms[r.start + length] for r in rows}) == 1:
-            length += 1
-        kept = []
-        for path in dict.fromkeys(r.path for r in rows):
-            mine = {r.start: r for r in rows if r.path == path}
-            kept += [mine[s] for s in without_overlap(list(mine), length)]
-        kept = [r for r in kept if sum(r.ends[r.start : r.start + length]) >= 2]
-        classes: dict[tuple, list] = {}
-        for r in kept:
-            names = [t if k == "ident" else "" for t, k in zip(r.texts[r.start : r.start + length], r.kinds[r.start : r.start + length])]
-            classes.setdefault(alpha_key(names) if mode == "semantic" else (), []).append(r)
-        out = []
-        for same in list(classes.values()) if all_classes else list(classes.values())[:1]:
-            if len(same) < 2 or skip_local and len({r.path.rpartition("/")[0] for r in same}) < 2:
-                continue
-            print_ = xxhash.xxh64_intdigest("\u0003".join(same[0].syms[same[0].start : same[0].start + length])) & 0xFFFFFFFF
-            out.append((same[0].repo_id, same[0].family, length, [{"path": r.path, "start": int(r.start), "start_line": int(r.lines[r.start]), "end_line": int(r.lines[r.start + length - 1])} for r in same], f"{print_:08x}"))
-        return pd.DataFrame(out, columns=["repo_id", "family", "length", "members", "fingerprint"])
-
-    schema = "repo_id string, family string, length int, members array<struct<path:string,start:int,start_line:int,end_line:int>>, fingerprint string"
-    return members.groupBy("repo_id", "family", "h1", "h2").applyInPandas(extend, schema).dropDuplicates(["repo_id", "family", "fingerprint", "length"])
+    good = left_maximal(repeated(found, ["repo_id", "family"])).select(*group)
+    places = found.join(good, group).select(*group, "path", "start")
+    rest = lambda c: F.expr(f"slice({c}, start + 1, size({c}))")
+    names = F.zip_with(rest("texts"), rest("kinds"), lambda t, k: F.when(k == "ident", t).otherwise(""))
+    members = places.join(coded.select("repo_id", "family", "path", "order", "syms", "texts", "kinds", "lines", "ends"), ["repo_id", "family", "path"])
+    members = members.select(*group, "path", "order", "start", rest("syms").alias("syms"), names.alias("names"), rest("lines").alias("lines"), rest("ends").alias("ends"))
+    # how far each member agrees with the pivot; the group's length is the least of these
+    pivot = members.groupBy(*group).agg(F.min_by("syms", F.struct("order", "start")).alias("pivot"))
+    both = members.join(pivot, group).withColumn("most", F.least(F.size("syms"), F.size("pivot")))
+    other = F.array_position(F.zip_with(F.expr("slice(syms, 1, most)"), F.expr("slice(pivot, 1, most)"), lambda x, y: x == y), F.lit(False))
+    agreed = both.withColumn("agree", F.when(other == 0, F.col("most").cast("long")).otherwise(other - 1)).drop("pivot", "most")
+    length = agreed.groupBy(*group).agg(F.min("agree").cast("int").alias("length"))
+    cut = agreed.drop("agree").join(length, group)
+    # of one file's overlapping blocks the greedy choice from the left stays
+    starts = cut.groupBy(*group, "path", "length").agg(F.array_sort(F.collect_set("start")).alias("s"))
+    keep = F.aggregate("s", F.array().cast("array<int>"), lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.try_element_at(acc, F.lit(-1)) + F.col("length")), F.concat(acc, F.array(x))).otherwise(acc))
+    kept = cut.join(starts.select(*group, "path", F.explode(keep).alias("start")), [*group, "path", "start"])
+    block = lambda c: F.expr(f"slice({c}, 1, length)")
+    kept = kept.filter(F.size(F.filter(block("ends"), lambda e: e)) >= 2)
+    first = F.transform(block("names"), lambda n: F.when(n != "", F.array_position(F.col("shown"), n).cast("string")).otherwise(""))
+    kept = kept.withColumn("shown", block("names")).withColumn("alpha", F.xxhash64(F.array_join(first, ",")) if mode == "semantic" else F.lit(0).cast("long"))
+    member = F.struct("path", "start", F.get("lines", F.lit(0)).alias("start_line"), F.get("lines", F.col("length") - 1).alias("end_line"))
+    prints = F.format_string("%08x", F.xxhash64(F.array_join(block("syms"), "\u0003")).bitwiseAND(F.lit(0xFFFFFFFF)))
+    classes = kept.withColumn("member", member).withColumn("fingerprint", prints).groupBy(*group, "length", "alpha", "fingerprint").agg(
+        F.array_sort(F.collect_list(F.struct("order", "start", "member"))).alias("m"), F.count_distinct(F.regexp_replace("path", "[^/]*$", "")).alias("dirs"), F.min(F.struct("order", "start")).alias("head"))
+    if not all_classes:  # the class of the group's first member only
+        best = classes.groupBy(*group).agg(F.min("head").alias("head"))
+        classes = classes.join(best, [*group, "head"], "left_semi")
+    classes = classes.filter(F.size("m") >= 2)
+    if skip_local:
+        classes = classes.filter("dirs > 1")
+    return classes.select("repo_id", "family", "length", F.col("m.member").alias("members"), "fingerprint").dropDuplicates(["repo_id", "family", "fingerprint", "length"])

@@ -26,12 +26,14 @@ def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) ->
     """
     edges = materialize(distinct_edges(edges), "edges")
     visited = frontier = materialize(seeds.select("repo_id", "seed_class", "node").distinct(), "reach")
-    for _ in range(most_rounds):
+    for turn in range(most_rounds):
         found = frontier.join(edges, (frontier.repo_id == edges.repo_id) & (frontier.node == edges.src)).select(frontier.repo_id, "seed_class", F.col("dst").alias("node")).distinct()
         frontier = materialize(found.join(visited, ["repo_id", "seed_class", "node"], "left_anti"), "reach")
         if frontier.isEmpty():
             return visited
         visited = visited.unionByName(frontier)
+        if turn % 8 == 7:  # else the plan reads a table for every round so far
+            visited = materialize(visited, "reach")
     raise RuntimeError("reachability did not settle")
 
 

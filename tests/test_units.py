@@ -124,3 +124,36 @@ def test_front_ends_never_fail(text, path):
 def test_lexer_keeps_comments_apart():
     lexer = Lexer("a // x\n/* y\n */ b", False)
     assert [t.text for t in lexer.tokens()] == ["a", "b"] and [(c, a, b) for c, a, b in lexer.comments] == [("// x", 1, 1), ("/* y\n */", 2, 3)]
+
+
+def naive_clones(files, size):
+    groups = {}
+    for p, s in files.items():
+        for i in range(len(s) - size + 1):
+            groups.setdefault(tuple(s[i : i + size]), []).append((p, i))
+    out = set()
+    for places in groups.values():
+        if len(places) < 2 or len({files[p][i - 1] if i else ("start", p) for p, i in places}) < 2:
+            continue
+        length = size
+        while all(i + length < len(files[p]) for p, i in places) and len({files[p][i + length] for p, i in places}) == 1:
+            length += 1
+        kept = []
+        for path in sorted({p for p, _ in places}):
+            kept += [(path, i) for i in clones.without_overlap([i for p, i in places if p == path], length)]
+        if len(kept) >= 2:
+            out.add((length, tuple(kept)))
+    return out
+
+
+def test_clone_groups_against_naive_search(spark):
+    import random
+
+    rng = random.Random(4)
+    schema = "repo_id string, family string, path string, texts array<string>, kinds array<string>, lines array<int>, ends array<boolean>"
+    every = {f"r{k}": {f"d/f{j}": [rng.choice("abc") for _ in range(rng.randint(0, 40))] for j in range(4)} for k in range(5)}
+    df = spark.createDataFrame([(r, "js", p, s, ["punct"] * len(s), list(range(len(s))), [True] * len(s)) for r, files in every.items() for p, s in files.items()], schema)
+    rows = clones.clone_groups(df, 4, "exact").collect()
+    for repo, files in every.items():
+        got = {(r["length"], tuple((m["path"], m["start"]) for m in r["members"])) for r in rows if r["repo_id"] == repo}
+        assert got == naive_clones(files, 4)
