@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 from pathlib import Path
 
 from repolens.operators import draw, fix, post, sinks
@@ -61,6 +62,8 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         chosen = [n for n in names if chosen is None or n in chosen]
     config = cfg.load(str(settings))
+    own = [*sorted((root / ".repolens" / "plugins").glob("*.toml")), *sorted(root.glob("repolens-plugin-*.toml"))]
+    config = replace(config, plugins=(*config.plugins, *map(str, own)))
     spark = build_session(master="local[*]")
     tree = read_tree(spark, str(root.resolve()), root.resolve().name)
     keys = Path(a.baseline or root / ".repolens-baseline.json")

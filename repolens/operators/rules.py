@@ -124,7 +124,11 @@ def exports(w: Workspace) -> DataFrame:
     own = w.files.join(w.reach.select("repo_id", "path", "live"), ["repo_id", "path"], "left")
     s = w.each("symbols", "s").filter("s.exported and s.kind not in ('EnumMember', 'Field', 'Parameter')").join(own, ["repo_id", "path"]).withColumn("name", F.col("s.name"))
     s = s.filter("s.visibility is null or s.visibility <> 'Public'")
-    s = flag(s, w.used.filter("name <> '*'"), ["repo_id", "path", "name"], "by_name")
+    named = w.used.filter("name <> '*'")
+    if not w.config.strict_parity:  # importing the default uses what the default stands for
+        behind = w.each("exports", "e").filter("e.kind = 'Default' and e.source is not null").select("repo_id", "path", F.col("e.source").alias("name"))
+        named = named.unionByName(behind.join(w.used.filter("name = 'default'"), ["repo_id", "path"], "left_semi"))
+    s = flag(s, named, ["repo_id", "path", "name"], "by_name")
     s = flag(s, w.used.filter("name = '*'"), ["repo_id", "path"], "by_star").withColumn("used", F.col("by_name") | F.col("by_star"))
     stale = s.filter("s.visibility = 'ExpectedUnused' and used").select(*finding("expected-unused-but-used", F.col("path"), F.format_string("'%s' is tagged as unused but is imported.", "name"), "drop the tag", symbol=symbol_id(), first=F.col("s.start_line"), last=F.col("s.end_line")))
     handlers = w.each("markers", "m").filter("m.kind = 'Decorator' and m.on_symbol is not null").join(w.files.select("repo_id", "path", "pkg_root"), ["repo_id", "path"]).join(w.packages.select("repo_id", F.col("root").alias("pkg_root"), "route_decorators"), ["repo_id", "pkg_root"])
@@ -152,7 +156,9 @@ def symbols(w: Workspace) -> DataFrame:
 
 @rule("unused-import")
 def unused_imports(w: Workspace) -> DataFrame:
-    i = w.imports.filter("not is_reexport and role <> 'PackageInit'").select("repo_id", "path", "specifier", "start_line", "end_line", F.explode("names.local").alias("name"))
+    i = w.imports.filter("not is_reexport and role <> 'PackageInit'").select("repo_id", "path", "specifier", "kind", "start_line", "end_line", F.explode("names.local").alias("name"))
+    if not w.config.strict_parity:  # require() and import() bind no name of their own
+        i = i.filter("kind = 'Static' or name <> 'default'")
     refs = w.each("refs", "name")
     return absent(i, refs, ["repo_id", "path", "name"]).select(*finding("unused-import", F.col("path"), F.format_string("Import '%s' from '%s' is never used.", "name", "specifier"), "the file does not refer to it", first=F.col("start_line"), last=F.col("end_line"), symbol=None))
 

@@ -59,6 +59,11 @@ REPOSITORIES = {
         "src/b.ts": "export function price(rows: number[]) {\n  let acc = 0;\n  for (const row of rows) { acc += row * 2; }\n  if (acc > 10) { return acc; }\n  return 0;\n}\n",
         "src/c.py": "def f(x):\n    return x\n",
     },
+    "defaults": {
+        "index.ts": 'import run from "./run";\nconst fs = require("fs");\nrun(fs, import("./lazy"));\n',
+        "run.ts": "export default function go(a, b) { return [a, b]; }\nexport const spare = 1;\n",
+        "lazy.ts": "export const all = 1;\n",
+    },
     "policy": {
         "src/domain/model.ts": 'import axios from "axios";\nimport { db } from "../infra/db";\naxios.get(db);\neval("1");\n',
         "src/infra/db.ts": "export const db = 1;\n",

@@ -57,6 +57,8 @@ class Config:
     entry_points: tuple[str, ...] = ()
     plugins: tuple[str, ...] = ()
     baseline: str | None = None
+    #: Default imports use only the name ``default``, and require() and import() bind it: two known false alarms.
+    strict_parity: bool = False
 
 
 def _level(value: object, default: int = 1) -> int:

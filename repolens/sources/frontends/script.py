@@ -232,8 +232,13 @@ class Script:
                     f.export(local, is_type=is_type, first=self.line(i), last=self.end_line(end - 1))
             return
         if self.text(j) == "default":
-            f.export("default", "Default", first=self.line(i), last=self.line(i))
             j += 1
+            k = j
+            while self.text(k) in ("async", "abstract", "function", "class", "*"):
+                k += 1
+            # the declared or named thing behind the default, kept as its source
+            local = self.t[k].text if self.is_name(k) and (k > j or self.text(k + 1) not in (".", "(", "?.", "=>", "[")) else None
+            f.export("default", "Default", local, first=self.line(i), last=self.line(i))
         while self.text(j) in ("async", "abstract", "declare"):
             j += 1
         word = self.text(j)

@@ -102,6 +102,10 @@ def test_duplicates(result):
     assert len(found) == 1 and found[0]["file"] == "src/a.ts" and "src/b.ts:1" in found[0]["message"]
 
 
+def test_defaults(result):
+    assert of(result, "defaults", "unused-export", "unused-import", "unused-file") == [("unused-export", "run.ts::spare", "run.ts", 2)]
+
+
 def test_policy_and_boundaries(result):
     assert files(result, "policy", "banned-import") == [("src/domain/model.ts", 2)]
     assert files(result, "policy", "banned-call") == [("src/domain/model.ts", 2)]
