@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 BLOCK = 32
 MAX_SOURCES = 1000
 #: Rows in a hash bucket of a source, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1000
 
 
 def period(weights: list[int]) -> list[int]:
