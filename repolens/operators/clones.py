@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,27 +47,43 @@ def window_hashes(tokens: np.ndarray, size: int, factor: int) -> np.ndarray:
         return mixed ^ (mixed >> np.uint64(29))
 
 
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every token of lists, or of the white-space words of texts, and the number of tokens of each row."""
+    if not pa.types.is_list(column.type):
+        column = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.fill_null(column.flatten(), "")
+    if pa.types.is_string(flat.type) and len(flat):
+        full = pc.not_equal(pc.binary_length(flat), 0)
+        if not pc.all(full).as_py():
+            row = np.repeat(np.arange(len(size)), size)[full.to_numpy(zero_copy_only=False)]
+            size, flat = np.bincount(row, minlength=len(size)), flat.filter(full)
+    coded = flat.dictionary_encode()
+    each = np.fromiter((xxhash.xxh64_intdigest(x) for x in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    return each[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64), size
+
+
 def windows(files: DataFrame, size: int, key: list[str], syms: str = "syms") -> DataFrame:
-    """key columns, start (from 0), h1, h2, prev: a row per window; prev is null at a file's start."""
-    from pyspark.sql.pandas.types import to_arrow_type
+    """key columns, start (from 0), h1, h2, prev: a row per window; prev is null at a file's start.
+
+    ``syms`` is an array of tokens, or a text whose white-space words are the tokens. Empty tokens do not count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(len(key))
-            for i in range(batch.num_rows):
-                if not column[i].is_valid or len(column[i]) < size:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
+                t, many = _tokens(batch.column(len(key)))
+                ends = np.cumsum(many)
+                row = np.repeat(np.arange(batch.num_rows), many)
+                at = np.flatnonzero(np.arange(len(t)) + size <= ends[row])
+                if not len(at):
                     continue
-                coded = column[i].values.dictionary_encode()
-                each = np.array([xxhash.xxh64_intdigest(x or "") for x in coded.dictionary.to_pylist()], dtype=np.uint64)
-                t = each[coded.indices.to_numpy(zero_copy_only=False)]
-                a = window_hashes(t, size, 0xD6E8FEB86659FD93)
-                b = window_hashes(t, size, 0xA0761D6478BD642F)
-                n = len(a)
-                prev = np.concatenate(([0], t[: n - 1])).view(np.int64)
-                keys = [pa.array([batch.column(j)[i].as_py()] * n, type=types[j]) for j in range(len(key))]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(n, dtype=np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(prev, mask=np.arange(n) == 0)], names=[*key, "start", "h1", "h2", "prev"])
-
-    types = [to_arrow_type(files.schema[k].dataType) for k in key]
+                a, b = window_hashes(t, size, 0xD6E8FEB86659FD93)[at], window_hashes(t, size, 0xA0761D6478BD642F)[at]
+                start = at - (ends - many)[row[at]]
+                prev = pa.array(t[np.maximum(at - 1, 0)].view(np.int64), mask=start == 0)
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(row[at])) for j in range(len(key))), pa.array(start.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), prev], names=[*key, "start", "h1", "h2", "prev"])
+
     kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in key)
     return files.select(*key, syms).mapInArrow(run, f"{kinds}, start int, h1 long, h2 long, prev long")
 

@@ -298,8 +298,7 @@ h AS (SELECT g, count(*) AS n, count(DISTINCT prev) AS n_prev, count(*) FILTER (
 
 def document_windows(spark: SparkSession, sf_dir: str, key: list[str]) -> DataFrame:
     ship(spark)
-    words = F.regexp_extract_all("text", F.lit(r"([^ \t\n\r\f\x0B]+)"), 1)
-    return clones.windows(table(spark, sf_dir, "documents").select(*key, words.alias("syms")), 30, key)
+    return clones.windows(table(spark, sf_dir, "documents"), 30, key, "text")
 
 
 @query(f"WITH {WINDOW_SQL} SELECT x.doc_id, CAST(x.start AS INTEGER) AS start, h.n FROM x JOIN h USING (g)")
