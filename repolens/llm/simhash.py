@@ -252,6 +252,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(by_fp, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
+#: So many removed ids are broadcast at most (some 30 MB); beyond that texts are shuffled to them.
+BROADCAST_IDS = 1_000_000
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those whose component has a smaller id; of rows with one id one stays. Columns as they were.
 
@@ -259,6 +263,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = materialize(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "groups")
     gone = found.filter("doc_id > component_id").select("doc_id").distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     left = docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
     if again.isEmpty():
