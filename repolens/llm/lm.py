@@ -13,7 +13,8 @@ The trie's levels are monotone Elias-Fano sequences in one memory-mapped file: c
 first successors, and successors. A successor is found by a search relative to its context: the level holds
 (context rank, word) as one increasing number. Stored with each successor is the logarithm of its count,
 quantised to 1/256 bit; the smoothed probability (count + MASS * p(word)) / (count of context + MASS) is
-completed at the query, where the count of the context is known. Words are 64-bit hashes (successors 40).
+completed at the query, where the count of the context is known. Words are 64-bit hashes (contexts 48 bits within
+their shard, successors 40 within their context).
 
 Defined results: null and empty texts have one token, the end; a null id is not held out; repeated rows are
 scored each and count each; empty tables give none; without training rows every count is zero.
@@ -33,11 +34,13 @@ from pyspark.sql import functions as F
 from repolens.llm.text import hashes_of, sliced, text_column, unique_sorted, words_of
 
 BLOCK_BYTES = 12 << 20
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 SALTS = 16
 #: Weight of the word's own probability against the context's counts.
 MASS = 200.0
 WORD_BITS = 40
+#: Bits of a context's hash within its shard.
+CONTEXT_BITS = 48
 END = hashes_of([b"\n"])[0]
 START = hashes_of([b"\n\n"])[0]
 
@@ -120,12 +123,12 @@ class Trie:
 
     @staticmethod
     def build(folder: str, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> Trie:
-        """From distinct (context hash, 40-bit word) pairs, sorted, with their counts."""
+        """From distinct (48-bit context, 40-bit word) pairs, sorted, with their counts."""
         first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate((first, [len(context)])))
         rank = np.repeat(np.arange(len(first)), size)
         sequences = [
-            (context[first] >> np.uint64(1), 1 << 63),
+            (context[first], 1 << CONTEXT_BITS),
             (np.concatenate((first, [len(context)])), len(context) + 1),
             ((rank.astype(np.uint64) << np.uint64(WORD_BITS)) | word, max(1, len(first)) << WORD_BITS),
         ]
@@ -150,7 +153,7 @@ class Trie:
     def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Quantised code of each (context, word); 0 where it is not held."""
         out = np.zeros(len(context), dtype=np.uint16)
-        rank = self.contexts.find(context >> np.uint64(1))
+        rank = self.contexts.find(context)
         some = np.flatnonzero(rank >= 0)
         r = rank[some]
         lo, hi = self.pointers.access(r).astype(np.int64), self.pointers.access(r + 1).astype(np.int64)
@@ -191,6 +194,7 @@ class Block:
         with np.errstate(over="ignore"):
             mixed = (self.context ^ (salt * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
         self.pair_shard = ((mixed >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+        self.context >>= np.uint64(64 - CONTEXT_BITS)
         self.pair_order = np.lexsort((self.word, self.context, self.pair_shard))
         self.token_context = before
 
@@ -202,7 +206,7 @@ class Block:
         return words, np.bincount(np.searchsorted(self.pairs, self.code[mine]), minlength=len(self.pairs))
 
 
-ASK = "shard long, block long, heads binary, sizes binary, keys binary, extra binary, counts binary, words binary, word_counts binary"
+ASK = "shard long, block long, heads binary, tails binary, sizes binary, keys binary, extra binary, counts binary, words binary, word_counts binary"
 
 
 def _ask(table: pa.Table, shards: int) -> pa.Table:
@@ -221,8 +225,11 @@ def _ask(table: pa.Table, shards: int) -> pa.Table:
         head = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(mine) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate((head, [len(mine)])))
         w = block.word[mine]
-        rows.append((s, context[head].tobytes(), size.astype("<u4").tobytes(), (w >> np.uint64(8)).astype("<u4").tobytes(), (w & np.uint64(255)).astype(np.uint8).tobytes(), pairs[mine].astype("<u4").tobytes(), block.hash[own].tobytes(), words[own].astype("<u4").tobytes()))
+        h = context[head]
+        rows.append((s, (h >> np.uint64(16)).astype("<u4").tobytes(), (h & np.uint64(0xFFFF)).astype("<u2").tobytes(), size.astype("<u4").tobytes(), (w >> np.uint64(8)).astype("<u4").tobytes(), (w & np.uint64(255)).astype(np.uint8).tobytes(), pairs[mine].astype("<u4").tobytes(), block.hash[own].tobytes(), words[own].astype("<u4").tobytes()))
     which = table.column("block")[0].as_py()
+    del block, words, pairs
+    pa.default_memory_pool().release_unused()
     columns = list(zip(*rows))
     return pa.table([pa.array(columns[0], type=pa.int64()), pa.array([which] * len(rows), type=pa.int64()), *(pa.array(c, type=pa.binary()) for c in columns[1:])], names=[x.split()[0] for x in ASK.split(", ")])
 
@@ -244,7 +251,7 @@ def _answer(table: pa.Table) -> pa.Table:
     word_counts = [total[at].astype("<u8").tobytes() for at in places]
     del h, c, places
     # pairs
-    heads = [np.frombuffer(x["heads"], dtype=np.uint64) for x in asks]
+    heads = [(np.frombuffer(x["heads"], dtype="<u4").astype(np.uint64) << np.uint64(16)) | np.frombuffer(x["tails"], dtype="<u2") for x in asks]
     contexts, _ = unique_sorted(np.concatenate(heads))
     keys = []
     for x, head in zip(asks, heads):
@@ -263,6 +270,8 @@ def _answer(table: pa.Table) -> pa.Table:
         codes = [trie.lookup(contexts[(k >> np.uint64(WORD_BITS)).astype(np.int64)], k & mask).tobytes() for k in keys]
         del trie
     shard = [x["shard"] for x in asks]
+    del keys, counts, trained, held, sums, heads
+    pa.default_memory_pool().release_unused()
     return pa.table([pa.array([x["block"] for x in asks], type=pa.int64()), pa.array(shard, type=pa.int64()), pa.array(codes, type=pa.binary()), pa.array(word_counts, type=pa.binary())], names=["block", "shard", "pair_codes", "word_counts"])
 
 
