@@ -5,8 +5,8 @@ Tokens are lower-cased words and one end per text. Three steps, none of which ho
 1. Documents are dealt to blocks of about BLOCK_BYTES of text. A block asks for each of its distinct words and
    word pairs once, with its own training counts, so a word or pair in every document still gives one request
    per block.
-2. Requests go to shards by their context (contexts are salted over SALTS shards, so that a frequent context
-   is spread). A shard adds up the training counts, builds its trie, and answers every request from it.
+2. Requests go to shards by their context (contexts are salted, so that a frequent one is spread over
+   many shards). A shard adds up the training counts, builds its trie, and answers every request from it.
 3. Blocks meet their answers and sum over their documents' tokens.
 
 The trie's levels are monotone Elias-Fano sequences in one memory-mapped file: contexts, pointers to their
@@ -35,7 +35,10 @@ from repolens.llm.text import hashes_of, sliced, text_column, unique_sorted, wor
 
 BLOCK_BYTES = 12 << 20
 SHARD_BYTES = 16 << 20
-SALTS = 16
+#: A context is spread over so many shards at least, and over one in SALT_SHARE of all, so that the share of the pairs
+#: that one frequent context may have in a shard stays the same at any size.
+LEAST_SALTS = 8
+SALT_SHARE = 64
 #: Weight of the word's own probability against the context's counts.
 MASS = 200.0
 WORD_BITS = 40
@@ -190,7 +193,7 @@ class Block:
         self.pairs, _ = unique_sorted(self.code)
         a, b = self.pairs // wide, self.pairs % wide
         self.context, self.word = self.hash[a], self.hash[b] >> np.uint64(64 - WORD_BITS)
-        salt = self.hash[b] % np.uint64(SALTS)
+        salt = self.hash[b] % np.uint64(max(LEAST_SALTS, shards // SALT_SHARE))
         with np.errstate(over="ignore"):
             mixed = (self.context ^ (salt * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
         self.pair_shard = ((mixed >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
