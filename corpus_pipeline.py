@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolens.llm import mixing, packing, quality, rules, simhash
+from repolens.llm import mixing, packing, quality, rules, similar, simhash
 from repolens.llm.queries import table
 from repolens.session import shared_folder, ship
 
@@ -24,9 +24,9 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that with the smallest id."""
+    """One document of each near-duplicate group (five-word shingles, Jaccard similarity of 0.8 or more) stays: that with the smallest id."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, groups=similar.near_duplicates)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

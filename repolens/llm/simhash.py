@@ -14,7 +14,7 @@ n near copies gives about n links, not n * n, and no component is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -256,12 +256,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BROADCAST_IDS = 1_000_000
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """The rows of docs without those whose component has a smaller id; of rows with one id one stays. Columns as they were.
 
     Only the ids that go are joined to the texts. Rows with a null id stay: nothing names them.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "groups")
+    found = materialize(groups(docs, id_col, text_col).select("doc_id", "component_id"), "groups")
     gone = found.filter("doc_id > component_id").select("doc_id").distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
