@@ -36,11 +36,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed windows."""
+    """The pieces of the packed windows, whose ids follow the mix: files keep no order, so each document's place in it is computed again."""
     import public_tokenizers
 
     ship(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), digest=True)
+    mixed = mixing.mix(docs, columns=["text"]).select("doc_id", "row.text", "position")
+    return packing.pack_documents(mixed, public_tokenizers.path("word_bpe_49k.json"), digest=True, place_col="position")
 
 
 STAGES = [

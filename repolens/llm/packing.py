@@ -6,7 +6,7 @@ are merged largest difference first, the fullest window of one with the emptiest
 count starts at the least possible and rises while a window exceeds the capacity.
 
 Units are runs of rows within an input partition, so no shuffle is needed and a lost executor's partition
-gives the same windows again. Defined results: null and empty texts still give their end id; repeated rows
+gives the same windows again; where rows have given places, units are runs of these and one shuffle gathers them. Defined results: null and empty texts still give their end id; repeated rows
 are packed each; a text of any length is cut into windows; empty tables give none.
 """
 
@@ -29,6 +29,8 @@ from repolens.llm.text import bytes_list, sliced, text_column
 #: smaller parts make windows more alike.
 UNIT = 512
 PART = 1024
+#: Tokens of a unit that are held at once, where units follow given places.
+HELD = 4 << 20
 #: Chunks whose ids a worker remembers at most.
 CACHE = 400_000
 
@@ -154,9 +156,23 @@ def karmarkar_karp(sizes: list[int], windows: int) -> list[list[int]]:
 SCHEMA = "start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 2, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, unit: int = UNIT) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 2, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, unit: int = UNIT, place_col: str | None = None) -> DataFrame:
     """A row per piece: doc_id, start (the document's ids before it), length, ids (ids_crc32 instead, with ``digest``),
-    doc_tokens, sequence_id, offset (the piece's place in its sequence, gapless from 0)."""
+    doc_tokens, sequence_id, offset (the piece's place in its sequence, gapless from 0).
+
+    With ``place_col`` (whole numbers from 0) units are ``unit`` consecutive places, and sequence ids follow the places
+    of the units and, within a unit, of each window's first document; then nothing depends on files or partitions.
+    """
+
+    def as_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        doc, start, ids, n, seq, at = zip(*rows)
+        if digest:
+            body = pa.array([zlib.crc32(x.tobytes()) for x in ids], type=pa.int64())
+        else:
+            edges = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            body = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(ids).astype(np.int32)))
+        out = [pa.array(doc, type=kind), pa.array(start, type=pa.int64()), pa.array([len(x) for x in ids], type=pa.int64()), body, *(pa.array(x, type=pa.int64()) for x in (n, seq, at))]
+        return pa.RecordBatch.from_arrays(out, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = ChunkTokenizer.of(tokenizer)
@@ -180,15 +196,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: i
             rest.clear()
 
         def batch_of() -> pa.RecordBatch:
-            doc, start, ids, n, seq, at = zip(*rows)
-            if digest:
-                body = pa.array([zlib.crc32(x.tobytes()) for x in ids], type=pa.int64())
-            else:
-                edges = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                body = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(ids).astype(np.int32)))
-            out = [pa.array(doc, type=kind), pa.array(start, type=pa.int64()), pa.array([len(x) for x in ids], type=pa.int64()), body, *(pa.array(x, type=pa.int64()) for x in (n, seq, at))]
+            out = as_batch(rows, kind)
             rows.clear()
-            return pa.RecordBatch.from_arrays(out, names=names)
+            return out
 
         kind = None
         for batch in sliced(batches, "text", 4 << 20):
@@ -212,7 +222,54 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: i
             flush()
             yield batch_of()
 
+    def run_by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (doc_id, text, place) of whole units, sorted by place."""
+        tok = ChunkTokenizer.of(tokenizer)
+        now, sequence, held = -1, 0, 0
+        windows: list[tuple] = []  # place, pieces: whole windows that wait for their unit
+        rest: list[tuple] = []  # place, piece
+        kind = None
+
+        def flush() -> pa.RecordBatch:
+            nonlocal sequence, held
+            held = 0
+            windows.extend((min(rest[i][0] for i in w), [rest[i][1] for i in w]) for w in (pack([len(x[1][2]) for x in rest], capacity) if rest else []))
+            rows = []
+            for _, pieces in sorted(windows, key=lambda x: x[0]):
+                at = 0
+                for doc, start, ids, n in pieces:
+                    rows.append((doc, start, ids, n, (now << 36) + sequence, at))
+                    at += len(ids)
+                sequence += 1
+            windows.clear()
+            rest.clear()
+            return as_batch(rows, kind)
+
+        for batch in sliced(batches, "text", 4 << 20):
+            kind = batch.column(0).type
+            flat, first = tok.encode(text_column(batch), end)
+            for doc, place, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), first.tolist(), first[1:].tolist()):
+                if place // unit != now:
+                    if windows or rest:
+                        yield flush()
+                    now, sequence = place // unit, 0
+                n = b - a
+                whole = n // capacity * capacity
+                windows += [(place, [(doc, x, flat[a + x : a + x + capacity], n)]) for x in range(0, whole, capacity)]
+                if n > whole:
+                    cuts = np.linspace(whole, n, -(-(n - whole) // PART) + 1).astype(np.int64).tolist()
+                    rest += [(place, (doc, x, flat[a + x : a + y], n)) for x, y in zip(cuts, cuts[1:])]
+                held += n
+                if held > HELD:  # long documents: the unit is packed in several parts
+                    yield flush()
+        if windows or rest:
+            yield flush()
+
     names = ["doc_id", "start", "length", "ids_crc32" if digest else "ids", "doc_tokens", "sequence_id", "offset"]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, " + (SCHEMA.replace("ids array<int>", "ids_crc32 long") if digest else SCHEMA)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    if place_col is None:
+        return docs.select(*columns).mapInArrow(run, schema)
+    dealt = docs.select(*columns, F.col(place_col).cast("long").alias("place")).repartition(F.expr(f"place div {unit}"))
+    return dealt.sortWithinPartitions("place").mapInArrow(run_by_place, schema)
