@@ -193,30 +193,35 @@ def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
 
-def _sets(wanted: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(sig, size, bits, shingles) of the rows (sig, body: the hash of a text that has this set) of wanted."""
+def _sets(wanted: DataFrame, docs: DataFrame, text_col: str, whole: bool) -> DataFrame:
+    """For the rows (sig, body: the hash of a text that has this set) of wanted: sig with the set (whole) or its size and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2 << 20):
             h, edges = shingle_sets(text_column(batch))
             n = batch.num_rows
+            if whole:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(h))], names=["sig", "shingles"])
+                continue
             flags = np.zeros((n, BITS), np.uint8)
             flags[np.repeat(np.arange(n), np.diff(edges)), h.view(np.uint64) % np.uint64(BITS)] = 1
             bits = [x.tobytes() for x in np.packbits(flags, axis=1)]
-            sets = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(h))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("sig")), pa.array(np.diff(edges)), pa.array(bits, type=pa.binary()), sets], names=["sig", "size", "bits", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges)), pa.array(bits, type=pa.binary())], names=["sig", "size", "bits"])
 
+    wanted = materialize(wanted, "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.select(text.alias("text"), F.xxhash64(text).alias("body")).join(few, "body").select("sig", "text")
-    return found.mapInArrow(run, "sig long, size long, bits binary, shingles array<long>").dropDuplicates(["sig"])
+    return materialize(found.mapInArrow(run, "sig long, shingles array<long>" if whole else "sig long, size long, bits binary").dropDuplicates(["sig"]), "sets")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are at least LEAST similar."""
+def _similar(possible: DataFrame, named: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose sets are at least LEAST similar. named: (sig, body) of every set. Only sets of these pairs are made whole."""
+    pairs = materialize(possible, "possible")
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(named, "sig"), docs, text_col, True)
     both = pairs.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("sum"))
-    return shared.filter(F.col("n") * LEAST[1] >= (F.col("sum") - F.col("n")) * LEAST[0]).select("a", "b")
+    return materialize(shared.filter(F.col("n") * LEAST[1] >= (F.col("sum") - F.col("n")) * LEAST[0]).select("a", "b"), "similar")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,16 +235,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(keyed.mapInArrow(_first_pairs, "a long, b long, key long"), "candidates")
     pairs = first.filter("key is null").select("a", "b").distinct()
     large = first.filter("key is not null").select("key", F.col("a").alias("sig"), F.col("b").alias("size"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(large.select("sig")).distinct().join(nodes.select("sig", "body"), "sig")
-    sets = materialize(_sets(materialize(wanted, "wanted"), docs, text_col), "sets")
-    side = lambda c, n: sets.select(F.col("sig").alias(c), F.col("size").alias(f"size{n}"), F.col("bits").alias(f"bits{n}"))
+    named = nodes.select("sig", "body")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(large.select("sig")).distinct().join(named, "sig")
+    maps = _sets(wanted, docs, text_col, False)
+    side = lambda c, n: maps.select(F.col("sig").alias(c), F.col("size").alias(f"size{n}"), F.col("bits").alias(f"bits{n}"))
     possible = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "size1", "bits1", "size2", "bits2").mapInArrow(_pruned, "a long, b long")
-    edges = materialize(_similar(materialize(possible, "possible"), sets), "similar")
+    edges = _similar(possible, named, docs, text_col)
     joined = components(edges)
     if not large.isEmpty():
-        rooted = large.join(joined.withColumnRenamed("node", "sig"), "sig", "left").join(sets.select("sig", "bits"), "sig").select("key", "sig", "size", F.coalesce("root", "sig").alias("root"), "bits")
+        rooted = large.join(joined.withColumnRenamed("node", "sig"), "sig", "left").join(maps.select("sig", "bits"), "sig").select("key", "sig", "size", F.coalesce("root", "sig").alias("root"), "bits")
         rest = rooted.repartition(F.col("key")).sortWithinPartitions("key", "size").mapInArrow(_last_pairs, "a long, b long").distinct()
-        joined = components(edges.unionByName(_similar(materialize(rest, "possible"), sets)))
+        joined = components(edges.unionByName(_similar(rest, named, docs, text_col)))
     to_root = joined.select(F.col("node").alias("sig"), "root").unionByName(joined.select(F.col("root").alias("sig"), "root").distinct())
     groups = nodes.select("sig", "least").join(to_root, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
