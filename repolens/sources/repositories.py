@@ -14,7 +14,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from repolens.functions import paths
-from repolens.functions.globs import glob_to_regex
 from repolens.sources.frontends.common import LANGUAGES
 from repolens.sources.schema import FACT_SCHEMA, MANIFEST_SCHEMA
 
@@ -33,38 +32,79 @@ def read_tree(spark: SparkSession, root: str, repo_id: str | None = None) -> Dat
     return raw.select(F.substring_index(inner, "/", 1).alias("repo_id"), F.regexp_replace(inner, "^[^/]*/", "").alias("path"), "content")
 
 
+def ignore_rule(directory: str, line: str) -> tuple[str, bool, bool] | None:
+    """(expression for paths, only directories, negated) of a line of the ``.gitignore`` in directory; None for no rule."""
+    line = re.sub(r"(?<!\\)[ \t\r]+$", "", line)
+    if not line or line[0] == "#":
+        return None
+    negated = line[0] == "!"
+    body = line[negated:]
+    only_directories = body.endswith("/")
+    body = body.rstrip("/")
+    anchored = "/" in body
+    body = body.removeprefix("/")
+    out, i = [re.escape(directory + "/") if directory else "", "" if anchored else "(?:.*/)?"], 0
+    while i < len(body):
+        c = body[i]
+        if body.startswith("**/", i) and (i == 0 or body[i - 1] == "/"):
+            out.append("(?:.*/)?")
+            i += 3
+            continue
+        if body[i:] == "**" and i and body[i - 1] == "/":
+            out.append(".+")
+            break
+        end = body.find("]", i + 2) if c == "[" else -1
+        if c == "*":
+            out.append("[^/]*")
+        elif c == "?":
+            out.append("[^/]")
+        elif end > 0:
+            inner = body[i + 1 : end]
+            inner = "^" + inner[1:] if inner[0] in "!^" else inner
+            out.append("(?!/)[" + inner.replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&") + "]")
+            i = end
+        else:
+            i += c == "\\" and i + 1 < len(body)
+            out.append(re.escape(body[i]))
+        i += 1
+    pattern = "(?s)^" + "".join(out) + "$"
+    try:
+        re.compile(pattern)
+    except re.error:
+        return None
+    return (pattern, only_directories, negated) if body else None
+
+
 def ignored_patterns(tree: DataFrame) -> DataFrame:
-    """(repo_id, pattern): one expression for the lines of each ``.gitignore``; negations and comments are left out."""
-
-    def regex(directory: str, text: str) -> str | None:
-        out = []
-        for line in text.splitlines():
-            line = line.strip()
-            if not line or line[0] in "#!":
-                continue
-            anchored = "/" in line.rstrip("/")
-            body = line.strip("/")
-            for glob in (body, body + "/**") if not line.endswith("/") else (body + "/**",):
-                r = glob_to_regex(glob if anchored else "**/" + glob)
-                if r:
-                    out.append(re.escape(directory + "/" if directory else "") + r[len("(?s)^") : -1])
-        return "(?s)^(?:" + "|".join(out) + ")$" if out else None
+    """(repo_id, depth, directory, line, pattern, only_directories, negated): a row per rule of each ``.gitignore``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(r, regex(p.rpartition("/")[0], (c or b"").decode("utf-8", "replace"))) for r, p, c in zip(*(x.to_pylist() for x in b.columns))]
-            rows = [x for x in rows if x[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], type=pa.string()) for i in (0, 1)], names=["repo_id", "pattern"])
+            rows = []
+            for r, p, c in zip(*(x.to_pylist() for x in b.columns)):
+                folder = p.rpartition("/")[0]
+                found = (ignore_rule(folder, x) for x in (c or b"").decode("utf-8", "replace").split("\n"))
+                rows += [(r, p.count("/"), folder, i, *x) for i, x in enumerate(found) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], type=t) for i, t in enumerate(kinds)], names=names)
 
-    return tree.filter(paths.base_name(F.col("path")) == ".gitignore").select("repo_id", "path", "content").mapInArrow(run, "repo_id string, pattern string")
+    names = ["repo_id", "depth", "directory", "line", "pattern", "only_directories", "negated"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
+    schema = "repo_id string, depth int, directory string, line int, pattern string, only_directories boolean, negated boolean"
+    return tree.filter(paths.base_name(F.col("path")) == ".gitignore").select("repo_id", "path", "content").mapInArrow(run, schema)
 
 
 def walk(tree: DataFrame) -> DataFrame:
-    """The tree without skipped directories and ignored files."""
+    """The tree without skipped directories and ignored files. The last rule that matches decides, deeper files last; what is in an ignored directory stays ignored."""
     kept = tree.filter(~F.col("path").rlike("(^|/)(" + "|".join(map(re.escape, SKIPPED)) + ")/"))
-    patterns = ignored_patterns(tree).groupBy("repo_id").agg(F.collect_list("pattern").alias("patterns"))
-    joined = kept.join(patterns, "repo_id", "left")
-    return joined.filter(~F.coalesce(F.exists("patterns", lambda p: F.regexp_like(F.col("path"), p)), F.lit(False))).drop("patterns")
+    rules = ignored_patterns(kept).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("depth", "directory", "line", "pattern", "only_directories", "negated"))).alias("_rules"))
+    joined = kept.join(rules, "repo_id", "left")
+    parts = F.split("path", "/")
+    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("path"), (n < F.size(parts)).alias("directory")))
+
+    def decided(x):
+        return F.aggregate("_rules", F.lit(False), lambda acc, r: F.when((x["directory"] | ~r["only_directories"]) & F.regexp_like(x["path"], r["pattern"]), ~r["negated"]).otherwise(acc))
+
+    return joined.filter(F.col("_rules").isNull() | ~F.exists(upto, decided)).drop("_rules")
 
 
 def language():
