@@ -1,6 +1,6 @@
 """Packing token sequences into windows (operator 8) by Karmarkar-Karp multiway differencing.
 
-Documents are tokenised in Arrow batches (each distinct whitespace chunk once), cut into whole windows and a
+Documents are tokenised in Arrow batches (each distinct word once), cut into whole windows and a
 remainder, and the remainders of a unit of documents, in parts, are spread over near-equal windows: partial partitions
 are merged largest difference first, the fullest window of one with the emptiest of the other. The window
 count starts at the least possible and rises while a window exceeds the capacity.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +32,47 @@ UNIT = 512
 PART = 1024
 #: Tokens of a unit that are held at once, where units follow given places.
 HELD = 4 << 20
-#: Chunks whose ids a worker remembers at most.
-CACHE = 400_000
+#: Bytes of text that are tokenised at once; distinct words are encoded once in each.
+SLICE = 8 << 20
+#: Pieces in one generation of a worker's memory; it keeps two generations.
+CACHE = 500_000
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
+#: Classes of bytes in a chunk: 0 others, 1 a-z, 2 punctuation that ends a word (an apostrophe may begin a suffix),
+#: 3 the lead byte of two-byte Latin letters, 4 bytes that make a lower-case letter after it.
+_BYTE = np.zeros(256, dtype=np.uint8)
+_BYTE[97:123] = 1
+_BYTE[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+_BYTE[0xC3] = 3
+_BYTE[[0x9F, *range(0xA0, 0xB7), *range(0xB8, 0xC0)]] = 4
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The visible character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in set(shown)]
+    return {x: chr(x) for x in shown} | {x: chr(256 + k) for k, x in enumerate(rest)}
+
 
 class ChunkTokenizer:
-    """Ids of texts whose tokenizer never joins over ASCII white space: every distinct chunk is encoded once."""
+    """Ids of texts whose tokenizer lower-cases and never joins over ASCII white space.
+
+    Texts are lower-cased (A-Z) and cut at white space, and chunks before the punctuation that ends them, where the
+    letter before it shows that the tokenizer cuts there too. Every distinct piece of a slice is looked up once in two
+    generations of remembered pieces; when the younger is full it becomes the older, so that memory is bounded and
+    frequent words stay. Pieces of lower-case letters alone go to the model directly, all others through the whole
+    tokenizer.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.cache = cache
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.shown = _byte_alphabet()
 
     @staticmethod
     def of(path: str) -> ChunkTokenizer:
@@ -52,43 +80,109 @@ class ChunkTokenizer:
             _tokenizers[path] = ChunkTokenizer(path)
         return _tokenizers[path]
 
-    def chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each chunk."""
-        got = list(map(self.known.get, chunks))
-        missing = [i for i, x in enumerate(got) if x is None]
-        for a in range(0, len(missing), 2000):
-            part = missing[a : a + 2000]
-            texts = [chunks[i].decode("utf-8", "replace") for i in part]
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece by the whole tokenizer."""
+        out = []
+        for a in range(0, len(pieces), 2000):
+            texts = [x.decode("utf-8", "replace") for x in pieces[a : a + 2000]]
             encoded = self.inner.encode("\n".join(texts), add_special_tokens=False)
             ids = np.array(encoded.ids, dtype="<u4")
             ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
             owner = np.searchsorted(ends, np.fromiter((x for x, _ in encoded.offsets), dtype=np.int64, count=len(ids)), side="right")
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            raw, at = ids.tobytes(), (cuts * 4).tolist()
-            for k, i in enumerate(part):
-                got[i] = raw[at[k] : at[k + 1]]
-        if len(self.known) < CACHE:
-            self.known.update((chunks[i], got[i]) for i in missing)
+            cuts = (np.searchsorted(owner, np.arange(len(texts) + 1)) * 4).tolist()
+            raw = ids.tobytes()
+            out += [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+        return out
+
+    def _of_letters(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece of lower-case letters: one word of the model each."""
+        model, shown = self.inner.model, self.shown
+        return [array("I", [t.id for t in model.tokenize(x.decode("latin-1").translate(shown))]).tobytes() for x in pieces]
+
+    def piece_ids(self, pieces: list[bytes], letters: np.ndarray) -> list[bytes]:
+        """Little-endian ids of each piece; letters: whether it has lower-case letters alone."""
+        young, old = self.young, self.old
+        got = list(map(young.get, pieces))
+        missing = [i for i, x in enumerate(got) if x is None]
+        again = [old.get(pieces[i]) for i in missing]
+        for i, x in zip(missing, again):
+            got[i] = x
+        fresh = [i for i, x in zip(missing, again) if x is None]
+        plain = letters[fresh].tolist() if fresh else []
+        for coder, mine in ((self._of_letters, [i for i, x in zip(fresh, plain) if x]), (self._encoded, [i for i, x in zip(fresh, plain) if not x])):
+            for i, x in zip(mine, coder([pieces[i] for i in mine])):
+                got[i] = x
+        if len(young) + len(missing) > self.cache:
+            self.old, self.young = young, {}
+        self.young.update((pieces[i], got[i]) for i in missing)
         return got
 
+    @staticmethod
+    def _cut(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Length of the word that each chunk's last punctuation ends (the whole chunk where it is no such), and whether that word is of lower-case letters alone."""
+        n = len(chunks)
+        _, offs, data = chunks.buffers()
+        at = np.frombuffer(offs, dtype=np.int32)[chunks.offset : chunks.offset + n + 1].astype(np.int64)
+        kind = _BYTE[np.frombuffer(data, dtype=np.uint8)[: at[-1]]] if data is not None and at[-1] else np.zeros(0, np.uint8)
+        lead = np.concatenate(([False], kind[:-1] == 3))
+        letter = (kind == 1) | ((kind == 4) & lead)
+        size = np.diff(at)
+        stem = size.copy()
+        todo = np.flatnonzero(size > 1)
+        while len(todo):  # one byte less while the last is punctuation
+            todo = todo[kind[at[todo] + stem[todo] - 1] == 2]
+            stem[todo] -= 1
+            todo = todo[stem[todo] > 0]
+        good = np.flatnonzero((stem > 0) & (stem < size))
+        cut = good[letter[at[good] + stem[good] - 1]]
+        whole = np.ones(n, dtype=bool)
+        whole[cut] = False
+        stem[whole] = size[whole]
+        part = letter.copy()
+        part[:-1] |= (kind[:-1] == 3) & letter[1:]
+        bad = np.concatenate(([0], np.cumsum(~part)))
+        return stem, (stem > 0) & (bad[at[:-1] + stem] == bad[at[:-1]])
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and the texts' first places (one more at the end)."""
-        lists = pc.ascii_split_whitespace(texts)
+        special = pc.any(pc.match_substring(texts, "<|"), min_count=0).as_py()  # names of special tokens are read as they are
+        lists = pc.ascii_split_whitespace(texts if special else pc.ascii_lower(texts))
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = lists.flatten().dictionary_encode()
-        ids = self.chunk_ids(bytes_list(coded.dictionary))
-        index = coded.indices.to_numpy().astype(np.int64)
-        # the end id is one more chunk after each text's last
-        index = np.insert(index, offsets[1:], len(ids))
+        chunks = coded.dictionary
+        stem, letters = self._cut(chunks)
+        size = pc.binary_length(chunks).to_numpy().astype(np.int64)
+        if special:
+            marked = pc.match_substring(chunks, "<|").to_numpy(zero_copy_only=False)
+            stem = np.where(marked, size, stem)
+        raw = bytes_list(chunks)
+        words = [x if n == len(x) else x[:n] for x, n in zip(raw, stem.tolist())]
+        tailed = np.flatnonzero(stem < size)
+        # each distinct word and each distinct tail once
+        place: dict[bytes, int] = {}
+        head = np.fromiter((place.setdefault(x, len(place)) for x in words), dtype=np.int64, count=len(words))
+        alone = np.zeros(len(place), dtype=bool)
+        alone[head] = letters
+        tails = {}
+        tail = np.fromiter((tails.setdefault(raw[i][n:], len(tails)) for i, n in zip(tailed.tolist(), stem[tailed].tolist())), dtype=np.int64, count=len(tailed))
+        ids = self.piece_ids([*place, *tails], np.concatenate((alone, np.zeros(len(tails), dtype=bool))))
         ids.append(np.array([end], dtype="<u4").tobytes())
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        first_of = np.full((len(raw) + 1, 2), -1, dtype=np.int64)  # the pieces of each chunk; the end id is one more chunk
+        first_of[:-1, 0] = head
+        first_of[tailed, 1] = tail + len(place)
+        first_of[-1, 0] = len(ids) - 1
+        index = np.insert(coded.indices.to_numpy().astype(np.int64), offsets[1:], len(raw))
+        count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         pool = np.frombuffer(b"".join(ids), dtype="<u4")
-        first = np.cumsum(size) - size
-        n = size[index]
+        first = np.cumsum(count) - count
+        pieces = first_of[index].reshape(-1)
+        used = np.concatenate(([0], np.cumsum(pieces >= 0)))  # pieces before each
+        pieces = pieces[pieces >= 0]
+        n = count[pieces]
         ends = np.concatenate(([0], np.cumsum(n)))
-        flat = pool[np.arange(ends[-1]) - np.repeat(ends[:-1] - first[index], n)]
-        return flat, ends[offsets + np.arange(len(offsets))]
+        flat = pool[np.arange(ends[-1]) - np.repeat(ends[:-1] - first[pieces], n)]
+        return flat, ends[used[2 * (offsets + np.arange(len(offsets)))]]
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -201,7 +295,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: i
             return out
 
         kind = None
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text", SLICE):
             kind = batch.column(0).type
             flat, first = tok.encode(text_column(batch), end)
             for doc, a, b in zip(batch.column(0).to_pylist(), first.tolist(), first[1:].tolist()):
@@ -245,7 +339,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: i
             rest.clear()
             return as_batch(rows, kind)
 
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text", SLICE):
             kind = batch.column(0).type
             flat, first = tok.encode(text_column(batch), end)
             for doc, place, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), first.tolist(), first[1:].tolist()):

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -287,6 +288,11 @@ def test_packing(edge, none, docs):
     assert packing.pack_documents(none, public()).count() == 0
 
 
+@lru_cache(1)
+def coder():
+    return packing.ChunkTokenizer(public())
+
+
 def test_chunks_encode_like_whole_texts():
     tok = packing.ChunkTokenizer(public())
     texts = ["", " a  b ", "<|endoftext|>x y", "don't we'll ΑΣ Σ", "é ́x \x1c z\xa0q", "tab\tand\nline\u2028sep", "日本 語 12ab!?"]
@@ -295,6 +301,17 @@ def test_chunks_encode_like_whole_texts():
         assert flat[first[i] : first[i + 1]].tolist() == [*tok.inner.encode(t, add_special_tokens=False).ids, 2]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abAZ éßÀ×÷Ã'stredl.,!#-<|>0123\u0338\u0301\u0130ς\x1c\x7f\n", max_size=24), min_size=1, max_size=5), st.integers(1, 4))
+def test_pieces_encode_like_whole_texts(texts, cache):
+    tok = coder()
+    tok.cache = cache
+    for _ in range(2):  # the second time from memory, whose generations change all the time
+        flat, first = tok.encode(pa.array(texts), 2)
+        for i, t in enumerate(texts):
+            assert flat[first[i] : first[i + 1]].tolist() == [*tok.inner.encode(t, add_special_tokens=False).ids, 2]
+
+
 # -- 9 SimHash
 def brute_fingerprint(text):
     w = WORD.findall(lowered(text))
