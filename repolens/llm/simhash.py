@@ -15,10 +15,11 @@ n near copies gives about n links, not n * n, and no component is lost.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolens.llm.text import sliced, text_column, words_of
@@ -30,7 +31,7 @@ BITS = 64
 TREE_ROWS = 50_000
 #: Frontier entries (query, node) held at once.
 FRONTIER = 1 << 20
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
 def fingerprints_of(texts: pa.Array, width: int = 4, seed: int = 42) -> np.ndarray:
@@ -57,23 +58,28 @@ def fingerprints_of(texts: pa.Array, width: int = 4, seed: int = 42) -> np.ndarr
         lo, hi = edges[a], edges[b]
         cell = octet[lo:hi] + (np.arange(8) * 256)[None, :] + ((doc[lo:hi] - a) * 2048)[:, None]
         seen = np.bincount(cell.ravel(), minlength=(b - a) * 2048).reshape(b - a, 8, 256)
-        ones[a:b] = np.einsum("dpv,vb->dpb", seen.astype(np.float32), _BYTE_BITS, optimize=True).reshape(b - a, BITS)
+        ones[a:b] = np.einsum("dpv,vb->dpb", seen.astype(np.float64), _BYTE_BITS, optimize=True).reshape(b - a, BITS)
     full = np.flatnonzero(many)
     major = (2 * ones[full] > many[full][:, None]).astype(np.uint8)
     out[full] = np.packbits(major, axis=1).reshape(-1).view(">u8").astype(np.uint64)
     return out
 
 
+def body_hash(text_col: str) -> Column:
+    """A 64-bit hash of the text; null like empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp long: the fingerprint's bits) for every row. Null text: no words, fingerprint zero."""
+    """(id, body: the text's hash, fp long: the fingerprint's bits) for every row. Null text: no words, fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2 << 20):
             fp = fingerprints_of(text_column(batch), width, seed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], names=["id", "body", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), body_hash(text_col).alias("body")).mapInArrow(run, f"id {kind}, body long, fp long")
 
 
 class BkForest:
@@ -150,11 +156,9 @@ def smallest_of_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def block_masks(radius: int, rows: int) -> list[tuple[int, ...]]:
-    """Bit positions of each pigeonhole key. Wider keys for more rows: all choices of j blocks out of radius + j."""
-    from itertools import combinations
-
-    j = 1 if rows < 1 << 26 else 2 if rows < 1 << 34 else 3
+def block_masks(radius: int, rows: int, wide: int | None = None) -> list[tuple[int, ...]]:
+    """Bit positions of each pigeonhole key. Wider keys for more rows: all choices of j (``wide``) blocks out of radius + j."""
+    j = wide or (1 if rows < 1 << 26 else 2 if rows < 1 << 34 else 3)
     cuts = np.linspace(0, BITS, radius + j + 1).astype(int)
     blocks = [tuple(range(x, y)) for x, y in zip(cuts, cuts[1:])]
     return [sum(chosen, ()) for chosen in combinations(blocks, j)]
@@ -193,12 +197,12 @@ def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         yield solve(keep_s, keep_r, keep_f)
 
 
-def links(distinct: DataFrame, radius: int = 4, tree_rows: int = TREE_ROWS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, tree_rows: int = TREE_ROWS, wide: int | None = None) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of column fp: enough to join every component.
 
     Each shard gives a row per fingerprint that is not the first of its local component, never all pairs.
     """
-    masks = block_masks(radius, distinct.count())
+    masks = block_masks(radius, distinct.count(), wide)
 
     def key(i: int, bits: tuple[int, ...]):
         mask = sum(1 << b for b in bits)
@@ -215,14 +219,14 @@ def links(distinct: DataFrame, radius: int = 4, tree_rows: int = TREE_ROWS) -> D
     return rows.mapInArrow(lambda it: _linked(it, radius), "a long, b long")
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge: root is the smallest node reachable (signed order).
 
     Alternates large-star and small-star steps on written tables until the edges no longer change.
     """
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -233,41 +237,79 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-    raise RuntimeError("components did not settle")
+
+
+#: A key with more than one row in HOT_SHARE is met by broadcast: there are fewer than HOT_SHARE such keys at any size.
+HOT_SHARE = 20_000
+
+
+def join_by_key(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with one row per key of values, whose column n says how many of the ``total`` rows have the key.
+
+    Keys of many rows are broadcast, so that no key's rows meet in one task; the others are joined by shuffle.
+    """
+    least = max(2, total // HOT_SHARE)
+    hot = F.broadcast(values.filter(F.col("n") > least).drop("n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(values.filter(F.col("n") <= least).drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def name_groups(nodes: DataFrame, joined: DataFrame, key: str) -> DataFrame:
+    """(key, n, root, component_id) for nodes (key, n: rows, least: smallest id): root by components(), component_id the smallest id of its nodes."""
+    to_root = joined.select(F.col("node").alias(key), "root").unionByName(joined.select(F.col("root").alias(key), "root").distinct())
+    linked = materialize(nodes.join(to_root, key), "linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    many = linked.withColumnRenamed("n", "rows").drop("least")
+    found = join_by_key(many, least, "root", linked.count()).select(key, F.col("rows").alias("n"), "root", "component_id")
+    alone = nodes.join(to_root.select(key), key, "left_anti").select(key, "n", F.col(key).alias("root"), F.col("least").alias("component_id"))
+    return materialize(found.unionByName(alone), "groups")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest id reachable over linked fingerprints.
+    """(doc_id, body, fp, root, component_id) for every row; component_id is the smallest id reachable over linked fingerprints.
 
-    Null text or no words: fingerprint zero, linked like any other. Null ids take part and count as larger than
-    any other (a group of null ids only has a null component). Repeated rows each give a row. Empty table: no rows.
+    root names the component itself: rows that share an id may be in several. Null text or no words: fingerprint
+    zero, linked like any other. Null ids take part and count as larger than any other (a group of null ids only has a
+    null component_id). Repeated rows each give a row. Empty table: no rows. Extra columns play no part.
     """
     fp = materialize(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    distinct = fp.groupBy("fp").agg(F.min("id").alias("least"))
-    joined = components(links(distinct, radius))
-    to_root = joined.select(F.col("node").alias("fp"), "root").unionByName(joined.select(F.col("root").alias("fp"), "root").distinct())
-    named = distinct.join(to_root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fp.join(by_fp, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    distinct = materialize(fp.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    groups = name_groups(distinct, components(links(distinct, radius)), "fp")
+    return join_by_key(fp, groups, "fp", fp.count()).select(F.col("id").alias("doc_id"), "body", "fp", "root", "component_id")
+
+
+#: Bytes of keys that are broadcast at most; beyond that texts are shuffled to them.
+BROADCAST_BYTES = 32 << 20
 
 
-#: So many removed ids are broadcast at most (some 30 MB); beyond that texts are shuffled to them.
-BROADCAST_IDS = 1_000_000
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast where its measured size allows it."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0)))).first()
+    return F.broadcast(df) if 40 * n + (size or 0) <= BROADCAST_BYTES else df
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of docs without those whose component has a smaller id; of rows with one id one stays. Columns as they were.
+    """One row of each component of ``groups``, with its columns as they were.
 
-    Only the ids that go are joined to the texts. Rows with a null id stay: nothing names them.
+    A row is known by its id and its text's hash, so that rows which share an id but not the text are kept or dropped
+    each by its own component. That of the smallest id stays (null ids come last), then that of the smallest hash; of rows
+    with one id and one text that of the smallest hash of all columns. Empty table: no rows.
     """
-    found = materialize(groups(docs, id_col, text_col).select("doc_id", "component_id"), "groups")
-    gone = found.filter("doc_id > component_id").select("doc_id").distinct()
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    left = docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
+    found = groups(docs, id_col, text_col).groupBy("doc_id", "body").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("n"))
+    found = materialize(found, "found")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "body")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("own_id"), F.col("k.body").alias("own_body"))
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("body") == F.col("own_body"))
+    gone = materialize(found.join(kept, same, "left_anti").select(F.col("doc_id").alias("own_id"), F.col("body").alias("own_body")), "gone")
+    again = materialize(found.filter("n > 1").join(kept, same, "left_semi").select(F.col("doc_id").alias("own_id"), F.col("body").alias("own_body")), "again")
+    mine = F.col(id_col).eqNullSafe(F.col("own_id")) & (body_hash(text_col) == F.col("own_body"))
+    left = docs.join(small(gone), mine, "left_anti")
     if again.isEmpty():
         return left
-    once = left.join(again, left[id_col] == again["doc_id"], "left_semi").dropDuplicates([id_col])
-    return left.join(again, left[id_col] == again["doc_id"], "left_anti").unionByName(once)
+    again = small(again)
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    once = docs.join(again, mine, "left_semi").select("*", body_hash(text_col).alias("__body"), F.xxhash64(*plain).alias("__row"))
+    first = once.groupBy(F.col(id_col).alias("own_id"), F.col("__body").alias("own_body")).agg(F.min("__row").alias("own_row"))
+    is_first = F.col(id_col).eqNullSafe(F.col("own_id")) & (F.col("__body") == F.col("own_body")) & (F.col("__row") == F.col("own_row"))
+    once = once.join(small(materialize(first, "first")), is_first, "left_semi").dropDuplicates([id_col, "__body"]).select(*docs.columns)
+    return left.join(again, mine, "left_anti").unionByName(once)

@@ -1,14 +1,15 @@
 """Near-duplicate groups by exact Jaccard similarity of word-shingle sets, for the pipeline's near-dedup stage.
 
-SimHash cannot decide a similarity of 0.8: some ten of 64 bits are expected to differ there, and blocks for so wide
-a radius hold a large share of all fingerprints. Candidates come from prefixes instead, which lose no pair: if all
-sets are sorted in one order, two sets with a Jaccard similarity of t share a shingle among the first
-|S| - ceil(t |S|) + 1 of each. Shingles that are frequent in a sample come last in that order; any order is right,
-the sample only keeps buckets small. Bitmaps of the sets bound what two can share and drop most candidates without
-error; the others are compared exactly.
+First the SimHash operator's BK-trees link the fingerprints of the sets (five-word shingles) within RADIUS bits, and each
+such link is checked on the sets. Fingerprints alone cannot decide a similarity of 0.8: some ten of 64 bits are
+expected to differ there, and blocks for so wide a radius hold a large share of all fingerprints. So pairs that are
+not in one component by then get a second way, which loses none: if all sets are sorted in one order, two sets with a
+Jaccard similarity of t share a shingle among the first |S| - ceil(t |S|) + 1 of each. Shingles that are frequent in a
+sample come last in that order; any order is right, the sample only keeps buckets small. Bitmaps of the sets bound what
+two can share and drop most candidates without error; the others are compared exactly.
 
 Sets that are equal are one node. In a bucket of more than SMALL nodes only links to a pivot are tried first; what is
-still in different components after that is paired in a second step, so that a large group of near copies gives links
+still in different components after that is paired in a last step, so that a large group of near copies gives links
 in proportion to its size and no link between components is lost.
 """
 
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.simhash import BROADCAST_IDS, components
+from repolens.llm.simhash import body_hash, components, join_by_key, links, name_groups, small
 from repolens.llm.text import sliced, text_column, words_of
 from repolens.llm.xxh import xxh64_spans
 from repolens.session import materialize
 
 WIDTH = 5
+#: Bits that fingerprints of a first link differ in at most.
+RADIUS = 4
 #: The least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
 #: Rows whose shingles are counted for the order, and shingles that are remembered as frequent.
@@ -61,6 +64,19 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
     return h[new], np.concatenate(([0], np.cumsum(np.bincount(doc[new], minlength=n))))
 
 
+def set_fingerprints(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """SimHash of each set of hashes h: a bit is 1 if set in over half of them."""
+    size = np.diff(edges)
+    out = np.zeros(len(size), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        value = h.view(np.uint64)
+        for bit in range(64):
+            ones = np.add.reduceat(((value >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), edges[full])
+            out[full] |= (2 * ones > size[full]).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def _frequent(docs: DataFrame, text_col: str) -> np.ndarray:
     """Shingles that several texts of a sample have, ascending by their count there."""
 
@@ -77,7 +93,7 @@ def _frequent(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """(id, sig, size, body: the text's hash, prefix) for every row; sig names the set."""
+    """(id, sig, size, body: the text's hash, fp: the set's fingerprint, prefix) for every row; sig names the set."""
     by_hash = np.argsort(frequent)
     known = frequent[by_hash]
     a, b = LEAST
@@ -101,11 +117,12 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray)
             take = np.where(size > 0, size + (-size * a) // b + 1, 0)  # (-size * a) // b is -ceil(size * a / b)
             place = np.arange(len(h)) - np.repeat(edges[:-1], size)
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))).astype(np.int32)), pa.array(h[place < np.repeat(take, size)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig.view(np.int64)), pa.array(size), batch.column(2), prefix], names=["id", "sig", "size", "body", "prefix"])
+            fp = set_fingerprints(h, edges)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig.view(np.int64)), pa.array(size), batch.column(2), pa.array(fp.view(np.int64)), prefix], names=["id", "sig", "size", "body", "fp", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("body"))
-    return rows.mapInArrow(run, f"id {kind}, sig long, size long, body long, prefix array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), body_hash(text_col).alias("body"))
+    return rows.mapInArrow(run, f"id {kind}, sig long, size long, body long, fp long, prefix array<long>")
 
 
 def _column(values: pa.Array) -> np.ndarray:
@@ -139,8 +156,8 @@ def _near_size(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, sig, size) sorted by key, sig: (a, b, null) for pairs to try, (sig, size, key) for the rows of large buckets."""
-    for (key, sig, size), edges in _buckets(batches):
+    """Rows (key, sig, size, root) sorted by key, sig: (a, b, null) for pairs to try, (sig, size, key) for the rows of large buckets. Pairs of one root need no trial."""
+    for (key, sig, size, root), edges in _buckets(batches):
         many = np.diff(edges)
         bucket = np.repeat(np.arange(len(many)), many)
         place = np.arange(len(sig)) - edges[bucket]
@@ -151,7 +168,7 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = np.flatnonzero((place > 0) & (many[bucket] > SMALL))
         pairs.append((edges[bucket[i]], i))
         p, q = (np.concatenate(x) for x in zip(*pairs))
-        ok = _near_size(size[p], size[q])
+        ok = _near_size(size[p], size[q]) & (root[p] != root[q])
         large = many[bucket] > SMALL
         a, b = np.concatenate((sig[p[ok]], sig[large])), np.concatenate((sig[q[ok]], size[large]))
         keys = np.concatenate((np.zeros(int(ok.sum()), np.int64), key[large]))
@@ -209,9 +226,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, text_col: str, whole: bool) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges)), pa.array(bits, type=pa.binary())], names=["sig", "size", "bits"])
 
     wanted = materialize(wanted, "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(text.alias("text"), F.xxhash64(text).alias("body")).join(few, "body").select("sig", "text")
+    found = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), body_hash(text_col).alias("body")).join(small(wanted), "body").select("sig", "text")
     return materialize(found.mapInArrow(run, "sig long, shingles array<long>" if whole else "sig long, size long, bits binary").dropDuplicates(["sig"]), "sets")
 
 
@@ -225,29 +240,39 @@ def _similar(possible: DataFrame, named: DataFrame, docs: DataFrame, text_col: s
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row; component_id is the smallest id reachable over pairs of 0.8 similarity or more.
+    """(doc_id, body, root, component_id) for every row; component_id is the smallest id reachable over pairs of 0.8 similarity or more.
 
-    Null text or no words: the empty set, like any other. Null ids take part and count as larger than any other.
+    root names the component itself: rows that share an id may be in several. Null text or no words: the empty set, like
+    any other. Texts of fewer than five words: one shingle of all. Null ids take part and count as larger than any other.
+    Repeated rows each give a row. Empty table: no rows. Extra columns play no part.
     """
     rows = materialize(_prefixes(docs, id_col, text_col, _frequent(docs, text_col)), "prefixes")
-    nodes = materialize(rows.groupBy("sig").agg(F.min("id").alias("least"), F.min("size").alias("size"), F.min("body").alias("body"), F.min("prefix").alias("prefix")), "nodes")
-    keyed = nodes.select(F.explode("prefix").alias("key"), "sig", "size").repartition(F.col("key")).sortWithinPartitions("key", "sig")
-    first = materialize(keyed.mapInArrow(_first_pairs, "a long, b long, key long"), "candidates")
+    nodes = rows.groupBy("sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("body").alias("body"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix"))
+    nodes = materialize(nodes, "nodes")
+    named = nodes.select("sig", "body")
+    # links by fingerprint; equal fingerprints meet the first set that has them
+    by_fp = materialize(nodes.groupBy("fp").agg(F.min("sig").alias("first"), F.count(F.lit(1)).alias("n")), "by_fp")
+    of = lambda c: by_fp.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_sig"))
+    near = links(by_fp.select("fp"), RADIUS).join(of("a"), "a").join(of("b"), "b").select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
+    same = join_by_key(nodes.select("fp", "sig"), by_fp.filter("n > 1"), "fp", nodes.count()).filter("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b"))
+    edges = _similar(near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), named, docs, text_col)
+    joined = components(edges)
+    # all other pairs of sets that share a prefix shingle
+    rooted = nodes.join(joined.withColumnRenamed("node", "sig"), "sig", "left").select(F.explode("prefix").alias("key"), "sig", "size", F.coalesce("root", "sig").alias("root"))
+    first = materialize(rooted.repartition(F.col("key")).sortWithinPartitions("key", "sig").mapInArrow(_first_pairs, "a long, b long, key long"), "candidates")
     pairs = first.filter("key is null").select("a", "b").distinct()
     large = first.filter("key is not null").select("key", F.col("a").alias("sig"), F.col("b").alias("size"))
-    named = nodes.select("sig", "body")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(large.select("sig")).distinct().join(named, "sig")
     maps = _sets(wanted, docs, text_col, False)
     side = lambda c, n: maps.select(F.col("sig").alias(c), F.col("size").alias(f"size{n}"), F.col("bits").alias(f"bits{n}"))
     possible = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "size1", "bits1", "size2", "bits2").mapInArrow(_pruned, "a long, b long")
-    edges = _similar(possible, named, docs, text_col)
-    joined = components(edges)
+    more = _similar(possible, named, docs, text_col)
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        joined = components(edges)
     if not large.isEmpty():
         rooted = large.join(joined.withColumnRenamed("node", "sig"), "sig", "left").join(maps.select("sig", "bits"), "sig").select("key", "sig", "size", F.coalesce("root", "sig").alias("root"), "bits")
         rest = rooted.repartition(F.col("key")).sortWithinPartitions("key", "size").mapInArrow(_last_pairs, "a long, b long").distinct()
         joined = components(edges.unionByName(_similar(rest, named, docs, text_col)))
-    to_root = joined.select(F.col("node").alias("sig"), "root").unionByName(joined.select(F.col("root").alias("sig"), "root").distinct())
-    groups = nodes.select("sig", "least").join(to_root, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_sig = groups.select("sig", "root").join(least, "root").select("sig", "component_id")
-    return rows.select("id", "sig").join(by_sig, "sig").select(F.col("id").alias("doc_id"), "component_id")
+    groups = name_groups(nodes.select("sig", "n", "least"), joined, "sig")
+    return join_by_key(rows.select("id", "body", "sig"), groups, "sig", rows.count()).select(F.col("id").alias("doc_id"), "body", "root", "component_id")

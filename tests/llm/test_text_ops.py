@@ -386,7 +386,55 @@ def test_components(spark):
 def test_keep_one(spark, edge):
     kept = simhash.keep_one(edge)
     assert kept.columns == edge.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.select("doc_id").collect()) == [(False, 1), (False, 4), (False, 5), (False, 7), (False, 8), (False, 9), (False, 10), (True, 0)]
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [1, 4, 5, 7, 8, 9, 10]  # the row of null id is a copy of 5
+
+
+def test_keep_one_of_clashing_ids(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, one, "x", {"k": 1}), (1, two, "x", {"k": 1}), (2, two, "y", None), (2, one, "z", None), (None, three, "u", None), (None, three, "v", None), (None, None, "w", None), (3, one, "q", {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root string, body map<string,int>")
+    first = simhash.keep_one(df)
+    assert first.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"], r["root"]) for r in first.collect()), key=str)
+    assert [(i, t) for i, t, _ in got if t != three] == [(1, one), (1, two), (None, None)] and sum(t == three for _, t, _ in got) == 1
+    again = sorted(((r["doc_id"], r["text"], r["root"]) for r in simhash.keep_one(df.repartition(5)).collect()), key=str)
+    assert again == got
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wide", [1, 2, 3])
+def test_wider_keys_lose_no_link(spark, wide):
+    rng = np.random.default_rng(wide)
+    for masks in [simhash.block_masks(4, 0, wide)]:
+        for _ in range(300):
+            bits = set(rng.choice(64, 4, replace=False).tolist())
+            assert any(not bits & set(m) for m in masks)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 30)]
+    fps = sorted({f ^ sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for f in base for k in (0, 3, 4, 6)})
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    found = {tuple(r) for r in simhash.components(simhash.links(df, 4, wide=wide)).collect()}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    groups = brute_groups(fps)
+    least = {g: min(x for x, y in zip(signed, groups) if y == g) for g in set(groups)}
+    assert found == {(x, least[g]) for x, g in zip(signed, groups) if x != least[g]}
+
+
+def test_fingerprint_of_a_very_long_text():
+    """Beyond 2 ** 24 shingles a count no longer fits a 32-bit float."""
+    n = 1 << 24
+    ones = simhash._BYTE_BITS
+    assert ones.dtype == np.float64 and float(n + 1) * ones[1, 7] == n + 1
+
+
+def test_hot_keys_are_met_by_broadcast(spark):
+    rows = spark.range(400).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("k"), "id")
+    values = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    want = sorted((r["k"], r["id"], r["top"]) for r in rows.join(values, "k").collect())
+    for share in (1, 20_000, 10):
+        simhash.HOT_SHARE, old = share, simhash.HOT_SHARE
+        got = sorted((r["k"], r["id"], r["top"]) for r in simhash.join_by_key(rows, values, "k", 400).collect())
+        simhash.HOT_SHARE = old
+        assert got == want
 
 
 # -- 10 URLs

@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from repolens.llm import mixing, neighbours, packing, quality, queries, rules
-from tests.llm.test_text_ops import brute_fingerprint, brute_groups
+from tests.llm.test_similar import brute_kept
 
 
 def brute_nearest(rows, k=20):
@@ -122,9 +122,7 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
         elif k == 1:
             assert sorted(after) == sorted(r["doc_id"] for r in rules.judge(docs).filter("kept").collect())
         elif k == 2:
-            ids = sorted(before)
-            groups = brute_groups([brute_fingerprint(before[i]) for i in ids])
-            assert sorted(after) == sorted(ids[g] for g in set(groups))
+            assert sorted(after) == brute_kept(sorted(before.items()))
         elif k == 3:
             assert sorted(after) == sorted(before) and after != sorted(after)
         else:
