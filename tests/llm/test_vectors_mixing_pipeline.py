@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from repolens.llm import mixing, neighbours, packing, quality, queries, rules
@@ -80,27 +81,95 @@ def test_phases_place_every_block():
     assert Counter(order) == Counter(dict(enumerate(blocks)))
 
 
+def brute_order(weights, blocks):
+    """The source of every slot: earliest deadline first, slot by slot, over all blocks."""
+    left, out, start, done = list(blocks), [], 0, [0] * len(blocks)
+    alive = None
+    while any(left):
+        now = [i for i, n in enumerate(left) if n]
+        w = {i: weights[i] for i in now if weights[i]} or dict.fromkeys(now, 1)
+        if alive != list(w):
+            alive, start, done = list(w), len(out), [0] * len(blocks)
+        total, t = sum(w.values()), len(out) - start
+        ready = [(-(-(done[i] + 1) * total // w[i]), i) for i in w if done[i] * total // w[i] <= t]
+        _, i = min(ready)
+        out.append(i)
+        done[i] += 1
+        left[i] -= 1
+    return out
+
+
+def brute_positions(df, weights, block, other=1):
+    """position of each (source, h, h2, id) by brute force."""
+    body = F.xxhash64("text")
+    rows = df.select("doc_id", F.coalesce("source", F.lit("")).alias("s"), F.shiftrightunsigned(F.xxhash64("doc_id", body, F.lit(4)), 2).alias("h"), body.alias("h2")).collect()
+    by_source: dict = {}
+    for r in rows:
+        by_source.setdefault(r["s"], []).append((r["h"], r["h2"], r["doc_id"] is not None, r["doc_id"] or 0))
+    names = sorted(by_source)
+    given = mixing.tempered({k: len(v) for k, v in by_source.items()}) if weights is None else weights
+    queues = {k: sorted(v) for k, v in by_source.items()}
+    order = brute_order(mixing.whole([given.get(k, other) for k in names]), [-(-len(queues[k]) // block) for k in names])
+    out = []
+    for i in order:
+        mine = queues[names[i]]
+        out += [(names[i], x[3] if x[2] else None) for x in mine[:block]]
+        del mine[:block]
+    return out
+
+
 def test_mix(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
-    rows = [(i, f"t{i}", s, "x") for i, s in enumerate(["a"] * 100 + ["b"] * 37 + [None] * 11 + ["c"] * 3)] + [(5, "t5", "a", "x")] * 2
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    monkeypatch.setattr(mixing, "PART_ROWS", 40)
+    rows = [(i, f"t{i}", s, "x") for i, s in enumerate(["a"] * 100 + ["b"] * 37 + [None] * 11 + ["c"] * 3)] + [(5, "t5", "a", "x")] * 2 + [(None, None, "b", None), (None, "z", "b", None), (None, "z", "d", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot string")
-    got = mixing.mix(df, {"a": 5, "b": 3}, block=4).collect()
-    assert len(got) == len(rows) and sorted(r["position"] for r in got) == list(range(len(rows)))
-    slots: dict = {}
-    for r in got:
-        slots.setdefault(r["slot"], set()).add((r["source"], r["block_no"]))
-    assert all(len(v) == 1 for v in slots.values()) and sorted(slots) == list(range(len(slots)))
-    # weights 1 : 5 : 3 : 1 in name order until the first source runs out
-    names, w = ["", "a", "b", "c"], [1, 5, 3, 1]
-    count = Counter()
-    for t in range(10):
-        count[next(iter(slots[t]))[0]] += 1
-        assert all(abs(count[n] * 10 - x * (t + 1)) < 10 for n, x in zip(names, w))
+    for weights, ranges in (({"a": 5, "b": 3}, 1 << 16), ({"a": 50_000, "b": 30_011, "c": 0, "": 0}, 7), ({"a": 0, "b": 0, "c": 0, "d": 0, "": 0}, 64), (None, 2)):
+        monkeypatch.setattr(mixing, "RANGES", ranges)
+        got = sorted(mixing.mix(df, weights, block=4).collect(), key=lambda r: r["position"])
+        assert [r["position"] for r in got] == list(range(len(rows)))
+        assert [(r["source"], r["doc_id"]) for r in got] == brute_positions(df, weights, 4)
     assert mixing.mix(df.limit(0)).count() == 0
-    mixed = mixing.in_order(df, {"a": 5, "b": 3}, block=4)
+    mixed = mixing.in_order(df, weights, block=4)
     assert mixed.columns == df.columns
-    by_place = [(r["source"], r["doc_id"]) for r in sorted(got, key=lambda r: r["position"])]
-    assert [(r["source"] or "", r["doc_id"]) for r in mixed.collect()] == by_place
+    assert [(r["source"] or "", r["doc_id"]) for r in mixed.collect()] == [(r["source"], r["doc_id"]) for r in got]
+    with pytest.raises(ValueError):
+        mixing.mix(df, {"a": -1})
+
+
+def test_mix_query(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = sorted(queries.op4_mixing_sources(spark, sf_dir).collect(), key=lambda r: r["position"])
+    assert [(r["source"], r["doc_id"]) for r in got] == brute_positions(docs, None, mixing.BLOCK)
+
+
+def test_more_sources_than_are_scheduled_at_once(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 6)
+    monkeypatch.setattr(mixing, "BUNDLE", 4)
+    rows = [(i, f"t{i}", f"s{i * i % 41}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = Counter(s for _, _, s in rows)
+    for weights in (None, dict.fromkeys(sizes, 1)):
+        got = sorted(mixing.mix(df, weights, block=4).collect(), key=lambda r: r["position"])
+        assert [r["position"] for r in got] == list(range(900)) and sorted(r["doc_id"] for r in got) == list(range(900))
+        slots: dict = {}
+        for r in got:
+            slots.setdefault(r["slot"], set()).add((r["source"], r["block_no"]))
+        assert all(len(v) == 1 for v in slots.values()) and sorted(slots) == list(range(len(slots)))
+        order = [next(iter(slots[t])) for t in sorted(slots)]
+        for name in sizes:  # a source's blocks keep their order
+            assert [b for s, b in order if s == name] == list(range(-(-sizes[name] // 4)))
+    share = len(sizes)  # equal weights: until the first source runs out none is far from its share
+    first = min(max(t for t, (s, _) in enumerate(order) if s == name) for name in sizes)
+    count = Counter()
+    for t in range(first):
+        count[order[t][0]] += 1
+        assert all(abs(count[n] - (t + 1) / share) < 3 for n in sizes)
+
+
+def test_whole_weights():
+    assert mixing.whole([10, 20, 0]) == [1, 2, 0] and mixing.whole([0, 0]) == [0, 0] and mixing.whole([]) == []
+    assert sum(mixing.whole([10**9, 1, 3.5])) <= mixing.PERIOD + 3 and min(mixing.whole([10**9, 1, 3.5])) == 1
 
 
 def test_pipeline_stages(spark, sf_dir, tmp_path):
