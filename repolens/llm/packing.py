@@ -33,9 +33,9 @@ PART = 1024
 #: Tokens of a unit that are held at once, where units follow given places.
 HELD = 4 << 20
 #: Bytes of text that are tokenised at once; distinct words are encoded once in each.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Pieces in one generation of a worker's memory; it keeps two generations.
-CACHE = 500_000
+CACHE = 400_000
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
 

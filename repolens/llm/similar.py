@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.llm.simhash import body_hash, components, join_by_key, links, name_groups, small
-from repolens.llm.text import sliced, text_column, words_of
+from repolens.llm.text import give_back, sliced, text_column, words_of
 from repolens.llm.xxh import xxh64_spans
 from repolens.session import materialize
 
@@ -38,8 +38,10 @@ FREQUENT = 100_000
 #: Nodes of a bucket that are paired at once.
 SMALL = 16
 PAIRS = 1 << 18
-#: Bits of a set's bitmap.
-BITS = 2048
+#: A set of n shingles has a bitmap of 2 n bits, rounded up to a power of two, LEAST_BITS at least.
+LEAST_BITS = 256
+#: Sets that a task remembers, so as to describe each once.
+SEEN = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -92,13 +94,26 @@ def _frequent(docs: DataFrame, text_col: str) -> np.ndarray:
     return np.array([r["h"] for r in reversed(seen)], dtype=np.int64)
 
 
+def bitmaps(h: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """The bitmap of each set."""
+    size = np.diff(edges)
+    width = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    ends = np.cumsum(width)
+    flags = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    wide = np.repeat(width, size)
+    flags[np.repeat(ends - width, size) + (h.view(np.uint64) & (wide - 1).astype(np.uint64)).astype(np.int64)] = 1
+    raw = np.packbits(flags).tobytes()
+    return [raw[(y - n) // 8 : y // 8] for y, n in zip(ends.tolist(), width.tolist())]
+
+
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """(id, sig, size, body: the text's hash, fp: the set's fingerprint, prefix) for every row; sig names the set."""
+    """(id, sig, size, body: the text's hash, fp: the set's fingerprint, prefix, bits) for every row; sig names the set. Of equal sets in a partition the first has the prefix and the bitmap."""
     by_hash = np.argsort(frequent)
     known = frequent[by_hash]
     a, b = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in sliced(batches, "text", 2 << 20):
             h, edges = shingle_sets(text_column(batch))
             n = batch.num_rows
@@ -109,26 +124,40 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray)
                 x = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
                 np.add.at(sig, doc, x ^ (x >> np.uint64(29)))
+            sig = sig.view(np.int64)
+            first = np.zeros(n, dtype=bool)
+            for i, name in enumerate(sig.tolist()):
+                if name not in seen:
+                    seen.add(name)
+                    first[i] = True
+            if len(seen) > SEEN:
+                seen.clear()
+            fp = set_fingerprints(h, edges)
+            bits = [x if y else None for x, y in zip(bitmaps(h, edges), first.tolist())]
             rank = np.zeros(len(h), np.int64)  # 0: not frequent
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 rank = np.where(known[at] == h, by_hash[at] + 1, 0)
             h = h[np.lexsort((h, rank, doc))]
-            take = np.where(size > 0, size + (-size * a) // b + 1, 0)  # (-size * a) // b is -ceil(size * a / b)
+            take = np.where(first & (size > 0), size + (-size * a) // b + 1, 0)  # (-size * a) // b is -ceil(size * a / b)
             place = np.arange(len(h)) - np.repeat(edges[:-1], size)
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))).astype(np.int32)), pa.array(h[place < np.repeat(take, size)]))
-            fp = set_fingerprints(h, edges)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig.view(np.int64)), pa.array(size), batch.column(2), pa.array(fp.view(np.int64)), prefix], names=["id", "sig", "size", "body", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sig), pa.array(size), batch.column(2), pa.array(fp.view(np.int64)), prefix, pa.array(bits, type=pa.binary())],
+                names=["id", "sig", "size", "body", "fp", "prefix", "bits"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), body_hash(text_col).alias("body"))
-    return rows.mapInArrow(run, f"id {kind}, sig long, size long, body long, fp long, prefix array<long>")
+    return rows.mapInArrow(run, f"id {kind}, sig long, size long, body long, fp long, prefix array<long>, bits binary")
 
 
 def _column(values: pa.Array) -> np.ndarray:
-    """Numbers as they are; bitmaps as rows of 64-bit words."""
+    """Numbers as they are; bitmaps as objects."""
     if pa.types.is_binary(values.type):
-        return np.frombuffer(b"".join(values.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+        out = np.empty(len(values), dtype=object)
+        out[:] = values.to_pylist()
+        return out
     return values.to_numpy(zero_copy_only=False)
 
 
@@ -157,30 +186,51 @@ def _near_size(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, sig, size, root) sorted by key, sig: (a, b, null) for pairs to try, (sig, size, key) for the rows of large buckets. Pairs of one root need no trial."""
-    for (key, sig, size, root), edges in _buckets(batches):
+    for columns, _ in _buckets(batches):
+        new = np.concatenate(([True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])))  # a set may come from several partitions
+        key, sig, size, root = (x[new] for x in columns)
+        edges = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
         many = np.diff(edges)
         bucket = np.repeat(np.arange(len(many)), many)
         place = np.arange(len(sig)) - edges[bucket]
+        mixed = (np.minimum.reduceat(root, edges[:-1]) != np.maximum.reduceat(root, edges[:-1]))[bucket]
+        large = (many[bucket] > SMALL) & mixed
         pairs = []
         for k in range(1, SMALL):  # each row with the k-th before it, in small buckets
-            i = np.flatnonzero((place >= k) & (many[bucket] <= SMALL))
+            i = np.flatnonzero((place >= k) & (many[bucket] <= SMALL) & mixed)
             pairs.append((i - k, i))
-        i = np.flatnonzero((place > 0) & (many[bucket] > SMALL))
+        i = np.flatnonzero((place > 0) & large)
         pairs.append((edges[bucket[i]], i))
         p, q = (np.concatenate(x) for x in zip(*pairs))
         ok = _near_size(size[p], size[q]) & (root[p] != root[q])
-        large = many[bucket] > SMALL
         a, b = np.concatenate((sig[p[ok]], sig[large])), np.concatenate((sig[q[ok]], size[large]))
         keys = np.concatenate((np.zeros(int(ok.sum()), np.int64), key[large]))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(keys, mask=np.arange(len(a)) < ok.sum())], names=["a", "b", "key"])
 
 
-def _possible(size: np.ndarray, bits: np.ndarray, size2: np.ndarray | int, bits2: np.ndarray) -> np.ndarray:
+def _matrix(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps of one length as rows of 64-bit words, folded to ``width`` bytes: bit i stands for all shingles that leave i."""
+    m = np.frombuffer(b"".join(bits.tolist()), dtype=np.uint64).reshape(len(bits), -1, width // 8)
+    return np.bitwise_or.reduce(m, axis=1)
+
+
+def _at_least(size: np.ndarray, bits: np.ndarray, size2: np.ndarray | int, bits2: np.ndarray) -> np.ndarray:
     """Whether the similarity can be LEAST: each bit that one bitmap has alone stands for one shingle that its set has alone."""
     most = np.minimum(size - np.bitwise_count(bits & ~bits2).sum(axis=1, dtype=np.int64), size2 - np.bitwise_count(bits2 & ~bits).sum(axis=1, dtype=np.int64))
     return most * LEAST[1] >= (size + size2 - most) * LEAST[0]
 
 
+def _possible(size: np.ndarray, bits: np.ndarray, size2: np.ndarray, bits2: np.ndarray) -> np.ndarray:
+    """Whether each pair's similarity can be LEAST, by bitmaps of any lengths."""
+    out = np.zeros(len(size), dtype=bool)
+    n, m = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (bits, bits2))
+    for x, y in set(zip(n.tolist(), m.tolist())):
+        i = np.flatnonzero((n == x) & (m == y))
+        for j in np.array_split(i, len(i) * max(x, y) // (32 << 20) + 1):
+            out[j] = _at_least(size[j], _matrix(bits[j], min(x, y)), size2[j], _matrix(bits2[j], min(x, y)))
+    return out
+
+
 def _last_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, sig, size, root, bits) sorted by key, size: the possible pairs of large buckets that are not in one component."""
     for (_, sig, size, root, bits), edges in _buckets(batches):
@@ -190,16 +240,29 @@ def _last_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (root[lo:hi] == root[lo]).all():
                 continue
             ends = np.searchsorted(size[lo:hi], size[lo:hi] * LEAST[1] // LEAST[0], side="right") + lo
+            # sizes ascend, and so do the bitmaps' lengths
+            length = np.fromiter(map(len, bits[lo:hi]), dtype=np.int64, count=hi - lo)
+            widths = np.unique(length).tolist()
+            cuts = {w: np.searchsorted(length, [w, w + 1]) + lo for w in widths}
+            own = {w: _matrix(bits[x:y], w) for w, (x, y) in cuts.items()}
+            folded = {w: _matrix(bits[slice(*cuts[2 * w])], w) for w in widths if 2 * w in cuts}
             for i in range(lo, hi - 1):
-                j = np.flatnonzero(root[i + 1 : ends[i - lo]] != root[i]) + i + 1
-                j = j[_possible(size[j], bits[j], size[i], bits[i])]
-                out.append((np.minimum(sig[j], sig[i]), np.maximum(sig[j], sig[i])))
-                held += len(j)
+                w = int(length[i - lo])
+                mine = own[w][i - cuts[w][0]][None, :]
+                for first, last, maps in ((*cuts[w], own[w]), (*cuts[2 * w], folded[w])) if w in folded else ((*cuts[w], own[w]),):
+                    a, b = max(i + 1, first), min(int(ends[i - lo]), last)
+                    if a >= b:
+                        continue
+                    j = np.flatnonzero(root[a:b] != root[i]) + a
+                    j = j[_at_least(size[j], maps[j - first], size[i], mine)]
+                    out.append((np.minimum(sig[j], sig[i]), np.maximum(sig[j], sig[i])))
+                    held += len(j)
                 if held > PAIRS:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
                     out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+    give_back()
 
 
 def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,32 +271,25 @@ def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, n, x, m, y = map(_column, batch.columns)
         ok = _possible(n, x, m, y)
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+    give_back()
 
 
-def _sets(wanted: DataFrame, docs: DataFrame, text_col: str, whole: bool) -> DataFrame:
-    """For the rows (sig, body: the hash of a text that has this set) of wanted: sig with the set (whole) or its size and bitmap."""
+def _sets(wanted: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(sig, shingles) for the rows (sig, body: the hash of a text that has this set) of wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2 << 20):
             h, edges = shingle_sets(text_column(batch))
-            n = batch.num_rows
-            if whole:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(h))], names=["sig", "shingles"])
-                continue
-            flags = np.zeros((n, BITS), np.uint8)
-            flags[np.repeat(np.arange(n), np.diff(edges)), h.view(np.uint64) % np.uint64(BITS)] = 1
-            bits = [x.tobytes() for x in np.packbits(flags, axis=1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges)), pa.array(bits, type=pa.binary())], names=["sig", "size", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(h))], names=["sig", "shingles"])
 
-    wanted = materialize(wanted, "wanted")
-    found = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), body_hash(text_col).alias("body")).join(small(wanted), "body").select("sig", "text")
-    return materialize(found.mapInArrow(run, "sig long, shingles array<long>" if whole else "sig long, size long, bits binary").dropDuplicates(["sig"]), "sets")
+    found = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), body_hash(text_col).alias("body")).join(small(materialize(wanted, "wanted")), "body").select("sig", "text")
+    return materialize(found.mapInArrow(run, "sig long, shingles array<long>").dropDuplicates(["sig"]), "sets")
 
 
 def _similar(possible: DataFrame, named: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """The pairs (a, b) whose sets are at least LEAST similar. named: (sig, body) of every set. Only sets of these pairs are made whole."""
     pairs = materialize(possible, "possible")
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(named, "sig"), docs, text_col, True)
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(named, "sig"), docs, text_col)
     both = pairs.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("sum"))
     return materialize(shared.filter(F.col("n") * LEAST[1] >= (F.col("sum") - F.col("n")) * LEAST[0]).select("a", "b"), "similar")
@@ -247,8 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows each give a row. Empty table: no rows. Extra columns play no part.
     """
     rows = materialize(_prefixes(docs, id_col, text_col, _frequent(docs, text_col)), "prefixes")
-    nodes = rows.groupBy("sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("body").alias("body"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix"))
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(rows.groupBy("sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("body").alias("body"), F.min("fp").alias("fp")), "nodes")
     named = nodes.select("sig", "body")
     # links by fingerprint; equal fingerprints meet the first set that has them
     by_fp = materialize(nodes.groupBy("fp").agg(F.min("sig").alias("first"), F.count(F.lit(1)).alias("n")), "by_fp")
@@ -258,12 +313,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = _similar(near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), named, docs, text_col)
     joined = components(edges)
     # all other pairs of sets that share a prefix shingle
-    rooted = nodes.join(joined.withColumnRenamed("node", "sig"), "sig", "left").select(F.explode("prefix").alias("key"), "sig", "size", F.coalesce("root", "sig").alias("root"))
+    to_root = lambda df, joined: df.join(small(joined.withColumnRenamed("node", "sig")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    rooted = to_root(rows.filter("bits is not null").select("sig", "size", "prefix"), joined).select(F.explode("prefix").alias("key"), "sig", "size", "root")
     first = materialize(rooted.repartition(F.col("key")).sortWithinPartitions("key", "sig").mapInArrow(_first_pairs, "a long, b long, key long"), "candidates")
-    pairs = first.filter("key is null").select("a", "b").distinct()
+    pairs = materialize(first.filter("key is null").select("a", "b").distinct(), "pairs")
     large = first.filter("key is not null").select("key", F.col("a").alias("sig"), F.col("b").alias("size"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(large.select("sig")).distinct().join(named, "sig")
-    maps = _sets(wanted, docs, text_col, False)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(large.select("sig")).distinct()
+    maps = rows.filter("bits is not null").select("sig", "size", "bits").join(small(materialize(wanted, "mapped")), "sig", "left_semi")
+    maps = materialize(maps.groupBy("sig").agg(F.min("size").alias("size"), F.min("bits").alias("bits")), "maps")
     side = lambda c, n: maps.select(F.col("sig").alias(c), F.col("size").alias(f"size{n}"), F.col("bits").alias(f"bits{n}"))
     possible = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "size1", "bits1", "size2", "bits2").mapInArrow(_pruned, "a long, b long")
     more = _similar(possible, named, docs, text_col)
@@ -271,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         edges = edges.unionByName(more)
         joined = components(edges)
     if not large.isEmpty():
-        rooted = large.join(joined.withColumnRenamed("node", "sig"), "sig", "left").join(maps.select("sig", "bits"), "sig").select("key", "sig", "size", F.coalesce("root", "sig").alias("root"), "bits")
+        rooted = to_root(large, joined).join(maps.select("sig", "bits"), "sig").select("key", "sig", "size", "root", "bits")
         rest = rooted.repartition(F.col("key")).sortWithinPartitions("key", "size").mapInArrow(_last_pairs, "a long, b long").distinct()
         joined = components(edges.unionByName(_similar(rest, named, docs, text_col)))
     groups = name_groups(nodes.select("sig", "n", "least"), joined, "sig")

@@ -5,6 +5,7 @@ A word is a maximal run of ``[^\\x20\\x09-\\x0D]``; lower-casing touches A-Z onl
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,15 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return pc.fill_null(col, "")
 
 
+def give_back() -> None:
+    """Return free memory to the system: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def sliced(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text; a longer single text is a batch of its own."""
     for batch in batches:
@@ -34,6 +44,7 @@ def sliced(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = S
             stop = max(start + 1, int(np.searchsorted(size, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start, base = stop, int(size[stop - 1])
+    give_back()
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
