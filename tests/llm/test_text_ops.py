@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -107,18 +108,41 @@ def test_chat_query(spark, sf_dir):
 
 
 # -- 2 licences
+NOTICES = [
+    # worded otherwise than the templates
+    ("apache-2.0", "This product is distributed under the Apache License 2.0; see the file LICENSE."),
+    ("apache-2.0", 'Copyright 2021 Foo Inc.\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n'),
+    ("mit", "The code in this repository is released under the terms of the MIT license."), ("mit", "/* This software is licensed under the MIT License */"), ("mit", "Licensed under MIT"),
+    ("gpl-3.0", "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("gpl-2.0", "# This file is licensed under the terms of the GNU General Public License version 2."), ("lgpl", "This module is distributed under the GNU Lesser General Public License, version 3."),
+    ("lgpl", "// SPDX-License-Identifier: LGPL-3.0-only"), ("agpl-3.0", "The server is licensed under the GNU Affero General Public License v3."), ("agpl-3.0", "Licensed under AGPL-3.0."), ("bsd", "This code is under the BSD 3-Clause license."),
+    ("bsd", "Redistribution and use in source and binary forms are permitted provided that the above copyright notice and this list of conditions are retained."),
+    ("mpl-2.0", "The files are subject to the terms of the Mozilla Public License, version 2.0."), ("cc-by-sa", "Except where noted, the content is available under the Creative Commons Attribution-ShareAlike 4.0 License."),
+    ("cc-by-sa", "Content licensed under CC BY-SA 4.0"), ("cc-by", "The data set is licensed under CC BY 4.0."), ("cc-by-nc", "The images are licensed under CC BY-NC 4.0."),
+    ("cc0", "The author has waived all copyright and related rights to the work; it is CC0 1.0 Universal."), ("unlicense", "It is free and unencumbered software released into the public domain."), ("isc", "The package is released under the ISC License."),
+    ("unknown", "Licensed under the Foo Bar Community License, version 9."), ("unknown", "SPDX-License-Identifier: Zork-1.0"), ("none", "Copyright (c) 2015 Example Ltd."), ("none", "He kept the license plate of his first car on the wall."),
+    ("none", "The lawyer said that copyright had run out long ago."), ("none", "That thention thaned on the river of general thations."), ("unknown", "license"),
+]
+
+
+def wrapped(notices, width, mark):
+    return "\n".join(mark + line for line in "\n\n".join(textwrap.fill(x, width) for x in notices).split("\n"))
+
+
 def test_licenses_against_plain_form(spark, edge, none, docs):
     model = licenses.trained()
-    notices = [t for v in licenses.TEMPLATES.values() for t in v] + licenses.ORDINARY + ["Licensed under the Foo Bar Community License, version 9.", "Copyright 2020 Someone", "license"]
+    notices = [t for v in licenses.TEMPLATES.values() for t in v] + licenses.ORDINARY + [x for _, x in NOTICES] + ["Copyright 2020 Someone", "one-\ntwo license\n\n\n* three\r\n*/ license of four-\nfive", "license " + "word " * 20_000]
+    notices += [wrapped(v, 72, mark) for v in licenses.TEMPLATES.values() for mark in ("# ", " * ")]
     rows = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(notices)], "doc_id long, text string")
     frame = edge.select("doc_id", "text").union(docs.select("doc_id", "text")).union(rows)
     want = Counter()
     for doc_id, text in frame.collect():
-        names = [model.classify(p) for p in (text or "").split("\n")]
-        cues = sum(bool(re.search(licenses.CUE, p)) for p in (text or "").split("\n"))
+        found = licenses.paragraphs(text or "")
+        names = [model.classify(p) for p in found]
         known = [n for n in names if n not in (licenses.NONE, licenses.UNKNOWN)]
-        want[(doc_id, ",".join(sorted(set(known))), cues, len(known), names.count(licenses.UNKNOWN))] += 1
-    assert Counter(tuple(r) for r in licenses.scan(frame).collect()) == want
+        want[(doc_id, ",".join(sorted(set(known))), sum(bool(re.search(licenses.CUE, p)) for p in found), len(known), names.count(licenses.UNKNOWN))] += 1
+    got = Counter(tuple(r) for r in licenses.scan(frame.select("*", F.lit("x").alias("families"), F.lit(1).alias("rid"))).collect())
+    assert got == want
     assert licenses.scan(none).count() == 0
 
 
@@ -128,7 +152,23 @@ def test_license_families():
         assert all(model.classify(n) == name for n in notices), name
         assert all(model.classify("/* " + n.lower() + " */") == name for n in notices)
     assert all(model.classify(t) in (licenses.NONE, licenses.UNKNOWN) for t in licenses.ORDINARY)
-    assert model.classify("Licensed under the Foo Bar Community License, version 9.") == licenses.UNKNOWN
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * "])
+@pytest.mark.parametrize("width", [72, 76, 80])
+def test_wrapped_notices_are_read_whole(width, mark):
+    """Whole texts of every family: no paragraph is unknown or of another family."""
+    model = licenses.trained()
+    for name, notices in licenses.TEMPLATES.items():
+        names = {model.classify(p) for p in licenses.paragraphs(wrapped(notices, width, mark))}
+        assert names - {licenses.NONE} == {name}
+
+
+def test_notices_that_no_template_words():
+    model = licenses.trained()
+    for name, text in NOTICES:
+        names = {model.classify(p) for p in licenses.paragraphs(text)} - {licenses.NONE}
+        assert names == {name} - {licenses.NONE}, text
 
 
 # -- 5 classifier
