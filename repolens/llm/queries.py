@@ -111,7 +111,7 @@ f AS (SELECT *, length(regexp_replace(text, '[\\\[<]', '--', 'g')) + CASE role W
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id""",
-    "op10_url_filters": r"""
+    "op10_url_filters": rf"""
 WITH parts AS (
   SELECT page_id, url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
          CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
@@ -123,7 +123,7 @@ hits AS (
   SELECT page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
   FROM parts p JOIN rules r ON (p.host = r.own OR ends_with(p.host, '.' || r.own)) AND starts_with(p.path, r.start) GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, h.rule,
-  coalesce(h.verdict, CASE WHEN regexp_matches(p.low, '(?s)://([^/?#]*\.)?ads-track\..*|://([^/?#]*\.)?doubleclick\.net([^a-z0-9_.%-]|$)|/adserver/|/banner.*/ad|://([^/?#]*\.)?tracker\..*/collect([^a-z0-9_.%-]|$)|/click\?.*redirect=|/phishing/')
+  coalesce(h.verdict, CASE WHEN regexp_matches(p.low, '{urls.pattern_sql()}')
     THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN hits h USING (page_id)""",
 }

@@ -1,12 +1,16 @@
 """URL filters (operator 10): pattern rules indexed by their rarest literal token.
 
-Rules are host/path prefixes with a verdict, or patterns with ``*``, ``^`` and ``||``. Each rule is filed
-under that of its literal tokens which is rarest in the corpus; a URL's tokens fetch candidate rules, and
-only candidates are matched. Host and path rules decide first (the longest wins); the patterns decide what
-they leave open; what no pattern blocks is allowed.
+Rules are host/path prefixes with a verdict, or patterns with ``*``, ``^`` and ``||``. A rule's literal tokens are runs of
+letters and digits: whole where the rule bounds them on both sides, else the begin, end or middle of a URL's token
+(``*/banner*`` holds the begin ``banner``). Each rule is filed under that of its tokens which is rarest in the corpus;
+a URL's tokens, and those of their begins, ends and middles that have the length of a filed piece, fetch candidate
+rules, and only candidates are matched. A pattern without a letter or digit cannot be filed and is refused.
+Host and path rules decide first (the longest wins); the patterns decide what they leave open; what no pattern blocks
+is allowed.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no host rule and is judged
-by the patterns over its whole text (null: allowed). Repeated rows give a row each; empty tables give none.
+by the patterns over its whole text (null: allowed). Very long urls are judged whole. Repeated rows give a row each;
+empty tables give none; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -23,7 +27,10 @@ from pyspark.sql import functions as F
 #: Production rules: (verdict, host/path prefix).
 HOST_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Production patterns. ``||``: at a host label's start; ``^``: a separator or the end; ``*``: anything.
-PATTERNS = ("||ads-track.*", "||doubleclick.net^", "/adserver/*", "/banner*/ad", "||tracker.*/collect^", "*/click?*redirect=", "/phishing/*")
+PATTERNS = (
+    "||ads-track.*", "||doubleclick.net^", "/adserver/*", "/banner*/ad", "||tracker.*/collect^", "*/click?*redirect=", "/phishing/*", "||adnetwork.*", "||adserving.*", "||popads.*", "||clickbank.*^", "/pagead/*",
+    "*/popunder*", "*popup-ad*", "/doorway/*", "/adframe.", "-adbanner-", "*&affiliate_id=", "/track/click^", "*/malware-*", "/redirect.php?url=", "*utm_campaign=spam", "/exit-intent^", "||casino-*.", "*/warez/",
+)
 
 _TOKEN = re.compile(r"[a-z0-9]+")
 _PARTS = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
@@ -36,6 +43,35 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (m[1].translate(_LOWER), m[2]) if m else ("", "")
 
 
+#: How a URL's token holds it (whole, begin, end, middle), and the literal.
+Piece = tuple[str, str]
+
+
+class Pieces:
+    """Finds which of some pieces a text's tokens hold."""
+
+    def __init__(self, pieces: set[Piece]):
+        self.whole = {x for kind, x in pieces if kind == "whole"}
+        self.parts = {k: {x for kind, x in pieces if kind == k} for k in ("begin", "end", "middle")}
+        self.sizes = {k: sorted({len(x) for x in v}) for k, v in self.parts.items()}
+
+    def of(self, text: str) -> set[Piece]:
+        found = set()
+        for token in set(_TOKEN.findall(text)):
+            if token in self.whole:
+                found.add(("whole", token))
+            n = len(token)
+            for size in self.sizes["begin"]:
+                if size <= n and token[:size] in self.parts["begin"]:
+                    found.add(("begin", token[:size]))
+            for size in self.sizes["end"]:
+                if size <= n and token[n - size :] in self.parts["end"]:
+                    found.add(("end", token[n - size :]))
+            for size in self.sizes["middle"]:
+                found.update(("middle", token[i : i + size]) for i in range(n - size + 1) if token[i : i + size] in self.parts["middle"])
+        return found
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -52,16 +88,16 @@ class Rule:
     def regex(self) -> re.Pattern:
         return _compiled(self.text)
 
-    def tokens(self) -> list[str]:
-        """Literal tokens that every matching URL holds whole. '' if there is none to rely on."""
+    def tokens(self) -> list[Piece]:
+        """Literal tokens that every matching URL holds: whole, or as the begin, end or middle of one of its own."""
         if self.kind == "host":
-            return _TOKEN.findall(self.text.partition("/")[0]) or [""]
+            return [("whole", x) for x in _TOKEN.findall(self.text.partition("/")[0])]
         found = []
-        for part in re.finditer(r"[a-z0-9]+", self.text):
+        for part in _TOKEN.finditer(self.text):
             before, after = self.text[: part.start()][-1:], self.text[part.end() :][:1]
-            if before and before != "*" and after and after != "*":
-                found.append(part[0])
-        return found or [""]
+            begins, ends = before not in ("", "*"), after not in ("", "*")
+            found.append(("whole" if begins and ends else "begin" if begins else "end" if ends else "middle", part[0]))
+        return found
 
 
 _patterns: dict[str, re.Pattern] = {}
@@ -80,11 +116,14 @@ def _compiled(text: str) -> re.Pattern:
 class RuleIndex:
     """Rules by their rarest token."""
 
-    def __init__(self, rules: list[Rule], seen: dict[str, int]):
-        self.by_token: dict[str, list[Rule]] = {}
+    def __init__(self, rules: list[Rule], seen: dict[Piece, int]):
+        self.by_piece: dict[Piece, list[Rule]] = {}
         for rule in rules:
-            token = min(rule.tokens(), key=lambda t: (t == "", seen.get(t, 0), -len(t), t))
-            self.by_token.setdefault(token, []).append(rule)
+            pieces = rule.tokens()
+            if not pieces:
+                raise ValueError(f"no literal token in {rule.text!r}")
+            self.by_piece.setdefault(min(pieces, key=lambda t: (seen.get(t, 0), -len(t[1]), t)), []).append(rule)
+        self.pieces = Pieces(set(self.by_piece))
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str]:
         """Host, path, the deciding host rule's text or None, the verdict."""
@@ -92,8 +131,8 @@ class RuleIndex:
         low = (url or "").translate(_LOWER)
         best: Rule | None = None
         blocked = False
-        for token in {*_TOKEN.findall(low), ""}:
-            for rule in self.by_token.get(token, ()):
+        for piece in self.pieces.of(low):
+            for rule in self.by_piece[piece]:
                 if rule.kind == "host":
                     if (best is None or len(rule.text) > len(best.text)) and rule.matches(host, path, low):
                         best = rule
@@ -102,24 +141,30 @@ class RuleIndex:
         return host, path, best.text if best else None, best.verdict if best else "block" if blocked else "allow"
 
 
+def pattern_sql(patterns=PATTERNS) -> str:
+    """One regular expression of all patterns, for SQL."""
+    return "(?s)" + "|".join(_compiled(x).pattern for x in patterns)
+
+
 def compile_rules(host_rules=HOST_RULES, patterns=PATTERNS) -> list[Rule]:
     return [Rule(v, t, "host") for v, t in host_rules] + [Rule("block", t, "pattern") for t in patterns]
 
 
-def token_counts(urls: DataFrame, rules: list[Rule], url_col: str = "url") -> dict[str, int]:
+def token_counts(urls: DataFrame, rules: list[Rule], url_col: str = "url") -> dict[Piece, int]:
     """In how many rows each rule token occurs, over all rows. As many counts as the rules have tokens."""
-    wanted = {t for r in rules for t in r.tokens() if t}
+    pieces = Pieces({t for r in rules for t in r.tokens()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for url in batch.column(0).to_pylist():
                 if url:
-                    seen.update(wanted.intersection(_TOKEN.findall(url.translate(_LOWER))))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), type=pa.string()), pa.array(list(seen.values()), type=pa.int64())], names=["token", "n"])
+                    seen.update(pieces.of(url.translate(_LOWER)))
+        kinds, texts = zip(*seen) if seen else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, type=pa.string()), pa.array(texts, type=pa.string()), pa.array(list(seen.values()), type=pa.int64())], names=["kind", "token", "n"])
 
-    rows = urls.select(F.col(url_col).cast("string").alias("url")).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    return {r["token"]: r["n"] for r in rows}
+    rows = urls.select(F.col(url_col).cast("string").alias("url")).mapInArrow(run, "kind string, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")).collect()
+    return {(r["kind"], r["token"]): r["n"] for r in rows}
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -488,6 +488,8 @@ def test_urls(spark):
     df = spark.createDataFrame([(i, r[0], "x") for i, r in enumerate(table)], "page_id long, url string, host string")
     assert [tuple(r)[1:] for r in urls.filter_urls(df).orderBy("page_id").collect()] == [r[1:] for r in table]
     assert urls.filter_urls(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        urls.filter_urls(df, urls.compile_rules(patterns=["/*/^"]))
 
 
 @settings(max_examples=150, deadline=None)
@@ -502,3 +504,23 @@ def test_index_misses_no_rule(tail, head):
     best = max(hosts, key=lambda r: len(r.text), default=None)
     blocked = any(r.matches(host, path, low) for r in compiled if r.kind == "pattern")
     assert index.judge(url) == (host, path, best.text if best else None, best.verdict if best else "block" if blocked else "allow")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab1*^/|.-", min_size=1, max_size=9).filter(lambda x: re.search("[ab1]", x)), max_size=6), st.lists(st.text(alphabet="ab1/.-?B", max_size=14), min_size=1, max_size=6))
+def test_pieces_miss_no_pattern(patterns, tails):
+    compiled = urls.compile_rules(patterns=patterns)
+    index = urls.RuleIndex(compiled, {})
+    for tail in tails:
+        url = "http://" + tail
+        got = index.judge(url)
+        if got[2] is None:
+            assert (got[3] == "block") == any(r.matches(*urls.split_url(url), url.lower()) for r in compiled if r.kind == "pattern")
+
+
+def test_only_fetched_candidates_run(monkeypatch):
+    """Every rule is filed under a literal, so that a URL without any of these runs no expression."""
+    index = urls.RuleIndex(urls.compile_rules(), {})
+    assert all(token for _, token in index.by_piece)
+    monkeypatch.setattr(urls.Rule, "matches", lambda *a: pytest.fail("not a candidate"))
+    assert index.judge("http://plain.sample/reading/room?x=1")[3] == "allow"
