@@ -1,11 +1,13 @@
 """Line-first quality rules (operator 6).
 
 Every line is judged by punctuation, navigation and boilerplate rules; failing lines are removed, and a
-document is rejected if it keeps too few of its words or too little text. Base measures of repetition are
+document is rejected if it keeps too few of its words or too little text. A line of any length needs end
+punctuation, unless it is wrapped: the next line goes on in lower case. Base measures of repetition are
 exact: the words inside 8-word windows that occur twice or more in a text.
 
-Defined results: null or empty texts have no words and are rejected (too few words); repeated rows are judged
-each by itself; other columns pass through ``clean`` untouched whatever their names; empty tables give none.
+Defined results: null or empty texts have no words and are rejected (too few words); very long texts are judged whole;
+repeated rows are judged each by itself; other columns pass through ``keep_good`` untouched whatever their names; empty
+tables give none.
 """
 
 from __future__ import annotations
@@ -35,19 +37,20 @@ BOILERPLATE = re.compile(
     re.IGNORECASE,
 )
 BARS = frozenset(("|", "»", "›", ">", "•", "·", "&gt;", "::"))
+_GOES_ON = re.compile(r"[ \t]*[a-z]")
 _SPECIAL = r"[#*$%&|<>{}»›•·]|!!|::"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile("[" + re.escape(SYMBOLS) + "]")
 
 
-def line_verdict(line: str, plain: bool = False) -> str:
+def line_verdict(line: str, plain: bool = False, following: str = "") -> str:
     """Why a line is removed: navigation, boilerplate, symbols, shouting, stutter, code or punctuation; '' if it stays. Blank lines stay.
 
-    plain: the line is known to hold no symbol, ``!!``, brace, boilerplate phrase or word said twice running, so only punctuation is left to test.
+    following: the next line. plain: the line is known to hold no symbol, ``!!``, brace, boilerplate phrase or word said twice running, so only punctuation is left to test.
     """
     if plain:
-        n = len(line.split(None, 3))
-        return "punctuation" if 0 < n < 4 and not line.rstrip().endswith(TERMINAL) else ""
+        bare = line.rstrip()
+        return "punctuation" if bare and not bare.endswith(TERMINAL) and not _GOES_ON.match(following) else ""
     words = line.split()
     n = len(words)
     if not n:
@@ -65,14 +68,15 @@ def line_verdict(line: str, plain: bool = False) -> str:
         return "stutter"
     if n >= 4 and "{" in line and "}" in line and ";" in line:
         return "code"
-    return "punctuation" if n < 4 and not line.rstrip().endswith(TERMINAL) else ""
+    return "punctuation" if not line.rstrip().endswith(TERMINAL) and not _GOES_ON.match(following) else ""
 
 
 def clean_text(text: str, plain: bool = False) -> tuple[str, list[tuple[int, str]]]:
     """The text without failing lines, and (line number, reason) of those removed."""
     kept, gone = [], []
-    for i, line in enumerate(text.split("\n")):
-        why = line_verdict(line, plain)
+    lines = text.split("\n")
+    for i, (line, following) in enumerate(zip(lines, [*lines[1:], ""])):
+        why = line_verdict(line, plain, following)
         if why:
             gone.append((i, why))
         else:
@@ -82,7 +86,8 @@ def clean_text(text: str, plain: bool = False) -> tuple[str, list[tuple[int, str
 
 def removed_words(text: str, plain: bool) -> int:
     """Words on the lines that fail."""
-    return sum(len(_WORD.findall(line)) for line in text.split("\n") if line_verdict(line, plain))
+    lines = text.split("\n")
+    return sum(len(_WORD.findall(line)) for line, following in zip(lines, [*lines[1:], ""]) if line_verdict(line, plain, following))
 
 
 def repeated_words(ids: np.ndarray, offsets: np.ndarray, n_words: int, window: int = WINDOW) -> np.ndarray:
@@ -179,12 +184,23 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, text string, removed array<struct<line:int,reason:string>>")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass, all columns as they were."""
+def keep_good(docs: DataFrame, text_col: str = "text", clean: bool = True) -> DataFrame:
+    """The rows of docs that pass, their texts without the failing lines (``clean``); all other columns as they were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
-            yield batch.filter(pa.array(measures(text_column(batch, text_col))["kept"]))
+            texts = text_column(batch, text_col)
+            m = measures(texts)
+            kept = np.flatnonzero(m["kept"])
+            out = batch.take(pa.array(kept))
+            lost = np.flatnonzero(m["kept_words"][kept] < m["n_words"][kept])
+            if clean and len(lost):
+                at = out.schema.get_field_index(text_col)
+                new = np.zeros(len(kept), dtype=bool)
+                new[lost] = True
+                shorter = pa.array([clean_text(texts[int(i)].as_py())[0] for i in kept[lost]], type=out.column(at).type)
+                out = out.set_column(at, out.schema.field(at), pc.replace_with_mask(out.column(at), pa.array(new), shorter))
+            yield out
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -198,11 +214,12 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
 win AS (SELECT doc_id, i, w[i : i + 7] AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n >= 2),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(0, 8) ks(k) GROUP BY doc_id),
-lines AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d)),
-m AS (SELECT doc_id, x, w, len(w) AS n, len(list_filter(w, lambda v: v IN ({bars}))) AS bars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS symbols, (length(x) - length(replace(x, '!!', ''))) / 2 AS bangs,
+split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM d),
+lines AS (SELECT doc_id, x, lead(x, 1, '') OVER (PARTITION BY doc_id ORDER BY place) AS y, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM split),
+m AS (SELECT doc_id, x, y, w, len(w) AS n, len(list_filter(w, lambda v: v IN ({bars}))) AS bars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS symbols, (length(x) - length(replace(x, '!!', ''))) / 2 AS bangs,
   len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS again FROM lines WHERE len(w) > 0),
 v AS (SELECT doc_id, x, n, (bars * 5 >= n AND contains(x, '|')) OR bars * 3 >= n OR (n <= 40 AND regexp_matches(x, {quoted('(?i)' + BOILERPLATE.pattern)})) OR (n >= 4 AND symbols * 4 >= n) OR (n >= 4 AND bangs * 4 >= n)
-  OR (n >= 8 AND again * 3 >= n) OR (n >= 4 AND contains(x, '{{') AND contains(x, '}}') AND contains(x, ';')) OR (n < 4 AND NOT ({ends})) AS gone FROM m),
+  OR (n >= 8 AND again * 3 >= n) OR (n >= 4 AND contains(x, '{{') AND contains(x, '}}') AND contains(x, ';')) OR NOT ({ends} OR regexp_matches(y, '^[ \t]*[a-z]')) AS gone FROM m),
 per AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines, coalesce(sum(n) FILTER (NOT gone), 0) AS kept_words FROM v GROUP BY doc_id),
 b AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(kept_words, 0) AS kept_words FROM d LEFT JOIN per USING (doc_id) LEFT JOIN rep USING (doc_id))

@@ -235,6 +235,22 @@ def test_line_removal():
     text = "A whole sentence that stays here.\nhome | about | us\nread more\nAnother whole sentence stays.\n"
     assert rules.clean_text(text) == ("A whole sentence that stays here.\nAnother whole sentence stays.\n", [(1, "navigation"), (2, "punctuation")])
     assert rules.clean_text("") == ("", [])
+    text = "Home About News Contact Help Login\nThis sentence is wrapped and goes\non in the next line. It ends there.\nTrailing words of a line that nothing ends"
+    assert rules.clean_text(text) == ("This sentence is wrapped and goes\non in the next line. It ends there.", [(0, "punctuation"), (3, "punctuation")])
+    assert rules.clean_text(text, plain=True) == rules.clean_text(text) and rules.removed_words(text, True) == rules.removed_words(text, False) == 14
+
+
+def test_kept_texts_lose_their_failing_lines(spark, edge, docs):
+    body = "\n".join(f"Line {i} of word{i} and word{i}x stays here for good." for i in range(6))
+    rows = [(1, body + "\nhome | about | us\nread more", "x", 7), (2, "Too short.", "y", None), (3, None, None, None), (4, body, "z", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words int")
+    got = {r["doc_id"]: r for r in rules.keep_good(frame).collect()}
+    assert sorted(got) == [1, 4] and got[1]["text"] == rules.clean_text(rows[0][1])[0] == body and got[4]["text"] == rows[3][1]
+    assert (got[1]["kept"], got[1]["n_words"]) == ("x", 7)
+    assert {r["doc_id"]: r["text"] for r in rules.keep_good(frame, clean=False).collect()} == {1: rows[0][1], 4: rows[3][1]}
+    known = {r["doc_id"]: r["text"] for r in rules.cleaned(docs).collect()}
+    for r in rules.keep_good(docs).collect():
+        assert r["text"] == known[r["doc_id"]]
 
 
 # -- 7 language model
