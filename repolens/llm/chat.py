@@ -9,7 +9,8 @@ Events (conv_id, message, seq, kind, role, text) are partitioned by conversation
 The fold streams over the sorted partition and holds one message and one part of the output at a time, so a
 conversation of any length passes in bounded memory. Messages of one number that ``message`` or ``start``
 open anew stay messages of their own; ties of (message, seq) are taken in the order of role, then text.
-Null roles are the empty role and null texts the empty text; null conversations form one conversation.
+Null roles are the empty role and null texts the empty text; null conversations form one conversation. A very long
+turn is held whole, as one message; extra columns play no part; an empty table gives no rows.
 
 Rendering: ``[SYS] `` text `` [/SYS]``, ``[INST] `` text `` [/INST]``, ``[BOT] `` text `` </s>`` for system, user and
 assistant, ``[ROLE=name] `` text `` [/ROLE]`` for others. A backslash goes before every backslash, ``[`` and ``<`` of

@@ -7,7 +7,7 @@ count starts at the least possible and rises while a window exceeds the capacity
 
 Units are runs of rows within an input partition, so no shuffle is needed and a lost executor's partition
 gives the same windows again; where rows have given places, units are runs of these and one shuffle gathers them. Defined results: null and empty texts still give their end id; repeated rows
-are packed each; a text of any length is cut into windows; empty tables give none.
+are packed each; a text of any length is cut into windows; empty tables give none; extra columns play no part.
 """
 
 from __future__ import annotations

@@ -3,8 +3,10 @@
 Statistics are taken from whole texts in Arrow batches; the trees are trained on the driver from a bounded
 sample of labelled rows and flattened into arrays, which numpy walks for a whole batch at once.
 
-Defined results: null texts count as empty and get the score of an empty text; repeated rows each get a row;
-without a usable label of both classes every score is the labels' mean (0.5 if there are none).
+Defined results: null texts count as empty and get the score of an empty text; very long texts are measured whole;
+repeated rows each get a row (of several texts with one labelled id that of the smallest hash is learnt); without a
+usable label of both classes every score is the labels' mean (0.5 if there are none); an empty table gives no rows;
+extra columns play no part, and ``keep_good`` passes them on whatever their names.
 """
 
 from __future__ import annotations
@@ -147,15 +149,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on labelled rows that are not held out. Of more than ``most`` those with the smallest id hashes are taken."""
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y")).filter(F.col("y").isin(0.0, 1.0) & ~held_out("k", folds))
     chosen = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most)
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "k").select("k", "y", "text")
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "k").select("k", "y", "text", F.xxhash64("text").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             x = statistics(text_column(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["k", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["k", "y", "body", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.mapInArrow(run, f"k {kind}, y double, x array<double>").toPandas()
+    measured = rows.mapInArrow(run, f"k {kind}, y double, body long, x array<double>")
+    got = measured.groupBy("k").agg(F.first("y").alias("y"), F.min_by("x", "body").alias("x")).toPandas()  # ``most`` rows at most
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.stack(got["x"].to_numpy()), got["y"].to_numpy()

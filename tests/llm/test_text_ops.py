@@ -186,6 +186,51 @@ def test_quality(spark, sf_dir, edge, none):
     assert quality.train(docs, labels.limit(0)).predict(np.zeros((2, len(quality.FEATURES)))).tolist() == [0.5, 0.5]
 
 
+def plain_statistics(t):
+    w = WORD.findall(t)
+    n, chars = max(len(w), 1), max(len(t), 1)
+    lines = [x.strip() for x in t.split("\n") if x.strip()]
+    count = lambda chars: sum(c in chars for c in t)
+    often = Counter(w)
+    many = max(len(lines), 1)
+    return [
+        math.log1p(len(w)), chars / n, count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars, (count("\"'()+-:;=?@[\\]^_`~,.!")) / n, count("#*$%&<>") / n, t.count("!!") / n, count("|") / n, count("0123456789") / chars,
+        len(often) / n, max(often.values(), default=0) / n, sum(a == b for a, b in zip(w, w[1:])) / n, brute_rules(t)[4] / n, (len(lines) - len(set(lines))) / many, len(w) / many, sum(x[-1] in ".!?:;" for x in lines) / many,
+        count(",") / n, count(".") / n, sum(ord(c) > 127 for c in t) / chars, sum(len(x.encode()) <= 2 for x in w) / n, sum(len(x.encode()) >= 14 for x in w) / n, count("{}") / n, count("/") / n,
+    ]
+
+
+def test_statistics_against_plain_form(edge, docs):
+    texts = [r["text"] or "" for r in edge.union(edge).select("text").collect()] + [r["text"] or "" for r in docs.collect()] + ["a b a b " * 30, "x!! {y} | z/z 12, ABC.\n\nx!! {y} | z/z 12, ABC."]
+    got = quality.statistics(pa.array(texts))
+    assert np.allclose(got, [plain_statistics(t) for t in texts], rtol=1e-12)
+    assert quality.statistics(pa.array([], type=pa.string())).shape == (0, len(quality.FEATURES))
+
+
+def test_quality_query(spark, sf_dir):
+    """The query: learnt outside the held-out fold alone, by the plain statistics."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    known = [(plain_statistics(docs[i]), i) for i in labels if i in docs and labels[i] in (0, 1) and not held(i)]
+    known.sort()
+    model = quality.fit(np.array([x for x, _ in known]), np.array([float(labels[i]) for _, i in known]))
+    ids = sorted(docs)
+    want = dict(zip(ids, model.predict(np.array([plain_statistics(docs[i]) for i in ids]))))
+    got = queries.op5_quality_classifier(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == ids
+    for r in got:
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-6 and r["held_out"] == held(r["doc_id"]) and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_one_text_of_a_repeated_labelled_id_is_learnt(spark):
+    rows = [(i, ("junk! " if i % 2 else "Fine words stay here. ") * 20) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(60)], "doc_id long, quality int")
+    once, often = (spark.createDataFrame(rows * k, "doc_id long, text string") for k in (1, 3))
+    a, b = quality.train(once, labels), quality.train(often, labels)
+    assert (a.threshold == b.threshold).all() and (a.value == b.value).all()
+
+
 def test_trees_walk_like_nested_ifs():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 5))
