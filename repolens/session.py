@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
 import os
 import tempfile
 import uuid
@@ -45,21 +47,66 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a local one where it is unset (tests)."""
+    """The folder that all executors share, as the cluster names it (``spark.checkpoint.dir``).
+
+    Where it is unset a session on one machine gets a local one; on a cluster that would scatter tables over the
+    executors' own disks, so it is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="repolens-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+#: Tables that this process has written and not dropped, and the sessions that wrote them.
+_written: dict[str, SparkSession] = {}
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that is dropped at the end of this process, if not before."""
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.unregister(drop_tables)
+        atexit.register(drop_tables)
+    _written[path] = spark
+    return path
+
+
+def drop_tables(*paths: str) -> None:
+    """Delete these tables, or all that this process has written and not dropped yet."""
+    for path in paths or list(_written):
+        spark = _written.pop(path, None)
+        try:
+            if spark is not None and spark.sparkContext._jsc is not None:
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception as failure:  # the session may be gone; what is left is in the shared folder alone
+            logging.getLogger(__name__).debug("not dropped: %s (%s)", path, failure)
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write df to a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df to a table in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``forget`` drops the table once nothing reads it any more; the others go at the end of the process.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     schema = df.schema
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._repolens_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Drop tables of ``materialize`` that no plan reads any more."""
+    for table in tables:
+        if path := getattr(table, "_repolens_path", None):
+            drop_tables(path)
