@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolens.functions import paths
-from repolens.session import materialize
+from repolens.session import forget, materialize
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -17,46 +18,90 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("src") != F.col("dst")).select("repo_id", "src", "dst").distinct()
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+#: A repository of so many edges at most is walked in one task; larger graphs take rounds over all executors.
+GRAPH_EDGES = 10_000
+#: Steps along the edges in one round.
+HOPS = 3
+
+
+def split_by_size(edges: DataFrame, most: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """The edges of repositories that one task can walk, and those of larger ones; None where there are none."""
+    counts = materialize(edges.groupBy("repo_id").count(), "sizes")
+    large = counts.filter(F.col("count") > (GRAPH_EDGES if most is None else most)).select("repo_id")
+    found = large.limit(1).count()
+    if not found:
+        return edges, None
+    small = edges.join(large, "repo_id", "left_anti")
+    return (None if small.isEmpty() else small), edges.join(large, "repo_id", "left_semi")
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, most_edges: int | None = None) -> DataFrame:
     """(repo_id, seed_class, node) for every node that a seed reaches, seeds included.
 
-    Semi-naive rounds: only the last round's new nodes are joined to the edges. All seed classes and repositories
-    run in the same rounds; each round is a written table, so the plan stays short and no executor's loss costs more
-    than a round.
+    Repositories of GRAPH_EDGES at most go through one task each, all others through reachable_by_rounds.
     """
     edges = materialize(distinct_edges(edges), "edges")
+    seeds = materialize(seeds.select("repo_id", "seed_class", "node").distinct(), "seeds")
+    _, large = split_by_size(edges, most_edges)
+    if large is None:
+        return reachable_per_repo(edges, seeds)
+    of = large.select("repo_id").distinct()
+    rounds = reachable_by_rounds(large, seeds.join(of, "repo_id", "left_semi"))
+    return rounds.unionByName(reachable_per_repo(edges.join(of, "repo_id", "left_anti"), seeds.join(of, "repo_id", "left_anti")))
+
+
+def reachable_by_rounds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The same for graphs of any size.
+
+    Semi-naive rounds of HOPS steps: only the last round's new nodes are joined to the edges. All seed classes and
+    repositories run in the same rounds; each round is a written table, so the plan stays short and no executor's loss
+    costs more than a round. Rounds end when one finds nothing new, which a finite graph always comes to.
+    """
+    edges = materialize(distinct_edges(edges).select("repo_id", F.col("src").alias("node"), "dst"), "edges")
     visited = frontier = materialize(seeds.select("repo_id", "seed_class", "node").distinct(), "reach")
-    for turn in range(most_rounds):
-        found = frontier.join(edges, (frontier.repo_id == edges.repo_id) & (frontier.node == edges.src)).select(frontier.repo_id, "seed_class", F.col("dst").alias("node")).distinct()
-        frontier = materialize(found.join(visited, ["repo_id", "seed_class", "node"], "left_anti"), "reach")
+    turn = 0
+    while True:
+        step, found = frontier, []
+        for _ in range(HOPS):
+            step = step.join(edges, ["repo_id", "node"]).select("repo_id", "seed_class", F.col("dst").alias("node")).distinct()
+            found.append(step)
+        new = found[0]
+        for more in found[1:]:
+            new = new.unionByName(more)
+        frontier = materialize(new.distinct().join(visited, ["repo_id", "seed_class", "node"], "left_anti"), "reach")
         if frontier.isEmpty():
             return visited
         visited = visited.unionByName(frontier)
-        if turn % 8 == 7:  # else the plan reads a table for every round so far
+        turn += 1
+        if turn % 4 == 0:  # else the plan reads a table for every round so far
             visited = materialize(visited, "reach")
-    raise RuntimeError("reachability did not settle")
 
 
 def reachable_per_repo(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The same in one pass, a repository's graph at a time: for many repositories that each fit a worker."""
+    """The same in one pass, a repository's graph at a time: for repositories that each fit a worker."""
 
     def walk(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        following: dict[str, list[str]] = {}
-        for a, b in zip(e["src"], e["dst"]):
-            following.setdefault(a, []).append(b)
-        out = []
-        for kind, some in s.groupby("seed_class"):
-            seen = set(some["node"])
-            stack = list(seen)
-            while stack:
-                for b in following.get(stack.pop(), ()):
-                    if b not in seen:
-                        seen.add(b)
-                        stack.append(b)
-            out += [(s["repo_id"].iloc[0], kind, x) for x in sorted(seen)]
-        return pd.DataFrame(out, columns=["repo_id", "seed_class", "node"])
-
-    return edges.groupBy("repo_id").cogroup(seeds.select("repo_id", "seed_class", "node").groupBy("repo_id")).applyInPandas(walk, "repo_id string, seed_class string, node string")
+        if not len(s):
+            return pd.DataFrame({"repo_id": [], "seed_class": [], "node": []})
+        code, names = pd.factorize(pd.concat([e["src"], e["dst"], s["node"]], ignore_index=True))
+        n = len(e)
+        order = np.argsort(code[:n], kind="stable")
+        target = code[n : 2 * n][order]
+        first = np.searchsorted(code[:n][order], np.arange(len(names) + 1))
+        start, out = code[2 * n :], []
+        for kind in sorted(set(s["seed_class"])):
+            seen = np.zeros(len(names), dtype=bool)
+            now = np.unique(start[(s["seed_class"] == kind).to_numpy()])
+            while len(now):  # a whole front at a time
+                seen[now] = True
+                size = first[now + 1] - first[now]
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[now], size)
+                now = np.unique(target[at])
+                now = now[~seen[now]]
+            out.append(pd.DataFrame({"repo_id": s["repo_id"].iloc[0], "seed_class": kind, "node": names[seen]}))
+        return pd.concat(out)
+
+    return edges.select("repo_id", "src", "dst").groupBy("repo_id").cogroup(seeds.select("repo_id", "seed_class", "node").groupBy("repo_id")).applyInPandas(walk, "repo_id string, seed_class string, node string")
 
 
 def tarjan(edges: Iterable[tuple[str, str]]) -> list[list[str]]:
@@ -104,18 +149,79 @@ def tarjan(edges: Iterable[tuple[str, str]]) -> list[list[str]]:
     return sorted(out, key=lambda m: (len(m), m[0].split("/")))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(repo_id, comp, node, size) for every node on a cycle; comp is the component's first node in path order."""
+def strong_components(edges: DataFrame, most_edges: int | None = None) -> DataFrame:
+    """(repo_id, comp, node, size) for every node on a cycle; comp is the component's first node in path order.
+
+    Edges that can be on no cycle are cut first. What is left of a repository goes through one task if it has GRAPH_EDGES
+    at most, and else through components_by_colour.
+    """
+    small, large = split_by_size(on_cycles(distinct_edges(edges)), most_edges)
+    if large is None:
+        return _components_per_repo(small)
+    found = components_by_colour(large)
+    return found if small is None else found.unionByName(_components_per_repo(small))
+
 
+def _components_per_repo(edges: DataFrame) -> DataFrame:
     def run(e: pd.DataFrame) -> pd.DataFrame:
         rows = [(e["repo_id"].iloc[0], part[0], x, len(part)) for part in tarjan(zip(e["src"], e["dst"])) for x in part]
         return pd.DataFrame(rows, columns=["repo_id", "comp", "node", "size"])
 
-    # an edge out of a node nobody points to, or into one that points nowhere, is on no cycle: cut those first
-    e = distinct_edges(edges)
-    live = e.join(e.select("repo_id", F.col("dst").alias("src")).distinct(), ["repo_id", "src"], "left_semi")
-    live = live.join(e.select("repo_id", F.col("src").alias("dst")).distinct(), ["repo_id", "dst"], "left_semi")
-    return live.select("repo_id", "src", "dst").groupBy("repo_id").applyInPandas(run, "repo_id string, comp string, node string, size int")
+    return edges.select("repo_id", "src", "dst").groupBy("repo_id").applyInPandas(run, "repo_id string, comp string, node string, size int")
+
+
+def on_cycles(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """The edges without those that some ``rounds`` of cutting show to be on no cycle: out of a node nobody points to, or into one that points nowhere."""
+    e = edges
+    for _ in range(rounds):
+        e = e.join(e.select("repo_id", F.col("dst").alias("src")).distinct(), ["repo_id", "src"], "left_semi")
+        e = e.join(e.select("repo_id", F.col("src").alias("dst")).distinct(), ["repo_id", "dst"], "left_semi")
+        e = materialize(e.select("repo_id", "src", "dst"), "cycles")
+    return e
+
+
+def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
+    """Each node's colour (repo_id, node, colour) after it was spread along the edges (repo_id, src, dst) until nothing changes: the least that reaches it."""
+    while True:
+        step = colour
+        for _ in range(HOPS):
+            sent = edges.join(step.withColumnRenamed("node", "src"), ["repo_id", "src"]).select("repo_id", F.col("dst").alias("node"), "colour")
+            step = step.unionByName(sent).groupBy("repo_id", "node").agg(F.min("colour").alias("colour"))
+        after = materialize(step, "colours")
+        changed = not after.join(colour, ["repo_id", "node", "colour"], "left_anti").isEmpty()
+        forget(colour)
+        colour = after
+        if not changed:
+            return colour
+
+
+def components_by_colour(edges: DataFrame) -> DataFrame:
+    """Strong components of graphs of any size, by forward and backward rounds.
+
+    Every node takes the least node that reaches it as its colour; the nodes that reach their colour's own node along edges
+    of one colour are its component. These are taken out, with the edges between colours, until no edges are left;
+    every turn takes out a component of each colour at least.
+    """
+    edges = materialize(edges.select("repo_id", "src", "dst"), "graph")
+    out = None
+    while not edges.isEmpty():
+        nodes = edges.select("repo_id", F.col("src").alias("node")).union(edges.select("repo_id", F.col("dst").alias("node"))).distinct()
+        colour = _spread(edges, materialize(nodes.withColumn("colour", F.split("node", "/")), "colours"))
+        of = lambda c: colour.select("repo_id", F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))
+        same = edges.join(of("src"), ["repo_id", "src"]).join(of("dst"), ["repo_id", "dst"]).filter("src_colour = dst_colour")
+        same = materialize(same.select("repo_id", "src", "dst"), "graph")
+        # backwards from each colour's own node, within the colour
+        roots = colour.filter(F.array_join("colour", "/") == F.col("node")).select("repo_id", F.lit("root").alias("seed_class"), "node")
+        back = reachable_by_rounds(same.select("repo_id", F.col("dst").alias("src"), F.col("src").alias("dst")), roots)
+        part = materialize(back.select("repo_id", "node").join(colour, ["repo_id", "node"]), "part")
+        sizes = part.groupBy("repo_id", "colour").agg(F.count(F.lit(1)).cast("int").alias("size")).filter("size > 1")
+        found = materialize(part.join(sizes, ["repo_id", "colour"]).select("repo_id", F.array_join("colour", "/").alias("comp"), "node", "size"), "components")
+        out = found if out is None else out.unionByName(found)
+        left = same.join(part.select("repo_id", F.col("node").alias("src")), ["repo_id", "src"], "left_anti").join(part.select("repo_id", F.col("node").alias("dst")), ["repo_id", "dst"], "left_anti")
+        rest = on_cycles(left, 1)
+        forget(edges, same, colour, part)
+        edges = rest
+    return out if out is not None else edges.select("repo_id", F.col("src").alias("comp"), F.col("dst").alias("node"), F.lit(0).alias("size"))
 
 
 def ancestor_directories(files: DataFrame, path: str = "path") -> DataFrame:

@@ -124,7 +124,7 @@ def scan(tree: DataFrame, config: Config | None = None, cache: DataFrame | None
     used = materialize(resolve.used_names(imports, resolved), "used")
     seeds = files.filter("is_entry or role = 'Config'").select("repo_id", F.col("path").alias("node"), "is_test")
     seeds = union_all([seeds.select("repo_id", F.lit("all").alias("seed_class"), "node"), seeds.select("repo_id", F.when(F.col("is_test"), "test").otherwise("prod").alias("seed_class"), "node")])
-    reached = graph.reachable_per_repo(edges, seeds).groupBy("repo_id", F.col("node").alias("path")).agg(*[F.bool_or(F.col("seed_class") == k).alias(n) for k, n in (("all", "live"), ("prod", "prod"), ("test", "test"))])
+    reached = graph.reachable(edges, seeds).groupBy("repo_id", F.col("node").alias("path")).agg(*[F.bool_or(F.col("seed_class") == k).alias(n) for k, n in (("all", "live"), ("prod", "prod"), ("test", "test"))])
     reach = materialize(reached, "reach")
     tokens = repos.token_streams(sources) if config.duplication else None
     w = rules.Workspace(files, packages, facts, imports, edges, used, external, reach, config, tokens)

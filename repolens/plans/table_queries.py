@@ -58,16 +58,16 @@ def reach_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = part_edges(spark, sf_dir)
     nodes = edges.select("repo_id", F.col("src").alias("node")).union(edges.select("repo_id", F.col("dst").alias("node"))).distinct()
     seeds = part_seeds(spark, sf_dir).filter("seed_class = 'all'")
-    return liveness.absent(nodes, graph.reachable(edges, seeds), ["repo_id", "node"]).select("node")
+    return liveness.absent(nodes, graph.reachable_by_rounds(edges, seeds), ["repo_id", "node"]).select("node")
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, seeds AS (SELECT CASE p_size WHEN 49 THEN 'test' ELSE 'prod' END AS seed_class, 'p' || p_partkey AS node FROM part WHERE p_size >= 49),
 r(seed_class, node) AS (SELECT seed_class, node FROM seeds UNION SELECT 'all', node FROM seeds UNION SELECT r.seed_class, e.dst FROM r JOIN e ON r.node = e.src)
 SELECT node, CAST(bool_or(seed_class = 'all') AS BOOLEAN) AS live, bool_or(seed_class = 'prod') AS prod, bool_or(seed_class = 'test') AS test FROM r GROUP BY node""")
 def reach_three_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reachability from all, production and test seeds, a repository at a time."""
+    """Reachability from all, production and test seeds."""
     ship(spark)
-    reach = graph.reachable_per_repo(part_edges(spark, sf_dir), part_seeds(spark, sf_dir))
+    reach = graph.reachable(part_edges(spark, sf_dir), part_seeds(spark, sf_dir))
     return reach.groupBy("node").agg(*[F.bool_or(F.col("seed_class") == k).alias(n) for k, n in (("all", "live"), ("prod", "prod"), ("test", "test"))])
 
 
@@ -89,7 +89,7 @@ def direct_vs_transitive_coverage(spark: SparkSession, sf_dir: str) -> DataFrame
     edges = part_edges(spark, sf_dir)
     files = table(spark, sf_dir, "part").select(F.lit("parts").alias("repo_id"), F.concat(F.lit("p"), "p_partkey").alias("path"), F.col("p_size").alias("cc"))
     tests = files.join(part_seeds(spark, sf_dir).filter("seed_class = 'test'").select("repo_id", F.col("node").alias("path")), ["repo_id", "path"], "left_semi")
-    reach = graph.reachable_per_repo(edges, tests.select("repo_id", F.lit("test").alias("seed_class"), F.col("path").alias("node")))
+    reach = graph.reachable(edges, tests.select("repo_id", F.lit("test").alias("seed_class"), F.col("path").alias("node")))
     covered = graph.test_coverage(files, edges, reach, tests)
     return files.join(covered, ["repo_id", "path"]).select(F.col("path").alias("node"), "cc", "coverage", F.round(scoring.crap(F.col("cc"), F.col("coverage")), 4).alias("crap"))
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -73,6 +74,20 @@ def test_reachability_loop_and_group_agree(spark):
     want = {("r", "all", "a"), ("r", "all", "b"), ("r", "all", "c"), ("q", "test", "a"), ("q", "test", "d")}
     assert {tuple(r) for r in graph.reachable(edges, seeds).collect()} == want
     assert {tuple(r) for r in graph.reachable_per_repo(edges, seeds).collect()} == want
+    for most in (0, 1, 10_000):  # by rounds, both ways, in one task
+        assert {tuple(r) for r in graph.reachable(edges, seeds, most).collect()} == want
+
+
+def test_components_of_large_graphs(spark):
+    rng = random.Random(4)
+    rows = [("a", f"d{rng.randrange(5)}/n{rng.randrange(40)}", f"d{rng.randrange(5)}/n{rng.randrange(40)}") for _ in range(170)]
+    rows += [("b", f"m{i}", f"m{(i + 1) % 30}") for i in range(30)] + [("b", "m3", "x"), ("b", "x", "y"), ("b", "y", "x"), ("c", "p", "q"), ("c", "q", "r"), ("d", "s", "t"), ("d", "t", "s")]
+    edges = spark.createDataFrame(rows, "repo_id string, src string, dst string")
+    want = {(repo, part[0], x, len(part)) for repo in "abcd" for part in graph.tarjan([(a, b) for r, a, b in rows if r == repo and a != b]) for x in part}
+    assert len(want) > 35
+    for most in (0, 100, 10_000):
+        assert {tuple(r) for r in graph.strong_components(edges, most).collect()} == want
+    assert graph.strong_components(edges.limit(0)).count() == 0 and graph.components_by_colour(edges.limit(0)).count() == 0
 
 
 def test_prefix_owner_without_owner(spark):
