@@ -8,9 +8,12 @@ Jaccard similarity of t share a shingle among the first |S| - ceil(t |S|) + 1 of
 sample come last in that order; any order is right, the sample only keeps buckets small. Bitmaps of the sets bound what
 two can share and drop most candidates without error; the others are compared exactly.
 
-Sets that are equal are one node. In a bucket of more than SMALL nodes only links to a pivot are tried first; what is
-still in different components after that is paired in a last step, so that a large group of near copies gives links
-in proportion to its size and no link between components is lost.
+Sets that are equal are one node. In a bucket of more than SMALL nodes only links to a pivot are tried first. What is
+still in different components then is settled inside the buckets, a share of them after the other (SHARES): bitmaps
+tell which nodes of a bucket may still have a link to another component, only these meet again with their sets, and
+each bucket gives the links that join its components, fewer than it has nodes. So a large group of near copies gives
+rows in proportion to its size, most of its buckets are settled by the links of the first few, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ SAMPLE_ROWS = 20_000
 FREQUENT = 100_000
 #: Nodes of a bucket that are paired at once.
 SMALL = 16
-PAIRS = 1 << 18
+#: Large buckets are settled in this order: one in 16, then of the rest one in 4, then all others.
+SHARES = (16, 4, 1)
 #: A set of n shingles has a bitmap of 2 n bits, rounded up to a power of two, LEAST_BITS at least.
 LEAST_BITS = 256
 #: Sets that a task remembers, so as to describe each once.
@@ -106,6 +110,14 @@ def bitmaps(h: np.ndarray, edges: np.ndarray) -> list[bytes]:
     return [raw[(y - n) // 8 : y // 8] for y, n in zip(ends.tolist(), width.tolist())]
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes of hashes, whose sum names a set."""
+    with np.errstate(over="ignore"):
+        x = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(29))
+
+
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray) -> DataFrame:
     """(id, sig, size, body: the text's hash, fp: the set's fingerprint, prefix, bits) for every row; sig names the set. Of equal sets in a partition the first has the prefix and the bitmap."""
     by_hash = np.argsort(frequent)
@@ -120,10 +132,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray)
             size = np.diff(edges)
             doc = np.repeat(np.arange(n), size)
             sig = np.zeros(n, np.uint64)
-            with np.errstate(over="ignore"):
-                x = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                np.add.at(sig, doc, x ^ (x >> np.uint64(29)))
+            np.add.at(sig, doc, _mixed(h))
             sig = sig.view(np.int64)
             first = np.zeros(n, dtype=bool)
             for i, name in enumerate(sig.tolist()):
@@ -153,11 +162,18 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray)
 
 
 def _column(values: pa.Array) -> np.ndarray:
-    """Numbers as they are; bitmaps as objects."""
+    """Numbers as they are; bitmaps and sets as objects."""
     if pa.types.is_binary(values.type):
         out = np.empty(len(values), dtype=object)
         out[:] = values.to_pylist()
         return out
+    if pa.types.is_list(values.type):
+        out = np.empty(len(values), dtype=object)
+        at = values.offsets.to_numpy()
+        flat = values.values.to_numpy()
+        for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
+            out[i] = flat[a:b].copy()
+        return out
     return values.to_numpy(zero_copy_only=False)
 
 
@@ -231,11 +247,11 @@ def _possible(size: np.ndarray, bits: np.ndarray, size2: np.ndarray, bits2: np.n
     return out
 
 
-def _last_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, sig, size, root, bits) sorted by key, size: the possible pairs of large buckets that are not in one component."""
-    for (_, sig, size, root, bits), edges in _buckets(batches):
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, sig, size, root, bits) sorted by key, size: those (key, sig, root, sign) that may be similar to one of another root in their bucket; sign names the set of these."""
+    for (key, sig, size, root, bits), edges in _buckets(batches):
+        marked = np.zeros(len(sig), dtype=bool)
+        sign = np.zeros(len(sig), dtype=np.int64)
         for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
             if (root[lo:hi] == root[lo]).all():
                 continue
@@ -255,13 +271,40 @@ def _last_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     j = np.flatnonzero(root[a:b] != root[i]) + a
                     j = j[_at_least(size[j], maps[j - first], size[i], mine)]
-                    out.append((np.minimum(sig[j], sig[i]), np.maximum(sig[j], sig[i])))
-                    held += len(j)
-                if held > PAIRS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
-                    out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+                    if len(j):
+                        marked[j] = marked[i] = True
+            sign[lo:hi] = _mixed(sig[lo:hi][marked[lo:hi]]).sum(dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x[marked]) for x in (key, sig, root, sign)], names=["key", "sig", "root", "sign"])
+    give_back()
+
+
+def _joining_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, size, sig, root, shingles) sorted by key, size: similar pairs (a, b) that join all components of each bucket which any of its pairs joins."""
+    for (_, size, sig, root, sets), edges in _buckets(batches):
+        out = []
+        for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
+            label, n = root[lo:hi].copy(), size[lo:hi]
+            ends = np.searchsorted(n, n * LEAST[1] // LEAST[0], side="right")
+            maps = np.empty(hi - lo, dtype=object)
+            maps[:] = bitmaps(np.concatenate(sets[lo:hi]), np.concatenate(([0], np.cumsum(n))))
+            for i in range(hi - lo - 1):
+                j = np.flatnonzero(label[i + 1 : ends[i]] != label[i]) + i + 1
+                if not len(j):
+                    continue
+                mine = np.empty(len(j), dtype=object)
+                mine[:] = [maps[i]] * len(j)
+                j = j[_possible(n[j], maps[j], np.full(len(j), n[i]), mine)]
+                for k in j.tolist():
+                    if label[k] == label[i]:
+                        continue
+                    x, y = sets[lo + i], sets[lo + k]  # ascending
+                    at = np.searchsorted(y, x)
+                    shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                    if shared * LEAST[1] >= (len(x) + len(y) - shared) * LEAST[0]:
+                        out.append((sig[lo + i], sig[lo + k]))
+                        label[label == label[k]] = label[i]
+        a, b = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
     give_back()
 
 
@@ -327,9 +370,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         edges = edges.unionByName(more)
         joined = components(edges)
-    if not large.isEmpty():
-        rooted = to_root(large, joined).join(maps.select("sig", "bits"), "sig").select("key", "sig", "size", "root", "bits")
-        rest = rooted.repartition(F.col("key")).sortWithinPartitions("key", "size").mapInArrow(_last_pairs, "a long, b long").distinct()
-        joined = components(edges.unionByName(_similar(rest, named, docs, text_col)))
+    done, settled = F.lit(False), None
+    for share in SHARES:
+        turn = F.pmod(F.xxhash64("key", F.lit(16)), F.lit(share)) == 0
+        rooted = to_root(large.filter(turn & ~done), joined).join(maps.select("sig", "bits"), "sig").select("key", "sig", "size", "root", "bits")
+        done = done | turn
+        still = materialize(rooted.repartition(F.col("key")).sortWithinPartitions("key", "size", "sig").mapInArrow(_open_rows, "key long, sig long, root long, sign long"), "open")
+        # buckets with the same open nodes need one to be settled
+        signs = still.groupBy("sign").agg(F.min("key").alias("key"))
+        signs = materialize(signs if settled is None else signs.join(settled, "sign", "left_anti"), "signs")
+        if signs.isEmpty():
+            continue
+        settled = signs.select("sign") if settled is None else settled.unionByName(signs.select("sign"))
+        still = materialize(still.join(signs, ["sign", "key"], "left_semi"), "open")
+        sets = _sets(still.select("sig").distinct().join(named, "sig"), docs, text_col)
+        whole = still.join(sets, "sig").select("key", F.size("shingles").cast("long").alias("size"), "sig", "root", "shingles")
+        found = materialize(whole.repartition(F.col("key")).sortWithinPartitions("key", "size", "sig").mapInArrow(_joining_links, "a long, b long").distinct(), "joining")
+        if not found.isEmpty():
+            edges = materialize(edges.unionByName(found), "similar")
+            joined = components(edges)
     groups = name_groups(nodes.select("sig", "n", "least"), joined, "sig")
     return join_by_key(rows.select("id", "body", "sig"), groups, "sig", rows.count()).select(F.col("id").alias("doc_id"), "body", "root", "component_id")
