@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from repolens.functions import paths, scoring
 from repolens.functions.globs import first_match, glob_to_regex
 from repolens.operators import clones, graph, health, joins, liveness, post, resolve, sinks
+from repolens.plans import generated
 from repolens.plans.samples import REPOSITORIES
 from repolens.plans.scan import scan
 from repolens.session import ship
@@ -484,3 +485,7 @@ def clone_groups_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clones up to consistent renaming in the sample repositories."""
     ship(spark)
     return clones.clone_groups(repositories.token_streams(repositories.source_files(_samples(spark))), 20, "semantic").select("repo_id", "family", "length", "fingerprint", F.size("members").alias("members"))
+
+
+QUERIES |= generated.QUERIES
+SQL |= generated.SQL
