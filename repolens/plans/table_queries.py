@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.functions import paths, scoring
-from repolens.functions.globs import first_match, glob_to_regex
-from repolens.operators import clones, graph, health, joins, liveness, post, resolve, sinks
+from repolens.functions.globs import glob_to_regex
+from repolens.operators import clones, graph, health, joins, liveness, post, resolve, rules, sinks
 from repolens.plans import generated
 from repolens.plans.samples import REPOSITORIES
 from repolens.plans.scan import scan
-from repolens.session import ship
+from repolens.session import materialize, ship
 from repolens.sources import repositories
+from repolens.sources.config import Config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,20 +157,26 @@ def glob_policy_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAYERS = [("core", ["AFRICA", "ASIA"]), ("edge", ["EUROPE"]), ("out", ["AMERICA", "MIDDLE*"])]
 
 
-@query("""WITH l AS (SELECT n_nationkey, CASE WHEN r_name IN ('AFRICA', 'ASIA') THEN 'core' WHEN r_name = 'EUROPE' THEN 'edge' WHEN r_name = 'AMERICA' OR r_name LIKE 'MIDDLE%' THEN 'out' END AS layer FROM nation JOIN region ON n_regionkey = r_regionkey),
+def workspace(**tables) -> rules.Workspace:
+    """A workspace of the tables that a rule reads."""
+    return rules.Workspace(**dict.fromkeys(("files", "packages", "facts", "imports", "edges", "used", "external", "reach")) | tables)
+
+
+@query("""WITH l AS (SELECT n_nationkey, r_name || '/n' || n_nationkey AS path, CASE WHEN r_name IN ('AFRICA', 'ASIA') THEN 'core' WHEN r_name = 'EUROPE' THEN 'edge' WHEN r_name = 'AMERICA' OR r_name LIKE 'MIDDLE%' THEN 'out' END AS layer FROM nation JOIN region ON n_regionkey = r_regionkey),
 e AS (SELECT DISTINCT c.c_nationkey AS a, s.s_nationkey AS b FROM orders JOIN customer c ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier s ON l_suppkey = s_suppkey)
-SELECT e.a AS src, e.b AS dst, x.layer AS from_layer, y.layer AS to_layer FROM e JOIN l x ON x.n_nationkey = e.a JOIN l y ON y.n_nationkey = e.b
+SELECT x.path AS file, concat('Layer ', chr(39), x.layer, chr(39), ' may not import layer ', chr(39), y.layer, chr(39), ': ', x.path, ' -> ', y.path, '.') AS message FROM e JOIN l x ON x.n_nationkey = e.a JOIN l y ON y.n_nationkey = e.b
 WHERE x.layer <> y.layer AND NOT (x.layer = 'edge' AND y.layer = 'core' OR x.layer = 'out' AND y.layer IN ('core', 'edge'))""")
 def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from a layer to one that it may not use."""
-    allow = {"core": [], "edge": ["core"], "out": ["core", "edge"]}
-    of = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", first_match(F.col("r_name"), LAYERS).alias("layer"))
+    allow = {"core": (), "edge": ("core",), "out": ("core", "edge")}
+    config = Config(layers=tuple(rules.Layer(name, tuple(f"{x}/**" for x in regions), allow[name]) for name, regions in LAYERS))
+    of = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat("r_name", F.lit("/n"), "n_nationkey").alias("path"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    e = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
-    a, b = of.select(F.col("n_nationkey").alias("src"), F.col("layer").alias("from_layer")), of.select(F.col("n_nationkey").alias("dst"), F.col("layer").alias("to_layer"))
-    allowed = F.create_map(*[x for k, v in allow.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]).cast("array<string>"))])
-    return e.join(a, "src").join(b, "dst").filter("from_layer <> to_layer").filter(~F.array_contains(allowed[F.col("from_layer")], F.col("to_layer"))).select("src", "dst", "from_layer", "to_layer")
+    e = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("c_nationkey", "s_nationkey").distinct()
+    a, b = of.select(F.col("n_nationkey").alias("c_nationkey"), F.col("path").alias("src")), of.select(F.col("n_nationkey").alias("s_nationkey"), F.col("path").alias("dst"))
+    edges = e.join(a, "c_nationkey").join(b, "s_nationkey").select(F.lit("r").alias("repo_id"), "src", "dst")
+    return rules.boundaries(workspace(edges=edges, config=config)).select("file", "message")
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest([l_partkey * 7, l_partkey * 3, l_suppkey]) AS k, unnest([0, 1, 2]) AS pr FROM lineitem)
@@ -336,30 +343,38 @@ def clone_alpha_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR text IS NULL")
 def content_hash_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must be extracted again: rows whose (key, content hash) the cache does not hold."""
-    docs = table(spark, sf_dir, "documents")
-    now = docs.select("doc_id", F.xxhash64(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))).alias("content_hash"))
-    cache = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("content_hash"))
-    return liveness.absent(now, cache, ["doc_id", "content_hash"]).select("doc_id")
+    """What is extracted again: files whose (path, content hash) the cache does not hold. Cached facts are marked by their number of lines."""
+    ship(spark)
+    path = F.concat(F.lit("d"), "doc_id", F.lit(".css"))
+    docs = table(spark, sf_dir, "documents").select(F.lit("docs").alias("repo_id"), path.alias("path"), "doc_id", F.encode("text", "UTF-8").alias("content"))
+    known = materialize(repositories.extract_facts(docs.filter("content is not null")).withColumn("loc", F.lit(-1)), "cache")
+    changed = docs.withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit(b" changed"))).otherwise(F.col("content")))
+    fresh = repositories.extract_facts(changed, known).filter("loc >= 0")
+    return fresh.select(F.regexp_extract("path", "d([0-9]+)", 1).cast("long").alias("doc_id"))
 
 
 @query("""WITH d AS (SELECT page_id, unnest(string_split(array_to_string(regexp_extract_all(html, 'class="([^"]*)"', 1), ' '), ' ')) AS name FROM pages),
 s AS (SELECT page_id, unnest(regexp_extract_all(array_to_string(regexp_extract_all(html, '(?s)<style>(.*?)</style>', 1), ' '), '\\.([a-zA-Z_][a-zA-Z0-9_-]*)', 1)) AS name FROM pages)
 SELECT DISTINCT page_id, name FROM d WHERE name <> '' AND NOT EXISTS (SELECT 1 FROM s WHERE s.page_id = d.page_id AND s.name = d.name)""")
 def css_class_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class names that are used but not declared in the page's own styles."""
-    pages = table(spark, sf_dir, "pages")
-    used = pages.select("page_id", F.explode(F.split(F.array_join(F.regexp_extract_all("html", F.lit('class="([^"]*)"'), 1), " "), " ")).alias("name")).filter("name <> ''").distinct()
-    styles = F.array_join(F.regexp_extract_all("html", F.lit("(?s)<style>(.*?)</style>"), 1), " ")
-    declared = pages.select("page_id", F.explode(F.regexp_extract_all(styles, F.lit(r"\.([a-zA-Z_][a-zA-Z0-9_-]*)"), 1)).alias("name"))
-    return liveness.absent(used, declared, ["page_id", "name"])
+    """Class names that markup uses but the page's own styles do not declare, by the front-ends' facts."""
+    ship(spark)
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("repo_id"), "html")
+    classes = F.array_join(F.regexp_extract_all("html", F.lit('class="([^"]*)"'), 1), " ")
+    markup = pages.select("repo_id", F.lit("v.tsx").alias("path"), F.concat(F.lit('const v = <p className="'), classes, F.lit('"/>;')).alias("content"))
+    styles = pages.select("repo_id", F.lit("s.css").alias("path"), F.array_join(F.regexp_extract_all("html", F.lit("(?s)<style>(.*?)</style>"), 1), " ").alias("content"))
+    w = workspace(facts=materialize(repositories.extract_facts(markup.unionByName(styles).withColumn("content", F.encode("content", "UTF-8"))), "facts"))
+    used, declared = w.each("css_class_refs", "name"), w.each("css_classes", "t").withColumn("name", F.col("t.name"))
+    return liveness.absent(used, declared, ["repo_id", "name"]).select(F.expr("cast(substring(repo_id, 2) as long)").alias("page_id"), "name").distinct()
 
 
 @query("SELECT key AS dep, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events WHERE props IS NOT NULL) GROUP BY key")
 def json_manifest_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of JSON objects, as dependency sections hold them."""
-    keys = table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("dep"))
-    return keys.groupBy("dep").agg(F.count(F.lit(1)).alias("n"))
+    """The dependencies of manifests, one an event."""
+    ship(spark)
+    text = F.concat(F.lit('{"name": "e", "dependencies": '), "props", F.lit("}"))
+    found = repositories.manifests(table(spark, sf_dir, "events").select(F.lit("r").alias("repo_id"), F.concat(F.lit("e"), "event_id", F.lit("/package.json")).alias("path"), F.encode(text, "UTF-8").alias("content")))
+    return found.select(F.explode("dependencies").alias("dep")).groupBy("dep").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH p AS (SELECT page_id, string_split(regexp_extract(url, '://([^?#]*)', 1) || '/./x/../y', '/') AS x FROM pages)
@@ -379,7 +394,8 @@ def baseline_key_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^\\p{L}\\p{N}_]')) AS word FROM benchmark) SELECT word FROM w WHERE word <> ''""")
 def string_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifier-like words inside literals."""
-    return table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[^\p{IsAlphabetic}\p{N}_]")).alias("word")).filter("word <> ''").distinct()
+    facts = table(spark, sf_dir, "benchmark").select(F.lit("r").alias("repo_id"), F.array("text").alias("strings"))
+    return workspace(facts=facts).words().select(F.col("name").alias("word"))
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
