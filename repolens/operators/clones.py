@@ -2,7 +2,7 @@
 
 Input: ``files(repo_id, path, family, syms array<string>, lines array<int>, ends array<boolean>)``, a row per file.
 Window hashes are made in Arrow batches in time linear in the tokens (two independent rolling hashes), the groups
-by one shuffle of (hash, place) rows; window texts never leave their file.
+by one shuffle of (hash, place) rows; token sequences never leave their file.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repolens.session import materialize
+
 SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -114,50 +116,133 @@ def alpha_key(names: list[str]) -> tuple[int, ...]:
     return tuple(first.setdefault(x, i) for i, x in enumerate(names))
 
 
+#: Lengths that one pass over the files tries for every group.
+TRIES = 16
+_FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+class BlockHashes:
+    """Hash of any block of a token sequence in constant time, from sums of tokens times powers of an odd factor modulo 2**64."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.sums, self.backs = [], []
+        n = len(tokens)
+        with np.errstate(over="ignore"):
+            for factor in _FACTORS:
+                powers, back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, f, dtype=np.uint64)))) for f in (factor, pow(factor, -1, 1 << 64)))
+                self.sums.append(np.concatenate(([np.uint64(0)], np.cumsum(tokens * powers[:n], dtype=np.uint64))))
+                self.backs.append(back)
+
+    def of(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            a, b = ((q[start + size] - q[start]) * back[start] for q, back in zip(self.sums, self.backs))
+            a = (a ^ (a >> np.uint64(31))) * np.uint64(SALTS[1])
+            b = (b ^ (b >> np.uint64(29))) * np.uint64(SALTS[0])
+            return (a ^ (a >> np.uint64(32)) ^ b).view(np.int64)
+
+
+GROUP = ["repo_id", "family", "h1", "h2"]
+
+
+def _asked(coded: DataFrame, places: DataFrame, columns: list[str]) -> DataFrame:
+    """Files with what is asked of them: (h1, h2, start, columns) of their places, which are no more than their tokens."""
+    asks = places.groupBy("repo_id", "family", "path").agg(F.collect_list(F.struct("h1", "h2", "start", *columns)).alias("asks"))
+    return coded.join(asks, ["repo_id", "family", "path"])
+
+
+def common_length(coded: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """(repo_id, family, h1, h2, length): how many tokens all places (GROUP, path, start) of a group share from their starts on.
+
+    Every pass tries TRIES lengths between those known to be shared and not: each file answers with one hash a try for
+    its places, so rows are narrow however long the files are, and the range shrinks by TRIES each time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(whole.num_rows):
+                repo, family, syms, asks = (whole.column(j)[i : i + 1] for j in range(4))
+                tokens, _ = _tokens(syms)
+                blocks = BlockHashes(tokens)
+                a = asks.flatten()
+                start, low, high = (a.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "low", "high"))
+                n = len(start)
+                tries = low[:, None] + -(-(high - low)[:, None] * np.arange(1, TRIES + 1)[None, :] // TRIES)
+                got = blocks.of(np.repeat(start, TRIES), tries.ravel())
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(got), TRIES).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([repo.take(pa.array([0] * n)), family.take(pa.array([0] * n)), a.field("h1"), a.field("h2"), lists], names=[*GROUP, "got"])
+
+    ends = places.join(coded.select("repo_id", "family", "path", F.size("syms").alias("tokens")), ["repo_id", "family", "path"])
+    left = materialize(ends.groupBy(*GROUP).agg(F.lit(size).cast("long").alias("low"), F.min(F.col("tokens") - F.col("start")).cast("long").alias("high")), "lengths")
+    done = left.filter("low >= high").select(*GROUP, F.col("low").cast("int").alias("length"))
+    while not (left := left.filter("low < high")).isEmpty():
+        answers = _asked(coded, places.join(left, GROUP), ["low", "high"]).select("repo_id", "family", "syms", "asks")
+        got = answers.mapInArrow(run, "repo_id string, family string, h1 long, h2 long, got array<long>")
+        same = got.groupBy(*GROUP).agg(F.array(*[F.min(F.get("got", F.lit(i))) == F.max(F.get("got", F.lit(i))) for i in range(TRIES)]).alias("same"))
+        # how many of the tries all places agree in: the agreement ends once
+        agreed = F.coalesce(F.array_position("same", False), F.lit(0))
+        agreed = F.when(agreed == 0, TRIES).otherwise(agreed - 1)
+        tried = lambda k: F.col("low") + F.ceil((F.col("high") - F.col("low")) * k / TRIES).cast("long")
+        now = left.join(same.select(*GROUP, agreed.alias("k")), GROUP).select(*GROUP, tried(F.col("k")).alias("low"), F.when(F.col("k") == TRIES, F.col("high")).otherwise(tried(F.col("k") + 1) - 1).alias("high"))
+        left = materialize(now, "lengths")
+        done = done.unionByName(left.filter("low >= high").select(*GROUP, F.col("low").cast("int").alias("length")))
+    return done
+
+
+def _blocks(coded: DataFrame, kept: DataFrame, semantic: bool) -> DataFrame:
+    """Blocks (GROUP, path, start, length) with their first and last line, statement ends, renaming class and fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for repo, family, path, syms, names, lines, ends, asks in zip(*(c.to_pylist() for c in b.columns)):
+                closed = np.concatenate(([0], np.cumsum(np.array(ends, dtype=np.int64))))
+                rows = []
+                for x in asks:
+                    lo, hi = x["start"], x["start"] + x["length"]
+                    shown = alpha_key([n or i for i, n in enumerate(names[lo:hi])]) if semantic else ()
+                    renamed = xxhash.xxh64_intdigest(",".join(str(k) if n else "" for k, n in zip(shown, names[lo:hi])))
+                    print_ = xxhash.xxh64_intdigest("\u0003".join(syms[lo:hi]).encode(), 42)
+                    rows.append((repo, family, x["h1"], x["h2"], path, lo, x["length"], lines[lo], lines[hi - 1], int(closed[hi] - closed[lo]), renamed >> 1, f"{print_ & 0xFFFFFFFF:08x}"))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in ddl.split(", ")])
+
+    ddl = "repo_id string, family string, h1 long, h2 long, path string, start int, length int, start_line int, end_line int, statements int, alpha long, fingerprint string"
+    kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[x.split()[1]] for x in ddl.split(", ")]
+    return _asked(coded, kept, ["length"]).select("repo_id", "family", "path", "syms", "names", "lines", "ends", "asks").mapInArrow(run, ddl)
+
+
 def clone_groups(files: DataFrame, min_tokens: int = 30, mode: str = "mild", skip_local: bool = False, all_classes: bool = False) -> DataFrame:
     """Clone groups: (repo_id, family, length, members array<struct<path,start,start_line,end_line>>, fingerprint).
 
     mode: exact, mild (numbers alike), weak (strings too) or semantic (identifiers too, up to consistent renaming).
     files needs ``kinds array<string>`` (ident, num, str, punct) and ``texts array<string>`` beside lines and ends.
 
-    A group is as long as all members agree with its first one: every member is compared with that pivot in a row of
-    its own, so that a block in a hundred thousand files is spread over tasks; only (path, line) pairs are gathered.
+    A group is as long as all members agree, which hashes of their blocks tell; token sequences never leave their
+    file, rows of a shuffle hold places and hashes alone, and only (path, line) pairs are gathered.
     """
     alike = {"exact": [], "mild": ["num"], "weak": ["num", "str"], "semantic": ["num", "str", "ident"]}[mode]
     plain = lambda t, k: F.concat(k, F.lit("\u0002"), t)
     sym = F.zip_with("texts", "kinds", lambda t, k: F.when(k.isin(alike), F.concat(F.lit("\u0001"), k)).otherwise(plain(t, k)) if alike else plain(t, k))
-    coded = files.withColumn("syms", sym).withColumn("order", F.split("path", "/"))
-    group = ["repo_id", "family", "h1", "h2"]
+    names = F.zip_with("texts", "kinds", lambda t, k: F.when(k == "ident", t).otherwise(""))
+    coded = materialize(files.select("repo_id", "family", "path", sym.alias("syms"), names.alias("names"), "lines", "ends"), "tokens")
     found = windows(coded, min_tokens, ["repo_id", "family", "path"])
-    good = left_maximal(repeated(found, ["repo_id", "family"])).select(*group)
-    places = found.join(good, group).select(*group, "path", "start")
-    rest = lambda c: F.expr(f"slice({c}, start + 1, size({c}))")
-    names = F.zip_with(rest("texts"), rest("kinds"), lambda t, k: F.when(k == "ident", t).otherwise(""))
-    members = places.join(coded.select("repo_id", "family", "path", "order", "syms", "texts", "kinds", "lines", "ends"), ["repo_id", "family", "path"])
-    members = members.select(*group, "path", "order", "start", rest("syms").alias("syms"), names.alias("names"), rest("lines").alias("lines"), rest("ends").alias("ends"))
-    # how far each member agrees with the pivot; the group's length is the least of these
-    pivot = members.groupBy(*group).agg(F.min_by("syms", F.struct("order", "start")).alias("pivot"))
-    both = members.join(pivot, group).withColumn("most", F.least(F.size("syms"), F.size("pivot")))
-    other = F.array_position(F.zip_with(F.expr("slice(syms, 1, most)"), F.expr("slice(pivot, 1, most)"), lambda x, y: x == y), F.lit(False))
-    agreed = both.withColumn("agree", F.when(other == 0, F.col("most").cast("long")).otherwise(other - 1)).drop("pivot", "most")
-    length = agreed.groupBy(*group).agg(F.min("agree").cast("int").alias("length"))
-    cut = agreed.drop("agree").join(length, group)
+    good = left_maximal(repeated(found, ["repo_id", "family"])).select(*GROUP)
+    places = materialize(found.join(good, GROUP).select(*GROUP, "path", "start"), "places")
+    cut = places.join(common_length(coded, places, min_tokens), GROUP)
     # of one file's overlapping blocks the greedy choice from the left stays
-    starts = cut.groupBy(*group, "path", "length").agg(F.array_sort(F.collect_set("start")).alias("s"))
-    keep = F.aggregate("s", F.array().cast("array<int>"), lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.try_element_at(acc, F.lit(-1)) + F.col("length")), F.concat(acc, F.array(x))).otherwise(acc))
-    kept = cut.join(starts.select(*group, "path", F.explode(keep).alias("start")), [*group, "path", "start"])
-    block = lambda c: F.expr(f"slice({c}, 1, length)")
-    kept = kept.filter(F.size(F.filter(block("ends"), lambda e: e)) >= 2)
-    first = F.transform(block("names"), lambda n: F.when(n != "", F.array_position(F.col("shown"), n).cast("string")).otherwise(""))
-    kept = kept.withColumn("shown", block("names")).withColumn("alpha", F.xxhash64(F.array_join(first, ",")) if mode == "semantic" else F.lit(0).cast("long"))
-    member = F.struct("path", "start", F.get("lines", F.lit(0)).alias("start_line"), F.get("lines", F.col("length") - 1).alias("end_line"))
-    prints = F.format_string("%08x", F.xxhash64(F.array_join(block("syms"), "\u0003")).bitwiseAND(F.lit(0xFFFFFFFF)))
-    classes = kept.withColumn("member", member).withColumn("fingerprint", prints).groupBy(*group, "length", "alpha", "fingerprint").agg(
-        F.array_sort(F.collect_list(F.struct("order", "start", "member"))).alias("m"), F.count_distinct(F.regexp_replace("path", "[^/]*$", "")).alias("dirs"), F.min(F.struct("order", "start")).alias("head"))
+    starts = cut.groupBy(*GROUP, "path", "length").agg(F.array_sort(F.collect_set("start")).alias("s"))
+    kept = starts.select(*GROUP, "path", "length", F.explode(greedy_starts(F.col("s"), F.col("length"))).alias("start"))
+    kept = _blocks(coded, kept, mode == "semantic").filter("statements >= 2").withColumn("order", F.split("path", "/"))
+    member = F.struct("path", "start", "start_line", "end_line")
+    classes = kept.groupBy(*GROUP, "length", "alpha", "fingerprint").agg(
+        F.array_sort(F.collect_list(F.struct("order", "start", member.alias("member")))).alias("m"), F.count_distinct(F.regexp_replace("path", "[^/]*$", "")).alias("dirs"), F.min(F.struct("order", "start")).alias("head"))
     if not all_classes:  # the class of the group's first member only
-        best = classes.groupBy(*group).agg(F.min("head").alias("head"))
-        classes = classes.join(best, [*group, "head"], "left_semi")
+        best = classes.groupBy(*GROUP).agg(F.min("head").alias("head"))
+        classes = classes.join(best, [*GROUP, "head"], "left_semi")
     classes = classes.filter(F.size("m") >= 2)
     if skip_local:
         classes = classes.filter("dirs > 1")
     return classes.select("repo_id", "family", "length", F.col("m.member").alias("members"), "fingerprint").dropDuplicates(["repo_id", "family", "fingerprint", "length"])
+
+
+def greedy_starts(starts: Column, length: Column) -> Column:
+    """Of sorted starts of blocks those that begin after the end of the last one kept."""
+    return F.aggregate(starts, F.array().cast("array<int>"), lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.try_element_at(acc, F.lit(-1)) + length), F.concat(acc, F.array(x))).otherwise(acc))

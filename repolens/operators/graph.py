@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,28 +81,34 @@ def reachable_by_rounds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def reachable_per_repo(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """The same in one pass, a repository's graph at a time: for repositories that each fit a worker."""
 
-    def walk(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(s):
-            return pd.DataFrame({"repo_id": [], "seed_class": [], "node": []})
-        code, names = pd.factorize(pd.concat([e["src"], e["dst"], s["node"]], ignore_index=True))
-        n = len(e)
+    names = ["repo_id", "seed_class", "node"]
+
+    def walk(e: pa.Table, s: pa.Table) -> pa.Table:
+        n, many = e.num_rows, s.num_rows
+        coded = pa.chunked_array([*e["src"].chunks, *e["dst"].chunks, *s["node"].chunks], type=pa.string()).combine_chunks().dictionary_encode()
+        code, nodes = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
         order = np.argsort(code[:n], kind="stable")
         target = code[n : 2 * n][order]
-        first = np.searchsorted(code[:n][order], np.arange(len(names) + 1))
-        start, out = code[2 * n :], []
-        for kind in sorted(set(s["seed_class"])):
-            seen = np.zeros(len(names), dtype=bool)
-            now = np.unique(start[(s["seed_class"] == kind).to_numpy()])
+        first = np.searchsorted(code[:n][order], np.arange(nodes + 1))
+        start, kind = code[2 * n :], np.array(s["seed_class"].to_pylist(), dtype=object)
+        places, kinds = [], []
+        for one in sorted(set(kind)):
+            seen = np.zeros(nodes, dtype=bool)
+            now = np.unique(start[kind == one])
             while len(now):  # a whole front at a time
                 seen[now] = True
                 size = first[now + 1] - first[now]
                 at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[now], size)
                 now = np.unique(target[at])
                 now = now[~seen[now]]
-            out.append(pd.DataFrame({"repo_id": s["repo_id"].iloc[0], "seed_class": kind, "node": names[seen]}))
-        return pd.concat(out)
-
-    return edges.select("repo_id", "src", "dst").groupBy("repo_id").cogroup(seeds.select("repo_id", "seed_class", "node").groupBy("repo_id")).applyInPandas(walk, "repo_id string, seed_class string, node string")
+            found = np.flatnonzero(seen)
+            places.append(found)
+            kinds += [one] * len(found)
+        at = np.concatenate(places) if places else np.zeros(0, np.int64)
+        repo = [s["repo_id"][0].as_py()] * len(at) if many else []
+        return pa.table([pa.array(repo, type=pa.string()), pa.array(kinds, type=pa.string()), coded.dictionary.take(pa.array(at))], names=names)
+
+    return edges.select("repo_id", "src", "dst").groupBy("repo_id").cogroup(seeds.select("repo_id", "seed_class", "node").groupBy("repo_id")).applyInArrow(walk, "repo_id string, seed_class string, node string")
 
 
 def tarjan(edges: Iterable[tuple[str, str]]) -> list[list[str]]:
