@@ -116,6 +116,22 @@ def alpha_key(names: list[str]) -> tuple[int, ...]:
     return tuple(first.setdefault(x, i) for i, x in enumerate(names))
 
 
+def renamed_windows(files: DataFrame, size: int, key: list[str], syms: str = "syms") -> DataFrame:
+    """key columns, start (from 0), alpha: a row per window of ``size`` tokens, with its alpha_key as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, names in enumerate(b.column(len(key)).to_pylist()):
+                if names and len(names) >= size:
+                    starts = range(len(names) - size + 1)
+                    alpha = [",".join(str(x + 1) for x in alpha_key(names[a : a + size])) for a in starts]
+                    same = pa.array([i] * len(alpha))
+                    yield pa.RecordBatch.from_arrays([*(b.column(j).take(same) for j in range(len(key))), pa.array(list(starts), type=pa.int32()), pa.array(alpha, type=pa.string())], names=[*key, "start", "alpha"])
+
+    kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in key)
+    return files.select(*key, syms).mapInArrow(run, f"{kinds}, start int, alpha string")
+
+
 #: Lengths that one pass over the files tries for every group.
 TRIES = 16
 _FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)

@@ -11,8 +11,6 @@ from repolens.functions import paths, scoring
 from repolens.functions.globs import glob_to_regex
 from repolens.operators import clones, graph, health, joins, liveness, post, resolve, rules, sinks
 from repolens.plans import generated
-from repolens.plans.samples import REPOSITORIES
-from repolens.plans.scan import scan
 from repolens.session import materialize, ship
 from repolens.sources import repositories
 from repolens.sources.config import Config
@@ -330,15 +328,15 @@ def clone_cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.groupBy("n", "sources").agg(F.count(F.lit(1)).alias("groups"))
 
 
-@query("""WITH b AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+')[1:12] AS w FROM conversations),
-k AS (SELECT conv_id, turn, list_transform(w, lambda v: list_position(w, v)) AS key FROM b WHERE len(w) = 12)
-SELECT array_to_string(key, ',') AS key, count(*) AS n FROM k GROUP BY key HAVING count(*) >= 2""")
+@query("""WITH b AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations),
+x AS (SELECT w[i : i + 11] AS w FROM b, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i)),
+k AS (SELECT array_to_string(list_transform(w, lambda v: list_position(w, v)), ',') AS key FROM x) SELECT key, count(*) AS n FROM k GROUP BY key HAVING count(*) >= 2""")
 def clone_alpha_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks that are alike up to consistent renaming: the first place of each word is the key."""
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), 1, 12)
-    b = table(spark, sf_dir, "conversations").select(words.alias("w")).filter("size(w) = 12")
-    key = F.array_join(F.transform("w", lambda v: F.array_position("w", v).cast("string")), ",")
-    return b.select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    """Blocks of twelve words that are alike up to consistent renaming: the first place of each word is the key."""
+    ship(spark)
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
+    found = clones.renamed_windows(table(spark, sf_dir, "conversations").select("conv_id", words.alias("syms")), 12, ["conv_id"])
+    return found.groupBy(F.col("alpha").alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR text IS NULL")
@@ -467,26 +465,20 @@ def clone_overlap_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy removal of blocks of five that overlap an earlier kept one, as a fold over sorted starts (an example on long words)."""
     words = F.regexp_extract_all("text", F.lit(r"([^ \t\n\r\f\x0B]+)"), 1)
     t = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.transform(words, lambda w, i: F.when(F.length(w) > 9, i)), lambda x: x.isNotNull()).alias("starts"))
-    kept = F.aggregate("starts", F.struct(F.lit(-1000).alias("last"), F.lit(0).cast("long").alias("n")), lambda acc, x: F.when(x >= acc["last"] + 5, F.struct(x.alias("last"), (acc["n"] + 1).alias("n"))).otherwise(acc))
-    return t.filter("size(starts) > 0").select("doc_id", kept["n"].alias("kept"))
-
-
-def _samples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(r, p, t.encode()) for r, files in REPOSITORIES.items() for p, t in files.items()], "repo_id string, path string, content binary")
+    return t.filter("size(starts) > 0").select("doc_id", F.size(clones.greedy_starts(F.col("starts"), F.lit(5))).cast("long").alias("kept"))
 
 
 @query()
 def scan_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts that the front-ends extract from the sample repositories, counted by kind."""
-    ship(spark)
-    facts = repositories.extract_facts(repositories.source_files(repositories.walk(_samples(spark))))
+    """Facts that the front-ends extract from the repositories generated from the parts, counted by kind."""
+    facts = generated.scanned(spark, sf_dir).workspace.facts
     return facts.select("repo_id", "path", "loc", *[F.size(c).alias(c) for c in ("symbols", "imports", "exports", "refs", "member_access", "markers", "suppressions", "annotations", "strings", "functions", "calls", "css_tokens", "css_var_refs", "css_classes", "css_class_refs")])
 
 
 @query()
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules over the sample repositories, in one job."""
-    return post.ordered(scan(_samples(spark)).findings)
+    """All findings of the repositories generated from the parts, in one job."""
+    return post.ordered(generated.scanned(spark, sf_dir).findings)
 
 
 @query()
@@ -496,11 +488,22 @@ def sarif_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.to_sarif(f)
 
 
+@query()
+def clone_groups_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of words that whole documents share, as long as all members agree, sentences as statements."""
+    ship(spark)
+    words = F.filter(F.split("text", r"[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.concat_ws("/", "source", "doc_id").alias("path"), words.alias("texts"))
+    files = docs.select(F.lit("docs").alias("repo_id"), F.lit("text").alias("family"), "path", "texts", F.transform("texts", lambda w: F.lit("punct")).alias("kinds"), F.transform("texts", lambda w, i: i).alias("lines"), F.transform("texts", lambda w: w.rlike("[.!?]$")).alias("ends"))
+    return clones.clone_groups(files, 30, "exact").select("length", "fingerprint", F.size("members").alias("members"), F.get("members", F.lit(0))["path"].alias("first"))
+
+
 @query()
 def clone_groups_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clones up to consistent renaming in the sample repositories."""
+    """Clones up to consistent renaming in the repositories generated from the parts."""
     ship(spark)
-    return clones.clone_groups(repositories.token_streams(repositories.source_files(_samples(spark))), 20, "semantic").select("repo_id", "family", "length", "fingerprint", F.size("members").alias("members"))
+    tree = generated.tree(spark, sf_dir)
+    return clones.clone_groups(repositories.token_streams(repositories.source_files(tree)), 20, "semantic").select("repo_id", "family", "length", "fingerprint", F.size("members").alias("members"))
 
 
 QUERIES |= generated.QUERIES
