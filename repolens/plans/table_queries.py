@@ -14,6 +14,7 @@ from repolens.plans import generated
 from repolens.session import materialize, ship
 from repolens.sources import repositories
 from repolens.sources.config import Config
+from repolens.streaming import rescan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -400,9 +401,7 @@ def string_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS began, count(*) AS n FROM s GROUP BY user_id, k""")
 def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of changes that one rescan answers: a session ends after a quiet gap."""
-    e = table(spark, sf_dir, "events")
-    got = e.groupBy("user_id", F.session_window("ts", "10 minutes")).agg(F.min("ts").alias("began"), F.count(F.lit(1)).alias("n"))
-    return got.select("user_id", "began", "n")
+    return rescan.bursts(table(spark, sf_dir, "events"), ["user_id"], "ts", "10 minutes")
 
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from repolens.operators import draw, fix, sinks
 from repolens.sources import config as cfg
+from repolens.streaming import rescan
 from repolens.streaming.rescan import CHANGES, Rescanner, watch
 from repolens.plans.scan import scan
 from repolens.plans.samples import REPOSITORIES
@@ -73,17 +74,29 @@ def test_config():
     assert c.severities == {"unused-file": 2} and c.layers[2].allow == ("shared", "entities") and c.max_loc == 1
 
 
-def test_stream_extracts_only_changes(spark, tmp_path):
+def test_stream_extracts_only_changes_and_survives_restarts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rescan, "COMPACT", 3)
     source, state = str(tmp_path / "in"), f"file://{tmp_path}/state"
     seen = []
-    r = Rescanner(spark, state, emit=lambda s, i: seen.append({x["file"] for x in s.findings.filter("rule = 'unused-file'").collect()}))
+    emit = lambda s, i: seen.append({x["file"] for x in s.findings.filter("rule = 'unused-file'").collect()})
+    number = iter(range(100))
 
     def change(*rows):
-        spark.createDataFrame([("r", p, None if t is None else t.encode()) for p, t in rows], CHANGES).coalesce(1).write.mode("append").parquet(source)
+        """A new stream and a new rescanner each time: nothing but the folders lives on."""
+        r = Rescanner(spark, state, emit=emit)
+        spark.createDataFrame([("r", p, None if t is None else t.encode(), next(number)) for p, t in rows], CHANGES).coalesce(1).write.mode("append").parquet(source)
         watch(spark.readStream.schema(CHANGES).parquet(source), r, str(tmp_path / "cp"), available_now=True).awaitTermination()
         return r.extracted
 
-    assert change(("index.ts", 'import "./a";\n'), ("a.ts", "export const a = 1;\n"), ("b.ts", "export const b = 1;\n"), ("notes.md", "x")) == 3
+    assert change(("index.ts", 'import "./a";\n'), ("a.ts", "export const a = 1;\n"), ("b.ts", "export const b = 0;\n"), ("b.ts", "export const b = 1;\n"), ("notes.md", "x")) == 3
     assert change(("index.ts", 'import "./b";\n')) == 1
-    assert seen == [{"b.ts"}, {"a.ts"}]
-    assert spark.read.parquet(f"{state}/facts/1").filter(F.col("path") == "b.ts").count() == 1
+    assert change(("c.ts", "export const c = 1;\n"), ("a.ts", None)) == 1
+    assert change(("index.ts", 'import "./a";\nimport "./c";\n')) == 1  # after a whole copy
+    assert change(("a.ts", "export const a = 1;\n")) == 1  # a whole copy forgets the facts of deleted files
+    assert seen == [{"b.ts"}, {"a.ts"}, {"c.ts"}, {"b.ts"}, {"b.ts"}]
+    text = Rescanner(spark, state).state("contents", 99).filter("path = 'b.ts'").first()["content"]
+    assert bytes(text) == b"export const b = 1;\n"
+    # a batch that is run again gives the same state
+    again = Rescanner(spark, state, emit=emit)
+    again(spark.createDataFrame([("r", "a.ts", b"export const a = 1;\n", 50)], CHANGES), 4)
+    assert seen[-1] == {"b.ts"} and again.extracted == 1 and again.state("contents", 99).filter("content is not null").count() == 4
