@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--include-deps", action="store_true")
     p.add_argument("--write", action="store_true", help="fix: change the files instead of showing diffs")
     p.add_argument("--depth", type=int, default=0)
-    p.add_argument("--draw", choices=["tree", "svg", "html", "json"], default="tree")
+    p.add_argument("--draw", choices=["tree", "svg", "html", "json", "dashboard"], default="tree")
     a = p.parse_args(argv)
     if a.command == "explain":
         try:
@@ -90,6 +90,10 @@ def main(argv: list[str] | None = None) -> int:
         groups: dict[str, list[str]] = {}
         for r in cycles.collect():
             groups.setdefault(r["comp"], []).append(r["node"])
+        if a.draw == "dashboard":
+            roots = [(r["root"], r["package"], r["files"], r["entries"]) for r in found.scan_roots().collect()]
+            print(draw.dashboard(roots, a.depth, names, pairs, list(groups.values()), a.format != "json"))
+            return 0
         print({"tree": lambda: draw.as_tree(names, pairs), "svg": lambda: draw.as_svg(names, pairs), "html": lambda: draw.as_html(root.name, names, pairs), "json": lambda: draw.as_json([{"id": n} for n in names], [{"from": x, "to": y, "weight": w} for x, y, w in pairs], list(groups.values()))}[a.draw]())
         return 0
     if a.format == "json":
@@ -102,7 +106,8 @@ def main(argv: list[str] | None = None) -> int:
         for r in sinks.to_annotations(post.ordered(findings)).toLocalIterator():
             print(r["line"])
     else:
-        print(sinks.to_text(findings, a.all))
+        roots = found.scan_roots()
+        print(sinks.to_text_by_package(findings, roots, a.all) if roots.count() > 1 else sinks.to_text(findings, a.all))
     code = post.exit_codes(findings, config.fail_on).first()
     return code["exit_code"] if code else 0
 

@@ -80,3 +80,19 @@ def as_svg(nodes: list[str], edges: list[tuple[str, str, int]]) -> str:
 
 def as_html(title: str, nodes: list[str], edges: list[tuple[str, str, int]]) -> str:
     return f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{as_svg(nodes, edges)}</body></html>"
+
+
+#: What each depth of the graph shows.
+DEPTHS = ((0, "packages"), (1, "directories below a package's root"), (2, "directories of two levels, or files of one"))
+
+
+def dashboard(roots: list[tuple[str, str, int, int]], depth: int, names: list[str], pairs: list[tuple[str, str, int]], cycles: list[list[str]] = (), as_text: bool = True) -> str:
+    """All at one glance: packages (root, package, files, entries), what depths mean, and the coarse graph of one; as text or JSON."""
+    if not as_text:
+        graph = json.loads(as_json([{"id": n} for n in names], [{"from": a, "to": b, "weight": w} for a, b, w in pairs], list(cycles)))
+        guide = [{"depth": d, "shows": text} for d, text in DEPTHS]
+        return json.dumps({"schema_version": 1, "depth": depth, "depth_guide": guide, "graph": graph, "scan_roots": [{"root": r, "package": p, "files": f, "entries": e} for r, p, f, e in roots]})
+    out = [f"{sum(r[2] for r in roots)} files in {len(roots)} packages", ""]
+    out += [f"  {package}  {root or '.'}  {files} files, {entries} entries" for root, package, files, entries in roots]
+    out += ["", *(f"  depth {d}: {text}{'  (shown)' if d == depth else ''}" for d, text in DEPTHS), "", f"{len(names)} nodes, {len(pairs)} edges, {len(cycles)} cycles", as_tree(names, pairs)]
+    return "\n".join(out)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repolens.operators.joins import prefix_owner
+
 LABELS = ("off", "warn", "error")
 CONFIDENCE = ("low", "medium", "high")
 
@@ -51,6 +53,32 @@ def to_annotations(findings: DataFrame) -> DataFrame:
     return findings.select("repo_id", F.format_string("::%s file=%s,line=%d::[%s] %s", level, "file", "start_line", "rule", "message").alias("line"))
 
 
+def by_package(findings: DataFrame, roots: DataFrame) -> DataFrame:
+    """findings with ``package``: that of the longest root (repo_id, root, package) above the file, ``.`` where there is none."""
+    owned = prefix_owner(findings, roots.select("repo_id", "root", F.col("package").alias("owner")), F.col("file"))
+    return owned.withColumn("package", F.coalesce("owner", F.lit("."))).drop("owner")
+
+
+def to_text_by_package(findings: DataFrame, roots: DataFrame, show_all: bool = False, per_rule: int = 10) -> str:
+    """The report of to_text for each package, those with the most findings first. Only the lines shown reach the driver."""
+    from pyspark.sql import Window
+
+    from repolens.operators.post import visible
+
+    shown = by_package(visible(findings, show_all), roots)
+    of, rule = Window.partitionBy("repo_id", "package"), Window.partitionBy("repo_id", "package", "rule")
+    ranked = shown.withColumn("all", F.count(F.lit(1)).over(of)).withColumn("n", F.count(F.lit(1)).over(rule)).withColumn("k", F.row_number().over(rule.orderBy(F.split("file", "/"), "start_line", "message")))
+    out, last = [], (None, None, None)
+    for r in ranked.filter(F.col("k") <= per_rule).orderBy("repo_id", F.desc("all"), "package", F.desc("n"), "rule", "k").collect():
+        if (r["repo_id"], r["package"]) != last[:2]:
+            out.append(f"{r['repo_id']}  {r['package']}  {r['all']}")
+        if (r["repo_id"], r["package"], r["rule"]) != last:
+            last = (r["repo_id"], r["package"], r["rule"])
+            out.append(f"  {r['rule']}  {r['n']}")
+        out.append(f"    {r['file']}:{r['start_line']}  {r['message']}")
+    return "\n".join(out)
+
+
 def to_text(findings: DataFrame, show_all: bool = False, per_rule: int = 10) -> str:
     """A report to read: for each repository and rule the count and the first findings. Only those rows reach the driver."""
     from pyspark.sql import Window

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.operators import post
+from repolens.operators import post, sinks
 from repolens.plans.scan import Scan, scan
 from repolens.sources.config import parse
 
@@ -242,6 +242,14 @@ def scan_unused_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir, "unused-import").select("repo_id", "file", "start_line", "message")
 
 
+@query(f"""WITH {MODULES}, i AS (SELECT repo_id, path AS file FROM m WHERE j > 0 AND NOT even UNION ALL SELECT repo_id, path FROM m WHERE s % 7 = 3 AND NOT even UNION ALL SELECT repo_id, path FROM py WHERE s % 3 = 0 AND NOT even UNION ALL SELECT repo_id, path FROM py WHERE j < 45 AND NOT even)
+SELECT repo_id, CASE WHEN starts_with(file, 'py/') THEN 'pyg' ELSE 'g' END || substring(repo_id, 2) AS package, count(*) AS n FROM i WHERE {SHOWN} GROUP BY ALL""")
+def scan_findings_by_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unused imports counted by the package that owns the file."""
+    found = sinks.by_package(findings(spark, sf_dir, "unused-import"), scanned(spark, sf_dir).scan_roots())
+    return found.groupBy("repo_id", "package").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH {MODULES}, r AS (SELECT DISTINCT repo_id FROM p), d AS (
 SELECT repo_id, 'package.json' AS file, 'dep' || i AS dep FROM r, range(10) t(i) WHERE (repo_id, i) NOT IN (SELECT repo_id, j % 10 FROM m WHERE s % 7 = 3)
 UNION ALL SELECT repo_id, 'py/pyproject.toml', 'numpy' FROM r UNION ALL SELECT repo_id, 'py/pyproject.toml', 'requests' FROM r WHERE repo_id NOT IN (SELECT repo_id FROM py WHERE s % 3 = 0))

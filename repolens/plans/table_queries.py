@@ -272,13 +272,19 @@ def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.health(health.components(weighted_findings(spark, sf_dir), files), files)
 
 
-@query(f"""WITH {WEIGHTED_SQL}, l AS (SELECT 'd/u' || user_id AS file, count(*) AS loc FROM events GROUP BY 1), g AS (SELECT repo_id, file, sum(w)::DOUBLE AS payoff FROM f GROUP BY ALL),
+@query(f"""WITH {WEIGHTED_SQL}, l AS (SELECT 'd/u' || user_id AS file, count(*) AS loc FROM events GROUP BY 1), t AS (SELECT *, CASE event_type WHEN 'click' THEN 'unused-export' WHEN 'error' THEN 'circular-imports' WHEN 'purchase' THEN 'unused-file' WHEN 'signup' THEN 'duplicate-code' ELSE 'unused-css-token' END AS rule,
+  CASE event_type WHEN 'click' THEN 'unused export' WHEN 'error' THEN 'circular imports' WHEN 'purchase' THEN 'unused file' WHEN 'signup' THEN 'duplicate code' ELSE 'unused CSS token' END AS title FROM f),
+g AS (SELECT repo_id, file, sum(w)::DOUBLE AS payoff, arg_max(rule, (w, event_id, rule)) AS rule FROM t GROUP BY ALL),
+told AS (SELECT file, title, count(*) AS n FROM t GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n DESC, title) AS place FROM told),
+y AS (SELECT file, string_agg(CASE WHEN n = 1 THEN title ELSE n || ' ' || title END, '; ' ORDER BY place) AS reasons FROM o WHERE place <= 3 GROUP BY file),
 s AS (SELECT g.*, loc, payoff / (1 + sqrt(loc) / 8) AS x FROM g JOIN l USING (file)),
 k AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY x DESC, payoff DESC, string_split(file, '/')) AS rank FROM s)
-SELECT repo_id, CAST(rank AS INTEGER) AS rank, file, round(x, 1) AS score, round(payoff, 1) AS payoff, CASE WHEN loc <= 120 THEN 'small' WHEN loc <= 400 THEN 'medium' ELSE 'large' END AS effort FROM k WHERE rank <= 5""")
+SELECT repo_id, CAST(rank AS INTEGER) AS rank, file, round(x, 1) AS score, round(payoff, 1) AS payoff, CASE rule WHEN 'unused-export' THEN 'API surface review' WHEN 'circular-imports' THEN 'cycle' WHEN 'unused-file' THEN 'dead file' WHEN 'duplicate-code' THEN 'duplicate block' ELSE 'style cleanup' END AS kind,
+  CASE WHEN loc <= 120 THEN 'small' WHEN loc <= 400 THEN 'medium' ELSE 'large' END AS effort, reasons FROM k JOIN y USING (file) WHERE rank <= 5""")
 def refactor_targets_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five files of each repository that pay off most."""
-    return health.targets(weighted_findings(spark, sf_dir), weighted_files(spark, sf_dir)).select("repo_id", "rank", "file", "score", "payoff", "effort")
+    """The five files of each repository that pay off most, with kind and reasons."""
+    top = health.targets(weighted_findings(spark, sf_dir), weighted_files(spark, sf_dir))
+    return top.select("repo_id", "rank", "file", "score", "payoff", "kind", "effort", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("""WITH e AS (SELECT c.c_nationkey AS a, s.s_nationkey AS b FROM orders JOIN customer c ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier s ON l_suppkey = s_suppkey),

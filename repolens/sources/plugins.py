@@ -52,16 +52,16 @@ BUILT_IN: tuple[Plugin, ...] = (
         (f"index.{_SCRIPTS}", "src/index.{ts,tsx,js,jsx}", "main.{ts,js,mjs}", "src/main.{ts,tsx,js,jsx}", "main.py", "app.py", "__main__.py", "**/__main__.py", "bin/**", "scripts/**", "src/cli/**", "**/cli/*.{ts,tsx,js,jsx,py}"), (),
         ("**/*.{test,spec}.{ts,tsx,js,jsx,mjs}", "**/*.e2e-spec.{ts,tsx,js,jsx}", "**/*.e2e.{ts,tsx,js,jsx}", "**/__tests__/**", "**/test_*.py", "**/*_test.py", "**/tests/**", "**/conftest.py"),
     ),
-    Plugin("nextjs", JS, {"dependency": "next"}, (f"{{,src/}}app/**/{{page,layout,route,loading,error,not-found,template,default}}.{_SCRIPTS}", f"{{,src/}}pages/**/*.{_SCRIPTS}", f"{{,src/}}{{middleware,instrumentation}}.{_SCRIPTS}")),
-    Plugin("remix", JS, {"any": [{"dependency": "@remix-run/node"}, {"dependency": "@remix-run/react"}]}, (f"app/routes/**/*.{_SCRIPTS}", f"app/{{root,entry.client,entry.server}}.{_SCRIPTS}")),
-    Plugin("sveltekit", JS, {"dependency": "@sveltejs/kit"}, ("src/routes/**/+{page,layout,server,error}*.{ts,js}", "src/hooks*.{ts,js}")),
-    Plugin("nestjs", JS, {"dependency": "@nestjs/core"}, ("src/main.ts", "src/**/*.{module,controller,service,guard,resolver}.ts")),
+    Plugin("nextjs", JS, {"dependency": "next"}, (f"{{,src/}}app/**/{{page,layout,route,loading,error,not-found,template,default,global-error,forbidden,unauthorized,opengraph-image,twitter-image,icon,apple-icon,sitemap,robots,manifest}}.{_SCRIPTS}", f"{{,src/}}pages/**/*.{_SCRIPTS}", f"{{,src/}}{{middleware,instrumentation}}.{_SCRIPTS}")),
+    Plugin("remix", JS, {"any": [{"dependency": f"@remix-run/{x}"} for x in ("node", "react", "cloudflare", "cloudflare-pages", "deno")]}, (f"app/routes/**/*.{_SCRIPTS}", f"app/{{root,entry.client,entry.server}}.{_SCRIPTS}")),
+    Plugin("sveltekit", JS, {"dependency": "@sveltejs/kit"}, ("src/routes/**/+{page,layout,server,error}*.{ts,js}", "src/hooks*.{ts,js}", "src/service-worker.{ts,js}", "src/params/**/*.{ts,js}", "src/**/*.remote.{ts,js}")),
+    Plugin("nestjs", JS, {"dependency": "@nestjs/core"}, ("src/main.ts", "src/**/*.module.ts", "src/**/*.controller.ts", "src/**/*.service.ts", "src/**/*.guard.ts", "src/**/*.interceptor.ts", "src/**/*.pipe.ts", "src/**/*.filter.ts", "src/**/*.middleware.ts", "src/**/*.decorator.ts", "src/**/*.gateway.ts", "src/**/*.resolver.ts")),
     Plugin("storybook", JS, {"any": [{"dependency": "storybook"}, {"dependency": "@storybook/"}]}, (f"**/*.stories.{_SCRIPTS}", ".storybook/**")),
     Plugin("express", JS, {"dependency": "express"}, (f"{{,src/}}{{server,app}}.{_SCRIPTS}",)),
     Plugin("cypress-specs", JS, {"dependency": "cypress"}, ("cypress/**",), (), ("cypress/**/*.cy.{ts,tsx,js,jsx}",)),
     Plugin("fastapi", PY, {"dependency": "fastapi"}, ("**/main.py", "**/app.py", "**/asgi.py"), (), (), ("get", "post", "put", "delete", "patch", "websocket", "route")),
     Plugin("flask", PY, {"dependency": "flask"}, ("**/app.py", "**/wsgi.py", "**/__init__.py"), (), (), ("route", "get", "post", "put", "delete")),
-    Plugin("django", PY, {"file_exists": "manage.py"}, ("manage.py", "**/{settings,urls,wsgi,asgi,admin,apps,models,views}.py", "**/settings/*.py", "**/migrations/*.py", "**/management/commands/*.py"), (), (), ("receiver",)),
+    Plugin("django", PY, {"file_exists": "manage.py"}, ("manage.py", "**/{settings,urls,wsgi,asgi,admin,apps,models,views}.py", "**/settings/*.py", "**/migrations/**", "**/management/commands/*.py"), (), (), ("receiver",)),
     Plugin("celery", PY, {"dependency": "celery"}, ("**/celery.py", "**/tasks.py"), (), (), ("task", "shared_task")),
     Plugin("click", PY, {"dependency": "click"}, ("**/cli.py", "**/__main__.py"), (), (), ("command", "group")),
     Plugin("typer", PY, {"dependency": "typer"}, ("**/cli.py", "**/main.py", "**/__main__.py"), (), (), ("command", "callback")),
@@ -72,6 +72,57 @@ BUILT_IN: tuple[Plugin, ...] = (
 )
 
 
+def _dep(*names: str) -> dict:
+    return {"dependency": names[0]} if len(names) == 1 else {"any": [{"dependency": n} for n in names]}
+
+
+# What further frameworks load by convention; name, dependencies that show it, sources it loads.
+_CONVENTIONS = (
+    ("angular", ("@angular/core", "ng-packagr"), ("src/public_api.ts", "src/main.ts", "src/app/**/*.component.ts", "src/app/**/*.module.ts", "src/app/**/*.service.ts", "src/app/**/*.guard.ts", "src/app/**/*.pipe.ts", "src/app/**/*.directive.ts", "src/app/**/*.resolver.ts", "src/app/**/*.interceptor.ts", "**/src/main.ts")),
+    ("expo", ("expo",), ("App.{ts,tsx,js,jsx}", "app/**/*.{ts,tsx,js,jsx}", "src/App.{ts,tsx,js,jsx}", "app.config.{ts,js,mjs,cjs}", "metro.config.{ts,js,mjs,cjs}")),
+    ("react-native", ("react-native",), ("index.{ts,tsx,js,jsx}", "App.{ts,tsx,js,jsx}", "src/App.{ts,tsx,js,jsx}", "app.config.{ts,js}", "metro.config.{ts,js}", "react-native.config.{ts,js}")),
+    ("react-router", ("@react-router/dev",), ("app/routes/**/*.{ts,tsx,js,jsx}", "app/root.{ts,tsx,js,jsx}", "app/entry.client.{ts,tsx,js,jsx}", "app/entry.server.{ts,tsx,js,jsx}", "react-router.config.{ts,js,mjs,cjs}", "app/routes.{ts,js,mts,mjs}", "src/routes.{ts,js,mts,mjs}")),
+    ("tanstack-router", ("@tanstack/react-router", "@tanstack/solid-router", "@tanstack/start", "@tanstack/react-start", "@tanstack/solid-start"), ("src/server.{ts,tsx,js,jsx}", "src/client.{ts,tsx,js,jsx}", "src/router.{ts,tsx,js,jsx}")),
+    ("docusaurus", ("@docusaurus/core",), ("src/pages/**/*.{ts,tsx,js,jsx}", "sidebars.{js,ts}", "src/theme/*.{ts,tsx,js,jsx}", "src/theme/**/index.{ts,tsx,js,jsx}", "docusaurus.config.{ts,js,mjs,cjs}")),
+    ("vitepress", ("vitepress",), (".vitepress/theme/**/*.{ts,js,mts,mjs}", "docs/.vitepress/theme/**/*.{ts,js,mts,mjs}", ".vitepress/config.{ts,js,mts,mjs}", "docs/.vitepress/config.{ts,js,mts,mjs}")),
+    ("prisma", ("prisma", "@prisma/client"), ("prisma/seed.{ts,js}", "prisma.config.{ts,mts,cts,js,mjs,cjs}", ".config/prisma.{ts,mts,cts,js,mjs,cjs}")),
+    ("typeorm", ("typeorm",), ("src/entity/**/*.{ts,js}", "src/entities/**/*.{ts,js}", "src/migration/**/*.{ts,js}", "src/migrations/**/*.{ts,js}", "src/subscriber/**/*.{ts,js}", "src/subscribers/**/*.{ts,js}", "entity/**/*.{ts,js}", "entities/**/*.{ts,js}", "migration/**/*.{ts,js}", "migrations/**/*.{ts,js}", "subscriber/**/*.{ts,js}", "subscribers/**/*.{ts,js}")),
+    ("nx", ("nx",), ()),
+    ("turborepo", ("turbo",), ()),
+    ("electron", ("electron", "electron-builder", "@electron-forge/cli", "electron-vite"), ("src/main/**/*.{ts,tsx,js,jsx,mts,mjs}", "src/preload/**/*.{ts,tsx,js,jsx,mts,mjs}", "electron/main.{ts,js}", "electron.vite.config.{ts,js,mjs}")),
+    ("wrangler-files", ("wrangler",), ("src/index.{ts,tsx,js,jsx,mts,mjs}", "src/worker.{ts,tsx,js,jsx,mts,mjs}", "functions/**/*.{ts,tsx,js,jsx,mts,mjs}")),
+    ("hardhat-files", ("hardhat",), ("test/**/*.{ts,js}", "scripts/**/*.{ts,js}", "tasks/**/*.{ts,js}", "deploy/**/*.{ts,js}", "ignition/modules/**/*.{ts,js}", "hardhat.config.{ts,js,cjs,mjs}")),
+    ("knex", ("knex",), ("migrations/**/*.{ts,js}", "seeds/**/*.{ts,js}", "knexfile.{ts,js}")),
+    ("drizzle-files", ("drizzle-orm",), ("drizzle/**/*.{ts,js}",)),
+    ("ember", ("ember-source", "ember-cli", "@embroider/core", "@embroider/compat", "@glimmer/component"), ("app/app.{js,ts}", "app/router.{js,ts}", "app/components/**/*.{js,ts}", "app/routes/**/*.{js,ts}", "app/controllers/**/*.{js,ts}", "app/models/**/*.{js,ts}", "app/services/**/*.{js,ts}", "app/helpers/**/*.{js,ts}", "app/modifiers/**/*.{js,ts}")),
+    ("gatsby-files", ("gatsby",), ("src/pages/**/*.{ts,tsx,js,jsx}", "src/templates/**/*.{ts,tsx,js,jsx}", "src/api/**/*.{ts,js}", "gatsby-config.{ts,js,mjs}", "gatsby-node.{ts,js,mjs}", "gatsby-browser.{ts,tsx,js,jsx}", "gatsby-ssr.{ts,tsx,js,jsx}")),
+    ("nuxt-files", ("nuxt", "nuxt3"), ("pages/**/*.{ts,tsx,js,jsx}", "layouts/**/*.{ts,tsx,js,jsx}", "middleware/**/*.{ts,js}", "server/**/*.{ts,js}", "plugins/*.{ts,tsx,js,jsx,mts,cts,mjs,cjs}", "plugins/**/index.{ts,tsx,js,jsx,mts,cts,mjs,cjs}", "composables/*.{ts,tsx,js,jsx,mts,cts,mjs,cjs}", "utils/*.{ts,tsx,js,jsx,mts,cts,mjs,cjs}")),
+    ("astro-files", ("astro",), ("src/pages/**/*.{ts,tsx,js,jsx,mts,mjs,cts,cjs}", "src/content/**/*.{ts,js,mts,mjs,cts,cjs}", "src/middleware.{js,ts,mjs,mts,cjs,cts}", "src/middleware/index.{js,ts,mjs,mts,cjs,cts}", "src/actions/index.{js,ts,mjs,mts,cjs,cts}")),
+    ("adonis", ("@adonisjs/core",), ("server.{ts,js}", "ace.{ts,js}", "bin/**/*.{ts,js}", "start/**/*.{ts,js}", "providers/**/*.{ts,js}", "commands/**/*.{ts,js}", "config/**/*.{ts,js}", "contracts/**/*.ts", "database/**/*.{ts,js}", "app/**/*.ts")),
+    ("qwik", ("@builder.io/qwik", "@builder.io/qwik-city", "@qwik.dev/core", "@qwik.dev/router"), ("src/routes/**/index.{ts,tsx,js,jsx}", "src/routes/**/layout.{ts,tsx,js,jsx}", "src/routes/**/plugin.{ts,js}", "src/routes/**/service-worker.{ts,js}", "adapters/**/vite.config.{ts,js}", "src/entry.*.{ts,tsx,js,jsx}", "src/root.{ts,tsx,js,jsx}")),
+    ("sanity", ("sanity", "@sanity/"), ("schemas/**/*.{ts,tsx,js,jsx}", "sanity/**/*.{ts,tsx,js,jsx}", "sanity.config.{ts,js}", "sanity.cli.{ts,js}")),
+    ("redwoodsdk", ("rwsdk",), ("src/worker.{ts,tsx,js,jsx,mts,mjs}",)),
+    ("convex", ("convex",), ("convex/**/*.{ts,js}",)),
+    ("supabase", ("supabase",), ("supabase/functions/*/index.{ts,tsx,js,jsx,mts,mjs,cts,cjs}",)),
+    ("k6", ("k6",), ("**/*.k6.{js,ts,mjs,cjs,mts,cts}",)),
+    ("webdriverio", ("webdriverio", "@wdio/"), ("test/**/*.{ts,js}", "e2e/**/*.{ts,js}", "**/*.e2e.{ts,js}", "wdio.conf.{ts,js}")),
+    ("cucumber", ("@cucumber/cucumber",), ("features/**/*.{ts,js}", "**/*.steps.{ts,js}", "step_definitions/**/*.{ts,js}", "support/**/*.{ts,js}", "cucumber.{js,cjs,mjs,ts}")),
+    ("mocha", ("mocha",), ("test/**/*.{ts,tsx,js,jsx}", "tests/**/*.{ts,tsx,js,jsx}", "spec/**/*.{ts,tsx,js,jsx}", ".mocharc.{js,cjs,mjs}")),
+    ("tap", ("tap",), ("test/**/*.{js,cjs,mjs,jsx,ts,cts,mts,tsx}", "tests/**/*.{js,cjs,mjs,jsx,ts,cts,mts,tsx}", "test.{js,cjs,mjs,jsx,ts,cts,mts,tsx}", "tests.{js,cjs,mjs,jsx,ts,cts,mts,tsx}")),
+    ("ava-files", ("ava",), ("test/**/*.{ts,tsx,js,jsx}", "tests/**/*.{ts,tsx,js,jsx}")),
+    ("nitro", ("nitropack",), ("server/**/*.{ts,js}", "routes/**/*.{ts,js}", "api/**/*.{ts,js}", "middleware/**/*.{ts,js}", "nitro.config.{ts,js}")),
+    ("msw", ("msw",), ("**/mocks/**/*.{ts,tsx,js,jsx}", "public/mockServiceWorker.js")),
+    ("capacitor-files", ("@capacitor/core", "@capacitor/cli"), ("capacitor.config.{ts,js}",)),
+    ("plop", ("plop",), ("plopfile.{js,cjs,mjs,ts}",)),
+    ("lit", ("lit", "lit-element", "lit-html"), ()),
+    ("stryker", ("@stryker-mutator/core", "stryker"), ("**/stryker.conf.{js,mjs,cjs,ts}", "**/stryker.config.{js,mjs,cjs,ts}")),
+    ("fumadocs", ("fumadocs-mdx", "fumadocs-core", "fumadocs-ui"), ("source.config.{ts,tsx,js,jsx,mts,mjs,cts,cjs}",)),
+)
+
+
+BUILT_IN += tuple(Plugin(name, JS, _dep(*found), globs) for name, found, globs in _CONVENTIONS)
+
+
 def load(paths: list[str]) -> list[Plugin]:
     """Plugins of TOML files, in order; unreadable files are left out."""
     out = []

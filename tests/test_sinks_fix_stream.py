@@ -74,6 +74,24 @@ def test_config():
     assert c.severities == {"unused-file": 2} and c.layers[2].allow == ("shared", "entities") and c.max_loc == 1
 
 
+def test_report_by_package_and_dashboard(small):
+    s = small[1]
+    roots = s.scan_roots()
+    text = sinks.to_text_by_package(s.findings, roots, show_all=True, per_rule=10_000)
+    names = {r["package"] for r in roots.collect()}
+    heads = [line.split("  ")[1] for line in text.split("\n") if not line.startswith(" ")]
+    assert set(heads) <= names and len(heads) > 1
+    assert sum(line.startswith("    ") for line in text.split("\n")) == s.findings.count()
+    nodes, edges, _ = s.package_graph(0)
+    pairs = [(r["from"], r["to"], r["weight"]) for r in edges.collect()]
+    own = [(r["root"], r["package"], r["files"], r["entries"]) for r in roots.collect()]
+    ids = [r["bucket"] for r in nodes.orderBy("bucket").collect()]
+    board = json.loads(draw.dashboard(own, 0, ids, pairs, as_text=False))
+    assert len(board["scan_roots"]) == len(own) and [n["id"] for n in board["graph"]["nodes"]] == ids and board["depth_guide"][0]["depth"] == 0
+    shown = draw.dashboard(own, 0, ids, pairs)
+    assert all(p in shown for _, p, _, _ in own) and "(shown)" in shown
+
+
 def test_stream_extracts_only_changes_and_survives_restarts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(rescan, "COMPACT", 3)
     source, state = str(tmp_path / "in"), f"file://{tmp_path}/state"
