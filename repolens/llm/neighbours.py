@@ -6,7 +6,7 @@ space hands out leaves nearest first; their vectors are verified with exact inne
 test holds: projected distance^2 / distance^2 follows chi-square with DIMS degrees of freedom, so once the next
 leaf is farther than quantile(CONFIDENCE) times the k-th distance, an unseen neighbour is unlikely.
 
-The upper part of the tree is cut from a sample of at most SAMPLE rows; every row is dealt to one of its cells,
+The upper part of the tree is cut from a sample of some SAMPLE rows, chosen by hash; every row is dealt to one of its cells,
 and cells over SHARD_ROWS (many equal vectors, say) are salted into shards, each with a kd-tree of its own.
 Queries first search their home shard; the bound they bring from there lets the same test rule out whole
 cells, and only blocks of queries that still need a shard meet it.
@@ -31,11 +31,13 @@ from repolens.session import materialize
 
 DIMS = 8
 CONFIDENCE = 0.98
+#: Sampled rows for the upper tree, about; twice as many at most.
 SAMPLE = 20_000
 SHARD_ROWS = 16_384
 MAX_CELLS = 4096
 LEAF = 256
-QUERY_BLOCK = 4096
+#: Queries that meet a shard in one task at most.
+QUERY_BLOCK = 32_768
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -135,14 +137,15 @@ class Searcher:
         kth = bound.copy()
         got_q, got_id, got_s = np.zeros(0, np.int64), np.zeros(0, cid.dtype), np.zeros(0)
         active = np.arange(n)
-        for r in range(len(leaves)):
-            leaf = turn[active, r]
-            go = ~self.far(box2[active, leaf], q2[active], kth[active])
-            active, leaf = active[go], leaf[go]
-            if not len(active):
-                break
+        done, step = 0, 1
+        while done < len(leaves) and len(active):  # each round takes as many leaves as all before, so that products are large
+            near_leaves = turn[active, done : done + step]
+            go = ~self.far(box2[active[:, None], near_leaves], q2[active][:, None], kth[active][:, None])
+            rows, leaf = np.repeat(active, go.sum(1)), near_leaves[go]
+            active = active[go[:, -1]]  # leaves come nearest first
+            done, step = done + step, done + step
             order = np.argsort(leaf, kind="stable")
-            rows, cuts = active[order], np.searchsorted(leaf[order], np.arange(len(leaves) + 1))
+            rows, cuts = rows[order], np.searchsorted(leaf[order], np.arange(len(leaves) + 1))
             new_q, new_c = [], []
             for j in np.flatnonzero(np.diff(cuts)):
                 mine = rows[cuts[j] : cuts[j + 1]]
@@ -151,7 +154,7 @@ class Searcher:
                 a, b = np.nonzero(near)
                 new_q.append(mine[a])
                 new_c.append(leaves[j][b])
-            nq, nc = np.concatenate(new_q), np.concatenate(new_c)
+            nq, nc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (new_q, new_c))
             if not len(nq):
                 continue
             score = np.concatenate([(q[nq[i : i + 65536]] * c[nc[i : i + 65536]]).sum(1) for i in range(0, len(nq), 65536)])
@@ -183,13 +186,15 @@ def _usable(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     return fit[good], x[good]
 
 
-def _vectors(column: pd.Series, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(-1, size)
+def _vectors(column: pd.Series | list[bytes], size: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=kind).reshape(-1, size).astype(np.float64)
 
 
 def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = CONFIDENCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): the k nearest found for each query, ties to the smaller id."""
     spark = vectors.sparkSession
+    # single numbers stay single on their way: they are exact as such
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     schema = "query_id long, rank int, vec_id long, score double"
     top = base.filter("v is not null and size(v) > 0").groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
@@ -214,7 +219,9 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20,
     cells = 1
     while cells < MAX_CELLS and cells * shard_rows < n:
         cells *= 2
-    chosen = base.filter(F.size("v") == size).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").toArrow()
+    fit = base.filter(F.size("v") == size)
+    share = F.shiftrightunsigned(F.xxhash64("vec_id", "v"), 1) / 2.0**63
+    chosen = fit.filter(share < min(1.0, SAMPLE / n)).limit(2 * SAMPLE).select("vec_id", "v").toArrow()
     sample = np.concatenate([_usable(b, size)[1] for b in chosen.combine_chunks().to_batches()] or [np.zeros((0, size))])
     axis, at = split_tree(find.project(sample), cells)
 
@@ -223,8 +230,8 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20,
             rows, x = _usable(batch, size)
             cell = cell_of(find.project(x), axis, at)
             home = cell_of(find.project(x, True), axis, at)
-            raw = x.tobytes()
-            blobs = pa.array([raw[i : i + 8 * size] for i in range(0, len(raw), 8 * size)], type=pa.binary())
+            raw, wide = x.astype(kind).tobytes(), size * int(kind[-1])
+            blobs = pa.array([raw[i : i + wide] for i in range(0, len(raw), wide)], type=pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(cell), pa.array(home), blobs], names=["vec_id", "cell", "home", "x"])
 
     dealt = materialize(base.mapInArrow(deal, "vec_id long, cell long, home long, x binary"), "vectors")
@@ -233,7 +240,7 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20,
         count, low, high = np.zeros(cells, np.int64), np.full((cells, DIMS), np.inf), np.full((cells, DIMS), -np.inf)
         for batch in batches:
             cell = batch.column(0).to_numpy()
-            p = find.project(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.float64).reshape(-1, size))
+            p = find.project(_vectors(batch.column(1).to_pylist(), size, kind))
             np.add.at(count, cell, 1)
             np.minimum.at(low, cell, p)
             np.maximum.at(high, cell, p)
@@ -252,25 +259,26 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20,
     if not first[-1]:
         return spark.createDataFrame([], schema)
     filled = np.flatnonzero(salts)
-    lookup = F.array(*[F.lit(int(x)) for x in first[:-1]])
-    width = F.array(*[F.lit(max(1, int(x))) for x in salts])
-    shard = F.get(lookup, F.col("cell")) + F.pmod(F.xxhash64("vec_id", F.lit(3)), F.get(width, F.col("cell")))
-    candidates = dealt.select(shard.alias("shard"), "vec_id", "x")
+    nearest_filled = filled[np.argmin(np.abs(np.arange(cells)[:, None] - filled[None, :]), axis=1)] if len(filled) < cells else np.arange(cells)
+    # at most MAX_CELLS rows: a cell's first shard, its number of shards, and the filled cell that stands for it
+    own_cells = F.broadcast(spark.createDataFrame([(c, int(first[c]), max(1, int(salts[c])), int(nearest_filled[c])) for c in range(cells)], "cell long, first_shard long, wide long, filled long"))
+    dealt_out = lambda salt: F.col("first_shard") + F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col("wide"))
+    candidates = dealt.join(own_cells, "cell").select(dealt_out(3).alias("shard"), "vec_id", "x")
 
     chosen_q = dealt.filter(F.expr(is_query)).groupBy("vec_id").agg(F.min(F.struct("x", "home")).alias("s")).select("vec_id", "s.x", "s.home")
     n_queries = chosen_q.count()
-    # queries that live in one cell share a block, so that they need the same shards; blocks are bounded by salting
-    per_cell = max(1, -(-4 * n_queries // (QUERY_BLOCK * max(1, len(filled)))))
-    nearest_filled = filled[np.argmin(np.abs(np.arange(cells)[:, None] - filled[None, :]), axis=1)] if len(filled) < cells else np.arange(cells)
-    real_home = F.get(F.array(*[F.lit(int(x)) for x in nearest_filled]), F.col("home"))
-    queries = chosen_q.select("vec_id", "x", real_home.alias("cell")).withColumn("block", F.col("cell") * per_cell + F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(per_cell)))
-    queries = queries.withColumn("own", F.get(lookup, F.col("cell")) + F.pmod(F.xxhash64("vec_id", F.lit(6)), F.get(width, F.col("cell"))))
+    # neighbouring cells share a block, so that its queries need the same shards; blocks are bounded by salting
+    blocks = -(-n_queries // QUERY_BLOCK)
+    salted = max(1, -(-2 * blocks // cells))
+    lived = chosen_q.join(own_cells.select(F.col("cell").alias("home"), F.col("filled").alias("cell")), "home").join(own_cells, "cell")
+    block = F.expr(f"cell * {max(1, min(cells, 2 * blocks - 1))} div {cells}") * salted + F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(salted))
+    queries = lived.select("vec_id", "x", block.alias("block"), dealt_out(6).alias("own"))
 
     def visit(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "ids": [], "scores": [], "kth": pd.Series(dtype="float64")})
-        qid, x = q["vec_id"].to_numpy(), _vectors(q["x"], size)
-        a, i, s = find.search(qid, x, q["kth"].to_numpy(), c["c_id"].to_numpy(), _vectors(c["c_x"], size))
+        qid, x = q["vec_id"].to_numpy(), _vectors(q["x"], size, kind)
+        a, i, s = find.search(qid, x, q["kth"].to_numpy(), c["c_id"].to_numpy(), _vectors(c["c_x"], size, kind))
         cuts = np.searchsorted(a, np.arange(len(q) + 1))
         ids, scores = [i[m:z] for m, z in zip(cuts, cuts[1:])], [s[m:z] for m, z in zip(cuts, cuts[1:])]
         kth = [float(v[k - 1]) if len(v) >= k else -np.inf for v in scores]
@@ -288,7 +296,7 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.float64).reshape(-1, size)
+            x = _vectors(batch.column(1).to_pylist(), size, kind)
             kth, own = batch.column(3).to_numpy(), batch.column(4).to_numpy()
             box2 = box_distance(find.project(x, True), low[filled], high[filled])
             near = ~find.far(box2, (x * x).sum(1)[:, None], kth[:, None])

@@ -20,14 +20,15 @@ def brute_nearest(rows, k=20):
     return out
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(700, 8)) * rng.uniform(0.2, 3, (700, 1)))]
     rows += [(700 + i, rows[0][1]) for i in range(60)]  # ties
     rows += [(900, None), (901, [0.0] * 8), (902, [1.0, None] + [0.0] * 6), (903, [float("nan")] * 8), (904, [float("inf")] * 8), (920, [1.0, 2.0]), (921, [])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     want = brute_nearest(rows)
-    for shard_rows in (16_384, 40):
+    for shard_rows, block in ((16_384, 32_768), (40, 32_768), (40, 7), (16_384, 7)):
+        monkeypatch.setattr(neighbours, "QUERY_BLOCK", block)
         got: dict = {}
         for r in neighbours.nearest(df, shard_rows=shard_rows).collect():
             got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
