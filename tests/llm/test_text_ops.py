@@ -310,6 +310,31 @@ def test_elias_fano():
         assert (e.find(other) == -1).all()
 
 
+def test_codes_and_packed_search():
+    p = np.array([1.0, 0.5, 1e-3, 1e-12, 3e-17])
+    assert (np.abs(np.log2(lm.probability_of(lm.code_of(p))) - np.log2(p)) <= 1 / 512 + 1e-9).all() and lm.code_of(np.array([1.0]))[0] == 1
+    values = np.array([0, 0, 3, 3, 9, 200, 201], dtype=np.uint64)
+    e = lm.EliasFano(len(values), *lm.EliasFano.encode(values, 256))
+    assert e.access(np.arange(7)).tolist() == values.tolist() and (e.high.size + 8 * e.ones.size) < 200
+    at = e.find(values, np.zeros(7, np.int64), np.full(7, 4))  # only within the range that is given
+    assert (at[:4] >= 0).all() and (at[4:] == -1).all()
+
+
+def test_probabilities_of_a_context_sum_to_one():
+    rows = [(i, t) for i, t in enumerate(["a b a c", "b a", "c c a b", "a"])]
+    tokens = [w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*t.split(), "\n"]]
+    c = Counter(tokens)
+    whole = len(tokens) + len(c) + 1
+    own = np.array([(n + 1) / whole for n in c.values()] + [1 / whole])  # all words and the unknown one
+    assert abs(own.sum() - 1) < 1e-12
+    for context in c:
+        after = Counter(b for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for a, b in zip(t.split(), [*t.split()[1:], "\n"]) if a == context)
+        n = np.array([after[w] for w in c] + [0])
+        p = (n + lm.MASS * own) / (n.sum() + lm.MASS)
+        held = np.where(n > 0, lm.probability_of(lm.code_of((n + lm.MASS * lm.probability_of(lm.code_of(own))) / (n.sum() + lm.MASS))), lm.MASS * own / (n.sum() + lm.MASS))
+        assert abs(p.sum() - 1) < 1e-12 and abs(held.sum() - 1) < 0.005
+
+
 def brute_lm(rows):
     tokens = [(i, [*WORD.findall(lowered(t)), "\n"], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
     c, pairs, texts = Counter(), Counter(), 0
