@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from repolens.llm.text import sliced, text_column, words_of
 from repolens.llm.xxh import xxh64_spans
-from repolens.session import materialize
+from repolens.session import forget, materialize
 
 BITS = 64
 #: Fingerprints in one BK-tree at most.
@@ -232,7 +232,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
-        e = materialize(small, "edges")
+        e, before = materialize(small, "edges"), e
+        forget(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
