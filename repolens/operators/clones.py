@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolens.session import materialize
+from repolens.session import broadcast_if_small, materialize
 
 SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -96,6 +96,11 @@ def repeated(found: DataFrame, by: list[str] | None = None) -> DataFrame:
     return found.groupBy(*by, "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("prev").alias("n_prev"), F.count(F.when(F.col("prev").isNull(), 1)).alias("at_start")).filter("n >= 2")
 
 
+def places_of(found: DataFrame, groups: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The windows of ``groups``. Repeated windows are few among all: where they fit a broadcast the windows, whose hashes are made again, need no second shuffle."""
+    return found.join(broadcast_if_small(materialize(groups, "repeated")), [*(by or []), "h1", "h2"])
+
+
 def left_maximal(groups: DataFrame) -> DataFrame:
     """Groups that cannot be extended to the left: preceding tokens differ, or one stands at a file's start."""
     return groups.filter((F.col("n_prev") + F.col("at_start")) > 1)
@@ -241,7 +246,7 @@ def clone_groups(files: DataFrame, min_tokens: int = 30, mode: str = "mild", ski
     coded = materialize(files.select("repo_id", "family", "path", sym.alias("syms"), names.alias("names"), "lines", "ends"), "tokens")
     found = windows(coded, min_tokens, ["repo_id", "family", "path"])
     good = left_maximal(repeated(found, ["repo_id", "family"])).select(*GROUP)
-    places = materialize(found.join(good, GROUP).select(*GROUP, "path", "start"), "places")
+    places = materialize(places_of(found, good, ["repo_id", "family"]).select(*GROUP, "path", "start"), "places")
     cut = places.join(common_length(coded, places, min_tokens), GROUP)
     # of one file's overlapping blocks the greedy choice from the left stays
     starts = cut.groupBy(*GROUP, "path", "length").agg(F.array_sort(F.collect_set("start")).alias("s"))

@@ -318,7 +318,7 @@ def document_windows(spark: SparkSession, sf_dir: str, key: list[str]) -> DataFr
 def clone_windows_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every window of 30 tokens that occurs twice or more, with its number of places."""
     found = document_windows(spark, sf_dir, ["doc_id"])
-    return found.join(clones.repeated(found), ["h1", "h2"]).select("doc_id", "start", "n")
+    return clones.places_of(found, clones.repeated(found).select("h1", "h2", "n")).select("doc_id", "start", "n")
 
 
 @query(f"WITH {WINDOW_SQL} SELECT n, n_prev, count(*) AS groups FROM h WHERE n_prev + at_start > 1 GROUP BY ALL")

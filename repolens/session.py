@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "repolens", master: str | None = None, **conf: str) -> SparkSession:
@@ -105,6 +106,17 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return table
 
 
+#: Bytes of rows that broadcast_if_small sends to all executors at most.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast where its measured size allows it; it should be cheap to read twice, as a written table is."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    n, chars = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(df) if 40 * n + (chars or 0) <= BROADCAST_BYTES else df
+
+
 def forget(*tables: DataFrame) -> None:
     """Drop tables of ``materialize`` that no plan reads any more."""
     for table in tables:
