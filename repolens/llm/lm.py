@@ -3,7 +3,8 @@
 Tokens are lower-cased words and one end per text. Four steps, none of which holds the model in one place:
 
 1. Documents are dealt to blocks of about BLOCK_BYTES of text. A block asks for each of its distinct words once, with
-   its own training counts; word shards add these up and answer.
+   its own training counts; word shards add these up and answer. The answers are a written table: the numbers of all tokens
+   and of distinct ones come from it before the next step.
 2. A block asks for each of its distinct word pairs once, with its own training counts, the count of the context and the
    quantised probability of the word, so a pair in every document still gives one request per block.
 3. Requests go to shards by their context (contexts are salted, so that a frequent one is spread over many shards). A
@@ -15,7 +16,7 @@ successors, successors, and with each successor its smoothed probability (count
 + MASS), as a logarithm quantised to 1/256 bit. A successor is found by a search relative to its context: the level
 holds (context rank, word) as one increasing number, and the search runs on the packed form, by an index of one
 count for each 64 bits. A pair that the trie does not hold has the context's rest, MASS * p(word) / (count + MASS). Words
-are 64-bit hashes (contexts 48 bits within their shard, successors 40 within their context). The file lies in the task's
+are 64-bit hashes (contexts 48 bits within their shard, successors 32 within their context). The file lies in the task's
 own temporary folder: only its task reads it, and a task that is run again builds it again.
 
 Defined results: null and empty texts have one token, the end; a null id is not held out; repeated rows are
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.text import give_back, hashes_of, sliced, text_column, unique_sorted, words_of
+from repolens.llm.text import give_back, hashes_of, text_column, unique_sorted, words_of
+from repolens.session import materialize
 
 BLOCK_BYTES = 12 << 20
 SHARD_BYTES = 16 << 20
@@ -45,7 +46,7 @@ LEAST_SALTS = 8
 SALT_SHARE = 64
 #: Weight of the word's own probability against the context's counts.
 MASS = 200.0
-WORD_BITS = 40
+WORD_BITS = 32
 #: Bits of a context's hash within its shard.
 CONTEXT_BITS = 48
 END = hashes_of([b"\n"])[0]
@@ -156,7 +157,7 @@ class Trie:
 
     @staticmethod
     def build(folder: str, context: np.ndarray, word: np.ndarray, codes: np.ndarray) -> Trie:
-        """From distinct (48-bit context, 40-bit word) pairs, sorted, with the codes of their probabilities."""
+        """From distinct (48-bit context, 32-bit word) pairs, sorted, with the codes of their probabilities."""
         first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate((first, [len(context)])))
         rank = np.repeat(np.arange(len(first)), size)
@@ -204,6 +205,16 @@ def probability_of(code: np.ndarray) -> np.ndarray:
     return np.exp2((code.astype(float) - 1) / -256)
 
 
+def _short(values: np.ndarray) -> bytes:
+    """Numbers below 2 ** 40 in five bytes each."""
+    return (values & 0xFFFFFFFF).astype("<u4").tobytes() + (values >> 32).astype(np.uint8).tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, dtype="<u4", count=n).astype(np.int64) | (np.frombuffer(raw, dtype=np.uint8, offset=4 * n).astype(np.int64) << 32)
+
+
 class Words:
     """Tokens of a block of texts and its distinct words in a fixed order."""
 
@@ -226,7 +237,7 @@ class Words:
     def answered(self, answers: pa.Table) -> np.ndarray:
         """The training counts of all, in the order of the words."""
         counts = np.zeros(len(self.hash), dtype=np.int64)
-        counts[self.word_order] = np.frombuffer(b"".join(answers.sort_by("shard").column("data").to_pylist()), dtype="<u8")
+        counts[self.word_order] = np.concatenate([_long(x) for x in answers.sort_by("shard").column("data").to_pylist()])
         return counts
 
 
@@ -239,7 +250,7 @@ class Block(Words):
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.first[:-1]] = start
-        # distinct pairs; their order: shard, context hash, 40-bit word
+        # distinct pairs; their order: shard, context hash, 32-bit word
         self.code = before * wide + self.tokens
         self.pairs, _ = unique_sorted(self.code)
         self.a, self.b = self.pairs // wide, self.pairs % wide
@@ -281,6 +292,7 @@ def _ask_words(table: pa.Table, shards: int) -> pa.Table:
 
 
 ANSWER = "block long, shard long, pairs boolean, data binary"
+COUNTED = ANSWER + ", tokens long, distinct long"
 
 
 def _answer_words(table: pa.Table) -> pa.Table:
@@ -292,11 +304,14 @@ def _answer_words(table: pa.Table) -> pa.Table:
     places = [np.searchsorted(known, x) for x in h]
     for at, n in zip(places, c):
         total[at] += n  # distinct within a block
-    data = [total[at].astype("<u8").tobytes() for at in places]
-    return pa.table([pa.array([x["block"] for x in asks], type=pa.int64()), pa.array([x["shard"] for x in asks], type=pa.int64()), pa.array([False] * len(asks)), pa.array(data, type=pa.binary())], names=["block", "shard", "pairs", "data"])
+    data = [_short(total[at]) for at in places]
+    words = total[known != START]
+    once = lambda value: pa.array([int(value)] + [0] * (len(asks) - 1), type=pa.int64())
+    columns = [pa.array([x["block"] for x in asks], type=pa.int64()), pa.array([x["shard"] for x in asks], type=pa.int64()), pa.array([False] * len(asks)), pa.array(data, type=pa.binary())]
+    return pa.table([*columns, once(words.sum()), once((words > 0).sum())], names=[x.split()[0] for x in COUNTED.split(", ")])
 
 
-ASK = "shard long, block long, heads binary, tails binary, totals binary, sizes binary, keys binary, extra binary, codes binary, counts binary, many binary"
+ASK = "shard long, block long, heads binary, tails binary, totals binary, sizes binary, keys binary, codes binary, counts binary, many binary"
 #: A pair's training count in a block is sent in a byte; those of MANY or more in a list of their own.
 MANY = 255
 
@@ -319,7 +334,7 @@ def _ask(table: pa.Table, answers: pa.Table, shards: int, whole: int) -> pa.Tabl
         size = np.diff(np.concatenate((head, [len(mine)])))
         w, h, n = block.word[mine], context[head], pairs[mine]
         rows.append((
-            s, (h >> np.uint64(16)).astype("<u4").tobytes(), (h & np.uint64(0xFFFF)).astype("<u2").tobytes(), total[mine[head]].astype("<u4").tobytes(), size.astype("<u4").tobytes(), (w >> np.uint64(8)).astype("<u4").tobytes(), (w & np.uint64(255)).astype(np.uint8).tobytes(),
+            s, (h >> np.uint64(16)).astype("<u4").tobytes(), (h & np.uint64(0xFFFF)).astype("<u2").tobytes(), total[mine[head]].astype("<f4").tobytes(), size.astype("<u4").tobytes(), w.astype("<u4").tobytes(),
             own[mine].tobytes(), np.minimum(n, MANY).astype(np.uint8).tobytes(), n[n >= MANY].astype("<u4").tobytes(),
         ))
     which = table.column("block")[0].as_py()
@@ -337,10 +352,9 @@ def _answer(table: pa.Table) -> pa.Table:
     keys, counts = [], []
     for x, head in zip(asks, heads):
         at = np.searchsorted(contexts, head)
-        totals[at] = np.frombuffer(x["totals"], dtype="<u4")  # the same in every block
+        totals[at] = np.frombuffer(x["totals"], dtype="<f4")  # the same in every block
         rank = np.repeat(at, np.frombuffer(x["sizes"], dtype="<u4")).astype(np.uint64)
-        word = (np.frombuffer(x["keys"], dtype="<u4").astype(np.uint64) << np.uint64(8)) | np.frombuffer(x["extra"], dtype=np.uint8)
-        keys.append((rank << np.uint64(WORD_BITS)) | word)
+        keys.append((rank << np.uint64(WORD_BITS)) | np.frombuffer(x["keys"], dtype="<u4"))
         n = np.frombuffer(x["counts"], dtype=np.uint8).astype(np.int64)
         n[n == MANY] = np.frombuffer(x["many"], dtype="<u4")
         counts.append(n)
@@ -385,43 +399,6 @@ def _score(docs: pa.Table, answers: pa.Table, shards: int, tokens: int, vocabula
     )
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Distinct word hashes of training texts by part, and their token count."""
-    held, waiting, tokens = np.zeros(0, np.uint64), [], 0
-
-    def rows() -> pa.RecordBatch:
-        part = (held % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        full = [s for s in range(parts) if cuts[s] < cuts[s + 1]]
-        return pa.RecordBatch.from_arrays([pa.array(full, type=pa.int64()), pa.array([held[order[cuts[s] : cuts[s + 1]]].tobytes() for s in full], type=pa.binary()), pa.array([tokens] + [0] * (len(full) - 1) if full else [], type=pa.int64())], names=["part", "words", "tokens"])
-
-    for batch in sliced(batches):
-        ids, _, words = words_of(text_column(batch), lower=True)
-        tokens += len(ids) + batch.num_rows
-        waiting.append(np.append(hashes_of(words), END))
-        if sum(map(len, waiting)) > 1 << 20:
-            held, waiting = unique_sorted(np.concatenate((held, *waiting)))[0], []
-            if len(held) > 4 << 20:
-                yield rows()
-                held, tokens = held[:0], 0
-    if waiting or len(held):
-        held = unique_sorted(np.concatenate((held, *waiting)))[0]
-        yield rows()
-
-
-def _count_distinct(table: pa.Table) -> pa.Table:
-    words = unique_sorted(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("words").to_pylist()]))[0]
-    return pa.table([pa.array([len(words)]), pa.array([sum(table.column("tokens").to_pylist())])], names=["v", "n"])
-
-
-def training_size(rows: DataFrame, parts: int) -> tuple[int, int]:
-    """Tokens and distinct tokens of the training rows (train, text)."""
-    found = rows.filter("train").select("text").mapInArrow(lambda it: _distinct(it, parts), "part long, words binary, tokens long")
-    n, v = found.groupBy("part").applyInArrow(_count_distinct, "v long, n long").agg(F.sum("n"), F.sum("v")).first()
-    return n or 0, v or 0
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
@@ -431,9 +408,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held.alias("held"), (~held).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, shards = int(size // BLOCK_BYTES + 1), int(size // SHARD_BYTES + 1)
-    tokens, vocabulary = training_size(rows, shards)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    counted = dealt.groupBy("block").applyInArrow(lambda t: _ask_words(t, shards), ASK_WORDS).groupBy("shard").applyInArrow(_answer_words, ANSWER)
+    counted = dealt.groupBy("block").applyInArrow(lambda t: _ask_words(t, shards), ASK_WORDS).groupBy("shard").applyInArrow(_answer_words, COUNTED)
+    counted = materialize(counted, "words")
+    tokens, vocabulary = (x or 0 for x in counted.agg(F.sum("tokens"), F.sum("distinct")).first())
+    counted = counted.drop("tokens", "distinct")
     asks = dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(lambda t, a: _ask(t, a, shards, tokens + vocabulary + 1), ASK)
     answers = asks.groupBy("shard").applyInArrow(_answer, ANSWER).unionByName(counted)
     kind = docs.schema[id_col].dataType.simpleString()
