@@ -75,28 +75,34 @@ def ignore_rule(directory: str, line: str) -> tuple[str, bool, bool] | None:
     return (pattern, only_directories, negated) if body else None
 
 
+#: Files that name what is ignored, in the order of their weight.
+IGNORE_FILES = (".git/info/exclude", ".gitignore", ".ignore")
+
+
 def ignored_patterns(tree: DataFrame) -> DataFrame:
-    """(repo_id, depth, directory, line, pattern, only_directories, negated): a row per rule of each ``.gitignore``."""
+    """(repo_id, kind, depth, directory, line, pattern, only_directories, negated): a row per rule of each ignore file. Those of a later kind count for more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r, p, c in zip(*(x.to_pylist() for x in b.columns)):
-                folder = p.rpartition("/")[0]
+                kind = IGNORE_FILES.index(".git/info/exclude" if p == ".git/info/exclude" else p.rpartition("/")[2])
+                folder = p.rpartition("/")[0] if kind else ""
                 found = (ignore_rule(folder, x) for x in (c or b"").decode("utf-8", "replace").split("\n"))
-                rows += [(r, p.count("/"), folder, i, *x) for i, x in enumerate(found) if x]
+                rows += [(r, kind, folder.count("/") + bool(folder), folder, i, *x) for i, x in enumerate(found) if x]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], type=t) for i, t in enumerate(kinds)], names=names)
 
-    names = ["repo_id", "depth", "directory", "line", "pattern", "only_directories", "negated"]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
-    schema = "repo_id string, depth int, directory string, line int, pattern string, only_directories boolean, negated boolean"
-    return tree.filter(paths.base_name(F.col("path")) == ".gitignore").select("repo_id", "path", "content").mapInArrow(run, schema)
+    names = ["repo_id", "kind", "depth", "directory", "line", "pattern", "only_directories", "negated"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
+    schema = "repo_id string, kind int, depth int, directory string, line int, pattern string, only_directories boolean, negated boolean"
+    named = (F.col("path") == IGNORE_FILES[0]) | paths.base_name(F.col("path")).isin(*IGNORE_FILES[1:])
+    return tree.filter(named).select("repo_id", "path", "content").mapInArrow(run, schema)
 
 
 def walk(tree: DataFrame) -> DataFrame:
     """The tree without skipped directories and ignored files. The last rule that matches decides, deeper files last; what is in an ignored directory stays ignored."""
     kept = tree.filter(~F.col("path").rlike("(^|/)(" + "|".join(map(re.escape, SKIPPED)) + ")/"))
-    rules = ignored_patterns(kept).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("depth", "directory", "line", "pattern", "only_directories", "negated"))).alias("_rules"))
+    rules = ignored_patterns(kept.unionByName(tree.filter(F.col("path") == IGNORE_FILES[0]))).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("kind", "depth", "directory", "line", "pattern", "only_directories", "negated"))).alias("_rules"))
     joined = kept.join(rules, "repo_id", "left")
     parts = F.split("path", "/")
     upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("path"), (n < F.size(parts)).alias("directory")))

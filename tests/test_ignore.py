@@ -11,3 +11,10 @@ def test_ignore_lines_stop_at_separators_and_the_last_match_decides(spark):
     tree = spark.createDataFrame([("r", p, t.encode()) for p, t in files.items()], "repo_id string, path string, content binary")
     gone = {"a.js", "src/a.gen.ts", "dist/a.ts", "out/a.ts", "log1.ts", "b/tmp/c/d.ts", "c/log2.ts"}
     assert {r["path"] for r in repositories.walk(tree).collect()} == set(files) - gone
+
+
+def test_kinds_of_ignore_files(spark):
+    """``.ignore`` counts for more than ``.gitignore``, that for more than the repository's own exclude file."""
+    files = {".git/info/exclude": "a.ts\nb.ts\n", ".gitignore": "!b.ts\nc.ts\nd.ts\n", "sub/.gitignore": "e.ts\n", ".ignore": "!d.ts\n!e.ts\n", "a.ts": "", "b.ts": "", "c.ts": "", "d.ts": "", "sub/a.ts": "", "sub/e.ts": ""}
+    tree = spark.createDataFrame([("r", p, t.encode()) for p, t in files.items()], "repo_id string, path string, content binary")
+    assert {r["path"] for r in repositories.walk(tree).collect()} == {".gitignore", "sub/.gitignore", ".ignore", "b.ts", "d.ts", "sub/e.ts"}
