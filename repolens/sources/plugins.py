@@ -43,6 +43,7 @@ def _config_globs(tool: str) -> tuple[str, ...]:
 _CONFIGURED = {
     "astro": "", "ava": "", "babel": "@babel/core", "commitlint": "@commitlint/cli", "cypress": "", "drizzle": "drizzle-orm", "eslint": "", "gatsby": "", "jest": "", "karma": "", "next": "", "nuxt": "", "playwright": "@playwright/test",
     "postcss": "", "prettier": "", "rollup": "", "rsbuild": "@rsbuild/core", "rspack": "@rspack/core", "stylelint": "", "svelte": "@sveltejs/kit", "svgo": "", "tailwind": "tailwindcss", "tsup": "", "tsdown": "", "unocss": "", "vite": "", "vitest": "", "webpack": "", "wrangler": "", "hardhat": "", "lint-staged": "", "metro": "react-native", "release": "semantic-release", "capacitor": "@capacitor/core",
+    "contentlayer": "", "kysely": "", "openapi-ts": "openapi-typescript", "oxlint": "", "panda": "@pandacss/dev", "package": "@sanity/pkg-utils", "relay": "relay-compiler", "remark": "remark-cli", "rolldown": "", "svgr": "@svgr/core", "swc": "@swc/core", "syncpack": "", "typedoc": "", "velite": "", "wuchale": "", "cspell": "", "i18next": "", "next-i18next": "", "pm2": "",
 }
 
 # The files that frameworks load by convention.
@@ -116,6 +117,35 @@ _CONVENTIONS = (
     ("plop", ("plop",), ("plopfile.{js,cjs,mjs,ts}",)),
     ("lit", ("lit", "lit-element", "lit-html"), ()),
     ("stryker", ("@stryker-mutator/core", "stryker"), ("**/stryker.conf.{js,mjs,cjs,ts}", "**/stryker.config.{js,mjs,cjs,ts}")),
+    ("biome", ("@biomejs/biome",), ()),
+    ("bun", ("bun-types", "@types/bun"), ("**/*.test.{js,jsx,ts,tsx}", "**/*_test.{js,jsx,ts,tsx}", "**/*.spec.{js,jsx,ts,tsx}", "**/*_spec.{js,jsx,ts,tsx}")),
+    ("c8", ("c8",), ()),
+    ("changesets", ("@changesets/cli",), ()),
+    ("commitizen", ("commitizen",), ()),
+    ("content-collections", ("@content-collections/core", "@content-collections/vite", "@content-collections/next"), ("content-collections.{ts,js,mts,mjs}",)),
+    ("danger", ("danger",), ("**/dangerfile.{js,ts,mjs,cjs}",)),
+    ("dependency-cruiser", ("dependency-cruiser",), (".dependency-cruiser.{js,cjs,mjs}",)),
+    ("graphql-codegen", ("@graphql-codegen/cli",), ("codegen.{ts,js}", "graphql.config.{ts,js}")),
+    ("husky", ("husky",), ()),
+    ("i18next-files", ("i18next", "react-i18next", "vue-i18n", "next-i18next"), ("src/i18n.{ts,js,mjs}", "src/i18n/index.{ts,js}", "i18n.{ts,js,mjs}", "i18n/index.{ts,js}")),
+    ("kysely-files", ("kysely", "kysely-ctl"), ("migrations/**/*.{ts,js}", "src/migrations/**/*.{ts,js}")),
+    ("lefthook", ("lefthook", "@evilmartians/lefthook"), ()),
+    ("lexical", ("lexical", "@lexical/"), ()),
+    ("markdownlint", ("markdownlint", "markdownlint-cli", "markdownlint-cli2"), (".markdownlint-cli2.{cjs,mjs}",)),
+    ("mintlify", ("mint", "mintlify"), ()),
+    ("next-intl", ("next-intl",), ("src/i18n.{ts,js}", "src/i18n/request.{ts,js}", "i18n.{ts,js}", "i18n/request.{ts,js}")),
+    ("nodemon", ("nodemon",), ()),
+    ("nyc", ("nyc",), ()),
+    ("opencode", ("@opencode-ai/sdk",), (".opencode/plugins/**/*.{js,ts,mjs,cjs,mts,cts}",)),
+    ("parcel", ("parcel", "@parcel/"), ()),
+    ("pm2-files", ("pm2",), ("ecosystem.config.{js,cjs}",)),
+    ("pnpm", ("pnpm",), (".pnpmfile.cjs", ".pnpmfile.mjs")),
+    ("rspress", ("rspress", "@rspress/"), ()),
+    ("sentry", ("@sentry/nextjs", "@sentry/react", "@sentry/node", "@sentry/browser"), ("sentry.client.config.{ts,js,mjs}", "sentry.server.config.{ts,js,mjs}", "sentry.edge.config.{ts,js,mjs}")),
+    ("simple-git-hooks", ("simple-git-hooks",), ("simple-git-hooks.{js,cjs}",)),
+    ("tsd", ("tsd",), ("**/*.test-d.{ts,tsx}", "test-d/**/*.{ts,tsx}")),
+    ("typescript", ("typescript",), ()),
+    ("expo-router", ("expo-router",), ("expo-env.d.ts",)),
     ("fumadocs", ("fumadocs-mdx", "fumadocs-core", "fumadocs-ui"), ("source.config.{ts,tsx,js,jsx,mts,mjs,cts,cjs}",)),
 )
 
