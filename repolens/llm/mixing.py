@@ -30,8 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolens.llm.simhash import join_by_key, small
-from repolens.session import materialize
+from repolens.llm.simhash import join_by_key
+from repolens.session import broadcast_if_small, materialize
 
 BLOCK = 32
 #: Sources that are scheduled at once at most, and about how many a bundle has where there are more.
@@ -178,7 +178,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLO
     total = sum(r["n"] for r in some) if few else counts.agg(F.sum("n")).first()[0]
     if weights is not None:
         given = spark.createDataFrame([(k or "", float(w)) for k, w in weights.items()] or [("", float(other))], "unit string, weight double")
-        units = counts.join(small(given), "unit", "left").withColumn("weight", F.coalesce("weight", F.lit(float(other))))
+        units = counts.join(broadcast_if_small(given), "unit", "left").withColumn("weight", F.coalesce("weight", F.lit(float(other))))
     elif few:
         units = spark.createDataFrame([(r["unit"], r["n"], float(w)) for r, w in zip(some, tempered({r["unit"]: r["n"] for r in some}).values())], "unit string, n long, weight double")
     else:

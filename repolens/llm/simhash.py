@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from repolens.llm.text import sliced, text_column, words_of
 from repolens.llm.xxh import xxh64_spans
-from repolens.session import forget, materialize
+from repolens.session import broadcast_if_small, forget, materialize
 
 BITS = 64
 #: Fingerprints in one BK-tree at most.
@@ -279,16 +279,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_by_key(fp, groups, "fp", fp.count()).select(F.col("id").alias("doc_id"), "body", "fp", "root", "component_id")
 
 
-#: Bytes of keys that are broadcast at most; beyond that texts are shuffled to them.
-BROADCAST_BYTES = 32 << 20
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast where its measured size allows it."""
-    n, size = df.agg(F.count(F.lit(1)), F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0)))).first()
-    return F.broadcast(df) if 40 * n + (size or 0) <= BROADCAST_BYTES else df
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """One row of each component of ``groups``, with its columns as they were.
 
@@ -304,13 +294,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     gone = materialize(found.join(kept, same, "left_anti").select(F.col("doc_id").alias("own_id"), F.col("body").alias("own_body")), "gone")
     again = materialize(found.filter("n > 1").join(kept, same, "left_semi").select(F.col("doc_id").alias("own_id"), F.col("body").alias("own_body")), "again")
     mine = F.col(id_col).eqNullSafe(F.col("own_id")) & (body_hash(text_col) == F.col("own_body"))
-    left = docs.join(small(gone), mine, "left_anti")
+    left = docs.join(broadcast_if_small(gone), mine, "left_anti")
     if again.isEmpty():
         return left
-    again = small(again)
+    again = broadcast_if_small(again)
     plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
     once = docs.join(again, mine, "left_semi").select("*", body_hash(text_col).alias("__body"), F.xxhash64(*plain).alias("__row"))
     first = once.groupBy(F.col(id_col).alias("own_id"), F.col("__body").alias("own_body")).agg(F.min("__row").alias("own_row"))
     is_first = F.col(id_col).eqNullSafe(F.col("own_id")) & (F.col("__body") == F.col("own_body")) & (F.col("__row") == F.col("own_row"))
-    once = once.join(small(materialize(first, "first")), is_first, "left_semi").dropDuplicates([id_col, "__body"]).select(*docs.columns)
+    once = once.join(broadcast_if_small(materialize(first, "first")), is_first, "left_semi").dropDuplicates([id_col, "__body"]).select(*docs.columns)
     return left.join(again, mine, "left_anti").unionByName(once)

@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.simhash import body_hash, components, join_by_key, links, name_groups, small
+from repolens.llm.simhash import body_hash, components, join_by_key, links, name_groups
 from repolens.llm.text import give_back, sliced, text_column, words_of
 from repolens.llm.xxh import xxh64_spans
-from repolens.session import materialize
+from repolens.session import broadcast_if_small, materialize
 
 WIDTH = 5
 #: Bits that fingerprints of a first link differ in at most.
@@ -325,7 +325,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
             h, edges = shingle_sets(text_column(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(h))], names=["sig", "shingles"])
 
-    found = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), body_hash(text_col).alias("body")).join(small(materialize(wanted, "wanted")), "body").select("sig", "text")
+    found = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), body_hash(text_col).alias("body")).join(broadcast_if_small(materialize(wanted, "wanted")), "body").select("sig", "text")
     return materialize(found.mapInArrow(run, "sig long, shingles array<long>").dropDuplicates(["sig"]), "sets")
 
 
@@ -356,13 +356,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = _similar(near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), named, docs, text_col)
     joined = components(edges)
     # all other pairs of sets that share a prefix shingle
-    to_root = lambda df, joined: df.join(small(joined.withColumnRenamed("node", "sig")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    to_root = lambda df, joined: df.join(broadcast_if_small(joined.withColumnRenamed("node", "sig")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     rooted = to_root(rows.filter("bits is not null").select("sig", "size", "prefix"), joined).select(F.explode("prefix").alias("key"), "sig", "size", "root")
     first = materialize(rooted.repartition(F.col("key")).sortWithinPartitions("key", "sig").mapInArrow(_first_pairs, "a long, b long, key long"), "candidates")
     pairs = materialize(first.filter("key is null").select("a", "b").distinct(), "pairs")
     large = first.filter("key is not null").select("key", F.col("a").alias("sig"), F.col("b").alias("size"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(large.select("sig")).distinct()
-    maps = rows.filter("bits is not null").select("sig", "size", "bits").join(small(materialize(wanted, "mapped")), "sig", "left_semi")
+    maps = rows.filter("bits is not null").select("sig", "size", "bits").join(broadcast_if_small(materialize(wanted, "mapped")), "sig", "left_semi")
     maps = materialize(maps.groupBy("sig").agg(F.min("size").alias("size"), F.min("bits").alias("bits")), "maps")
     side = lambda c, n: maps.select(F.col("sig").alias(c), F.col("size").alias(f"size{n}"), F.col("bits").alias(f"bits{n}"))
     possible = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "size1", "bits1", "size2", "bits2").mapInArrow(_pruned, "a long, b long")
