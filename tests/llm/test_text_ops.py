@@ -96,6 +96,15 @@ def test_chat_folding(spark):
     assert chat.format_events(events.limit(0)).count() == 0
 
 
+def test_a_very_long_turn(spark):
+    long = "a\\[<b] \n" * 400_000  # longer than a part of output
+    rows = [(1, 0, "user", long, "x"), (1, 1, "assistant", long + "!", "y"), (1, 2, "user", "end", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    got = chat.digests(chat.format_events(chat.as_events(df))).collect()
+    want = hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t, _ in rows).encode()).hexdigest()
+    assert [(r["n_turns"], r["turns_sha256"], r["loss_chars"]) for r in got] == [(3, want, len(long) + 1)]
+
+
 def test_chat_query(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").toPandas().sort_values(["conv_id", "turn"])
     want = {}
