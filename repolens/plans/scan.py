@@ -81,7 +81,8 @@ def build_packages(tree: DataFrame, files: DataFrame, config: Config) -> DataFra
 def mark_entries(files: DataFrame, packages: DataFrame, facts: DataFrame) -> DataFrame:
     """files with is_entry and is_test: by plugin globs, manifest targets and route decorators."""
     p = packages.select("repo_id", F.col("root").alias("pkg_root"), F.col("id").alias("package"), F.col("language").alias("pkg_language"), "entry_pattern", "test_pattern", "route_decorators", "targets")
-    f = files.join(p, ["repo_id", "pkg_root"])
+    # rows of one pattern stand together, so that it is compiled once
+    f = files.join(p, ["repo_id", "pkg_root"]).sortWithinPartitions("entry_pattern", "test_pattern")
     rel = F.when(F.col("pkg_root") == "", F.col("path")).otherwise(F.expr("substring(path, length(pkg_root) + 2)"))
     f = f.withColumn("is_test", F.regexp_like(rel, F.col("test_pattern"))).withColumn("by_glob", F.regexp_like(rel, F.col("entry_pattern")))
     # manifest targets, each the first of its spellings that exists
