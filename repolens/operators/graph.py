@@ -20,18 +20,17 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 
 
 #: A repository of so many edges at most is walked in one task; larger graphs take rounds over all executors.
-GRAPH_EDGES = 10_000
+GRAPH_EDGES = 100_000
 #: Steps along the edges in one round.
 HOPS = 3
 
 
 def split_by_size(edges: DataFrame, most: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """The edges of repositories that one task can walk, and those of larger ones; None where there are none."""
-    counts = materialize(edges.groupBy("repo_id").count(), "sizes")
-    large = counts.filter(F.col("count") > (GRAPH_EDGES if most is None else most)).select("repo_id")
-    found = large.limit(1).count()
-    if not found:
+    large = edges.groupBy("repo_id").count().filter(F.col("count") > (GRAPH_EDGES if most is None else most)).select("repo_id")
+    if large.isEmpty():
         return edges, None
+    large = materialize(large, "large")
     small = edges.join(large, "repo_id", "left_anti")
     return (None if small.isEmpty() else small), edges.join(large, "repo_id", "left_semi")
 
@@ -42,10 +41,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, most_edges: int | None = None)
     Repositories of GRAPH_EDGES at most go through one task each, all others through reachable_by_rounds.
     """
     edges = materialize(distinct_edges(edges), "edges")
-    seeds = materialize(seeds.select("repo_id", "seed_class", "node").distinct(), "seeds")
+    seeds = seeds.select("repo_id", "seed_class", "node").distinct()
     _, large = split_by_size(edges, most_edges)
     if large is None:
         return reachable_per_repo(edges, seeds)
+    seeds = materialize(seeds, "seeds")
     of = large.select("repo_id").distinct()
     rounds = reachable_by_rounds(large, seeds.join(of, "repo_id", "left_semi"))
     return rounds.unionByName(reachable_per_repo(edges.join(of, "repo_id", "left_anti"), seeds.join(of, "repo_id", "left_anti")))
@@ -179,7 +179,7 @@ def _components_per_repo(edges: DataFrame) -> DataFrame:
 
 def on_cycles(edges: DataFrame, rounds: int = 2) -> DataFrame:
     """The edges without those that some ``rounds`` of cutting show to be on no cycle: out of a node nobody points to, or into one that points nowhere."""
-    e = edges
+    e = materialize(edges.select("repo_id", "src", "dst"), "cycles")
     for _ in range(rounds):
         e = e.join(e.select("repo_id", F.col("dst").alias("src")).distinct(), ["repo_id", "src"], "left_semi")
         e = e.join(e.select("repo_id", F.col("src").alias("dst")).distinct(), ["repo_id", "dst"], "left_semi")

@@ -346,16 +346,17 @@ def clone_alpha_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("alpha").alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR text IS NULL")
+@query("SELECT conv_id, turn FROM conversations WHERE conv_id % 7 = 0 OR text IS NULL")
 def content_hash_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is extracted again: files whose (path, content hash) the cache does not hold. Cached facts are marked by their number of lines."""
     ship(spark)
-    path = F.concat(F.lit("d"), "doc_id", F.lit(".css"))
-    docs = table(spark, sf_dir, "documents").select(F.lit("docs").alias("repo_id"), path.alias("path"), "doc_id", F.encode("text", "UTF-8").alias("content"))
-    known = materialize(repositories.extract_facts(docs.filter("content is not null")).withColumn("loc", F.lit(-1)), "cache")
-    changed = docs.withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit(b" changed"))).otherwise(F.col("content")))
+    path = F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn", F.lit(".css"))
+    files = table(spark, sf_dir, "conversations").select(F.lit("r").alias("repo_id"), path.alias("path"), "conv_id", F.encode("text", "UTF-8").alias("content"))
+    known = materialize(repositories.extract_facts(files.filter("content is not null")).withColumn("loc", F.lit(-1)), "cache")
+    changed = files.withColumn("content", F.when(F.col("conv_id") % 7 == 0, F.concat("content", F.lit(b" changed"))).otherwise(F.col("content")))
     fresh = repositories.extract_facts(changed, known).filter("loc >= 0")
-    return fresh.select(F.regexp_extract("path", "d([0-9]+)", 1).cast("long").alias("doc_id"))
+    number = lambda i: F.regexp_extract("path", "c(-?[0-9]+)_(-?[0-9]+)", i).cast("long")
+    return fresh.select(number(1).alias("conv_id"), number(2).alias("turn"))
 
 
 @query("""WITH d AS (SELECT page_id, unnest(string_split(array_to_string(regexp_extract_all(html, 'class="([^"]*)"', 1), ' '), ' ')) AS name FROM pages),
