@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from repolens.llm.text import give_back, hashes_of, text_column, unique_sorted, words_of
 from repolens.session import materialize
 
-BLOCK_BYTES = 12 << 20
-SHARD_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
+SHARD_BYTES = 13 << 20
 #: A context is spread over so many shards at least, and over one in SALT_SHARE of all, so that the share of the pairs
 #: that one frequent context may have in a shard stays the same at any size.
 LEAST_SALTS = 8
