@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import textwrap
 import zlib
@@ -155,6 +156,32 @@ def test_licenses_against_plain_form(spark, edge, none, docs):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_of_texts_without_a_stem(spark):
+    """Texts with none of oracle()'s stems: cues of their own, cues over wrapped lines, paragraphs that only the templates know."""
+    model = licenses.trained()
+    texts = [
+        "GNU software", "Some files are under MPL", licenses.TEMPLATES["isc"][3], wrapped(licenses.TEMPLATES["isc"][3:4], 72, "# "), licenses.TEMPLATES["unlicense"][3],
+        "released into the public\ndomain by its owner", "of the", "in no event", "the software", "work", "", "- . -", "\n\n", "of this software " * 50, "The software is in the source form of the work.",
+    ]
+    assert not any(x in t.lower() for t in texts for x in licenses.STEMS)
+    # pieces of notices without their cues, mixed with other words
+    r = random.Random(5)
+    notices = [re.sub(licenses.CUE, "thing", t).split() for v in licenses.TEMPLATES.values() for t in v]
+    for _ in range(300):
+        words = r.choice(notices)
+        a = r.randrange(len(words))
+        texts.append(" ".join(w if r.random() > 0.15 else "river" for w in words[a : a + r.randint(1, 40)]))
+    names = [[model.classify(p) for p in licenses.paragraphs(t)] for t in texts]
+    assert names[:6] == [["unknown"], ["unknown"], ["isc"], ["isc"], ["unlicense"], ["unlicense"]]
+    assert len({x for n in names for x in n}) > 5
+    want = [
+        (i, ",".join(sorted(set(n) - {licenses.NONE, licenses.UNKNOWN})), sum(bool(re.search(licenses.CUE, p)) for p in licenses.paragraphs(t)), sum(x not in (licenses.NONE, licenses.UNKNOWN) for x in n), n.count(licenses.UNKNOWN))
+        for i, (t, n) in enumerate(zip(texts, names))
+    ]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_license_families():
     model = licenses.trained()
     for name, notices in licenses.TEMPLATES.items():
