@@ -219,12 +219,31 @@ def links(distinct: DataFrame, radius: int = 4, tree_rows: int = TREE_ROWS, wide
     return rows.mapInArrow(lambda it: _linked(it, radius), "a long, b long")
 
 
+#: Links that one task joins at most (16 bytes each); more take rounds over all executors.
+ONE_TASK_LINKS = 500_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (u, v) of a graph: (node, root) for every node that is not its own root."""
+    held = [[batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)] for batch in batches]
+    u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*held) if held else ((), ())))
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    label = smallest_of_components(at[: len(u)], at[len(u) :], len(nodes))
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge: root is the smallest node reachable (signed order).
+    """(node, root) for every node of an edge but the roots: root is the smallest node reachable (signed order).
 
-    Alternates large-star and small-star steps on written tables until the edges no longer change.
+    Up to ONE_TASK_LINKS links are joined in one task: rounds of so few rows are only work for the driver. More alternate
+    large-star and small-star steps on written tables until the edges no longer change.
     """
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if e.count() <= ONE_TASK_LINKS:
+        joined = materialize(e.coalesce(1).mapInArrow(_stars, "node long, root long"), "components")
+        forget(e)
+        return joined
     seen = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from repolens.llm import similar
+from repolens.llm import simhash, similar
 from tests.llm.test_text_ops import brute_fingerprint, lowered
 
 
@@ -67,3 +67,22 @@ def test_stage_on_a_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, sf_dir).collect()) == brute_kept(rows)
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
+def test_small_graphs_take_few_jobs(spark, monkeypatch, shape):
+    """One task joins as the rounds do; every job of a round would hold memory of the driver."""
+    r = random.Random(3)
+    pairs = {
+        "chain": [(i * 7919 % 2003 - 1000, (i + 1) * 7919 % 2003 - 1000) for i in range(300)], "star": [(-5, i) for i in range(200)] + [(9, 9), (3, -5)],
+        "random": [(r.randrange(-200, 200), r.randrange(-200, 200)) for _ in range(180)], "none": [],
+    }[shape]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    context = spark.sparkContext
+    context.setJobGroup(f"components-{shape}", "")
+    got = sorted(map(tuple, simhash.components(edges).collect()))
+    jobs = len(context.statusTracker().getJobIdsForGroup(f"components-{shape}"))
+    context.setJobGroup("rest", "")
+    monkeypatch.setattr(simhash, "ONE_TASK_LINKS", -1)
+    assert got == sorted(map(tuple, simhash.components(edges).collect()))
+    assert jobs <= 8
