@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolens.operators.joins import prefix_owner
+from repolens.session import by_shuffle
 
 LABELS = ("off", "warn", "error")
 CONFIDENCE = ("low", "medium", "high")
@@ -55,7 +56,7 @@ def to_annotations(findings: DataFrame) -> DataFrame:
 
 def by_package(findings: DataFrame, roots: DataFrame) -> DataFrame:
     """findings with ``package``: that of the longest root (repo_id, root, package) above the file, ``.`` where there is none."""
-    owned = prefix_owner(findings, roots.select("repo_id", "root", F.col("package").alias("owner")), F.col("file"))
+    owned = prefix_owner(by_shuffle(findings), by_shuffle(roots.select("repo_id", "root", F.col("package").alias("owner"))), F.col("file"))
     return owned.withColumn("package", F.coalesce("owner", F.lit("."))).drop("owner")
 
 

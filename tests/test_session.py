@@ -1,10 +1,15 @@
 """Shared folders and the tables written there."""
 
 import os
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from repolens import session
+from repolens.operators import clones, graph, resolve
+from repolens.plans import generated, scan
+from repolens.sources import repositories
 
 
 def paths_in(folder):
@@ -36,3 +41,29 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_folder(Unset)
+
+
+def test_tables_that_files_make_look_small_are_not_broadcast(spark):
+    few, many = (session.materialize(spark.range(n).select("id", F.repeat(F.lit("x"), 2000).alias("text")), "wide") for n in (100, 20_000))
+    plan = lambda other: spark.range(10**9).join(other, "id")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan(many)  # 40 MB in a file of some KB: what Spark does by itself
+    assert "BroadcastHashJoin" not in plan(session.by_shuffle(many))
+    assert "BroadcastHashJoin" in plan(session.broadcast_if_small(few)) and "BroadcastHashJoin" not in plan(session.broadcast_if_small(many))
+
+
+def test_a_scan_broadcasts_nothing_that_grows(spark, sf_dir, monkeypatch):
+    plans = []
+
+    def recorded(df, label="step"):
+        plans.append((label, df._jdf.queryExecution().sparkPlan().toString()))
+        return session.materialize(df, label)
+
+    for module in (scan, graph, clones, repositories):
+        monkeypatch.setattr(module, "materialize", recorded)
+    found = scan.scan(generated.tree(spark, sf_dir), generated.parse(generated.CONFIG))
+    w = found.workspace
+    shown = [("findings", found.findings), ("suppressed", found.suppressed), ("coarse", found.package_graph(2, 2)[1]), ("external", w.external)]
+    plans += [(label, df._jdf.queryExecution().sparkPlan().toString()) for label, df in shown]
+    broadcasts = [(label, line.strip()) for label, plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    # of a scan's tables only the ignore rules, a row per repository of measured size, are sent to all executors
+    assert len(plans) > 10 and not [x for x in broadcasts if not re.search(r"Join \[repo_id#\d+\], \[repo_id#\d+\], LeftOuter, BuildRight", x[1])]
