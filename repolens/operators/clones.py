@@ -16,9 +16,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolens.session import broadcast_if_small, materialize
+from repolens.session import by_shuffle, materialize
 
 SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def window_hashes(tokens: np.ndarray, size: int, factor: int) -> np.ndarray:
@@ -50,7 +51,10 @@ def window_hashes(tokens: np.ndarray, size: int, factor: int) -> np.ndarray:
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every token of lists, or of the white-space words of texts, and the number of tokens of each row."""
+    """Hash of every token of lists (of tokens or their hashes), or of the white-space words of texts, and the number of tokens of each row."""
+    if pa.types.is_list(column.type) and pa.types.is_int64(column.type.value_type):  # hashed before
+        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), size
     if not pa.types.is_list(column.type):
         column = pc.ascii_split_whitespace(pc.fill_null(column, ""))
     size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -65,40 +69,134 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return each[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64), size
 
 
-def windows(files: DataFrame, size: int, key: list[str], syms: str = "syms") -> DataFrame:
-    """key columns, start (from 0), h1, h2, prev: a row per window; prev is null at a file's start.
+#: Windows that one task gathers, about, and of how many at a time a task makes its rows.
+SHARE, BUFFER = 2_000_000, 1_000_000
 
-    ``syms`` is an array of tokens, or a text whose white-space words are the tokens. Empty tokens do not count.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _planes(column: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of each value, all first bytes first: the upper ones are alike and compress."""
+    return np.ascontiguousarray(column.view(np.uint8).reshape(len(column), -1)[:, :width].T).tobytes()
+
+
+def _values(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view(np.uint64)
+
+
+def repeated(files: DataFrame, size: int, syms: str = "syms", tokens: Column | None = None, by: list[str] | None = None, of: str | None = None, file: str | None = None, leftmost: bool = False) -> DataFrame:
+    """Groups of equal windows that occur twice or more: (h1, h2, n, n_prev, at_start), or their places (file, start, h1, h2, n).
+
+    ``syms`` is an array of tokens, or a text whose white-space words are the tokens. Empty tokens do not count. ``tokens``
+    is their number, about. Windows of different ``by`` are not equal. n_prev counts the distinct tokens before a group's
+    windows, or of another column's values where ``of`` names it, and at_start those without. ``file``, a whole number,
+    names each place; ``leftmost`` leaves the places of left-maximal groups.
+
+    Windows are shuffled once, packed by ranges of their hash: 10 bytes of hashes, five of the token before, and for places
+    some five more; each task sorts its range. Equal ones of a task's buffer travel as one with their number.
+    """
+    total = files.agg(F.sum(F.octet_length(syms) / 6 if tokens is None else tokens)).first()[0] or 0
+    least = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(1, min(least, int(total // 100_000)), int(total // SHARE))
+    before = not file or leftmost
+
+    def mark(values: np.ndarray, null: np.ndarray) -> np.ndarray:
+        """Five bytes of a hash, 0 for none."""
+        low = values & np.uint64((1 << 40) - 1)
+        return np.where(null, np.uint64(0), np.where(low == 0, np.uint64(1), low))
+
+    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h1, *rest = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(h1)
+        h1, h2, prev, at, start, known = h1[order], *(c[order] for c in rest)
+        n = np.ones(len(h1), dtype=np.uint64)
+        if not file:  # equal ones once
+            same = h1[1:] == h1[:-1]
+            inside = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            few = np.flatnonzero(inside)
+            few = few[np.lexsort((prev[few], h2[few], h1[few]))]
+            if len(few):
+                first = np.concatenate(([True], (h1[few][1:] != h1[few][:-1]) | (h2[few][1:] != h2[few][:-1]) | (prev[few][1:] != prev[few][:-1])))
+                begins = np.flatnonzero(first)
+                n[few[begins]] = np.diff(np.concatenate((begins, [len(few)]))).astype(np.uint64)
+                kept = np.sort(np.concatenate((np.flatnonzero(~inside), few[begins])))
+                h1, h2, prev, at, start, known, n = (c[kept] for c in (h1, h2, prev, at, start, known, n))
+        share = ((h1 >> np.uint64(32)) * np.uint64(shares)) >> np.uint64(32)
+        cuts = np.flatnonzero(np.concatenate(([True], share[1:] != share[:-1])))
+        columns = [(h1, 8), (h2, 2), *([(prev, 5)] if before else []), *([(at, 8), (start, 4), (known, 1)] if file else [(n, 4)])]
+        packs = [[_planes(c[lo:hi], w) for lo, hi in zip(cuts, [*cuts[1:], len(h1)])] for c, w in columns]
+        return pa.RecordBatch.from_arrays([pa.array(share[cuts].astype(np.int32)), *(pa.array(x, type=pa.binary()) for x in packs)], names=names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many_held = [], 0
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)
-                t, many = _tokens(batch.column(len(key)))
+                t, many = _tokens(batch.column(0))
                 ends = np.cumsum(many)
                 row = np.repeat(np.arange(batch.num_rows), many)
                 at = np.flatnonzero(np.arange(len(t)) + size <= ends[row])
                 if not len(at):
                     continue
-                a, b = window_hashes(t, size, 0xD6E8FEB86659FD93)[at], window_hashes(t, size, 0xA0761D6478BD642F)[at]
-                start = at - (ends - many)[row[at]]
-                prev = pa.array(t[np.maximum(at - 1, 0)].view(np.int64), mask=start == 0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(row[at])) for j in range(len(key))), pa.array(start.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), prev], names=[*key, "start", "h1", "h2", "prev"])
-
-    kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in key)
-    return files.select(*key, syms).mapInArrow(run, f"{kinds}, start int, h1 long, h2 long, prev long")
-
-
-def repeated(found: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, h1, h2, n, n_prev, starts_file) of windows that occur twice or more."""
-    by = by or []
-    return found.groupBy(*by, "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("prev").alias("n_prev"), F.count(F.when(F.col("prev").isNull(), 1)).alias("at_start")).filter("n >= 2")
-
-
-def places_of(found: DataFrame, groups: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The windows of ``groups``. Repeated windows are few among all: where they fit a broadcast the windows, whose hashes are made again, need no second shuffle."""
-    return found.join(broadcast_if_small(materialize(groups, "repeated")), [*(by or []), "h1", "h2"])
+                row = row[at]
+                salt, name, value = (pc.fill_null(batch.column(j), 0).to_numpy(zero_copy_only=False).view(np.uint64)[row] for j in (1, 2, 3))
+                start = at - (ends - many)[row]
+                if of:
+                    prev = mark(value, batch.column(3).is_null().to_numpy(zero_copy_only=False)[row])
+                else:
+                    prev = mark(t[np.maximum(at - 1, 0)], start == 0)
+                h1, h2 = (window_hashes(t, size, f)[at] for f in _FACTORS)
+                known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)[row].astype(np.uint64)
+                held.append((h1 ^ salt, h2 & np.uint64(0xFFFF), prev, name, start.astype(np.uint64), known))
+                many_held += len(at)
+                if many_held >= BUFFER:
+                    yield packed(held)
+                    held, many_held = [], 0
+        if held:
+            yield packed(held)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widths = [8, 2, *([5] if before else []), *([8, 4, 1] if file else [4])]
+        found = [[] for _ in widths]
+        for b in batches:
+            for j, w in enumerate(widths):
+                found[j] += [_values(x.as_buffer().to_pybytes(), w) for x in b.column(j + 1)]
+        if not found[0]:
+            return
+        h1, h2, *rest = (np.concatenate(c) for c in found)
+        order = np.lexsort((h2, h1))
+        h1, h2, *rest = h1[order], h2[order], *(c[order] for c in rest)
+        prev = rest.pop(0) if before else None
+        first = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+        begins = np.flatnonzero(first)
+        n = np.add.reduceat(np.ones(len(h1), np.int64) if file else rest[0].astype(np.int64), begins)
+        group, good = np.cumsum(first) - 1, n >= 2
+        if before:
+            inside = np.flatnonzero(good[group])
+            inside = inside[np.lexsort((prev[inside], group[inside]))]
+            g, p = group[inside], prev[inside]
+            other = np.concatenate(([True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])))[: len(g)] & (p != 0)
+            n_prev = np.bincount(g[other], minlength=len(n))
+            times = np.ones(len(g), np.int64) if file else rest[0][inside].astype(np.int64)
+            at_start = np.bincount(g[p == 0], weights=times[p == 0], minlength=len(n)).astype(np.int64)
+            if leftmost:
+                good &= n_prev + at_start > 1
+        if file:
+            rows = np.flatnonzero(good[group])
+            at, start, known = (c[rows] for c in rest)
+            columns = [pa.array(at.view(np.int64), mask=known == 0), pa.array(start.astype(np.int32)), *(pa.array(c[rows].view(np.int64)) for c in (h1, h2)), pa.array(n[group[rows]])]
+        else:
+            columns = [*(pa.array(c[begins][good].view(np.int64)) for c in (h1, h2)), *(pa.array(c[good].astype(np.int64)) for c in (n, n_prev, at_start))]
+        out = pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in kinds.split(", ")])
+        for begin in range(0, out.num_rows, 65_536):
+            yield out.slice(begin, 65_536)
+
+    names = ["share", "h1", "h2", *(["prev"] if before else []), *(["at", "start", "known"] if file else ["n"])]
+    kinds = f"{file} long, start int, h1 long, h2 long, n long" if file else "h1 long, h2 long, n long, n_prev long, at_start long"
+    none = F.lit(None).cast("long")
+    asked = files.select(syms, (F.xxhash64(*by) if by else F.lit(0).cast("long")).alias("_salt"), (F.col(file).cast("long") if file else none).alias("_file"), (F.when(F.col(of).isNotNull(), F.xxhash64(of)) if of else none).alias("_of"))
+    dealt = asked.mapInArrow(deal, ", ".join(f"{x} {'int' if x == 'share' else 'binary'}" for x in names))
+    return dealt.repartitionById(shares, "share").mapInArrow(gather, kinds)
 
 
 def left_maximal(groups: DataFrame) -> DataFrame:
@@ -139,8 +237,6 @@ def renamed_windows(files: DataFrame, size: int, key: list[str], syms: str = "sy
 
 #: Lengths that one pass over the files tries for every group.
 TRIES = 16
-_FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-
 
 class BlockHashes:
     """Hash of any block of a token sequence in constant time, from sums of tokens times powers of an odd factor modulo 2**64."""
@@ -168,7 +264,7 @@ GROUP = ["repo_id", "family", "h1", "h2"]
 def _asked(coded: DataFrame, places: DataFrame, columns: list[str]) -> DataFrame:
     """Files with what is asked of them: (h1, h2, start, columns) of their places, which are no more than their tokens."""
     asks = places.groupBy("repo_id", "family", "path").agg(F.collect_list(F.struct("h1", "h2", "start", *columns)).alias("asks"))
-    return coded.join(asks, ["repo_id", "family", "path"])
+    return coded.join(by_shuffle(asks), ["repo_id", "family", "path"])
 
 
 def common_length(coded: DataFrame, places: DataFrame, size: int) -> DataFrame:
@@ -181,8 +277,8 @@ def common_length(coded: DataFrame, places: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(whole.num_rows):
-                repo, family, syms, asks = (whole.column(j)[i : i + 1] for j in range(4))
-                tokens, _ = _tokens(syms)
+                repo, family, hashes, asks = (whole.column(j)[i : i + 1] for j in range(4))
+                tokens, _ = _tokens(hashes)
                 blocks = BlockHashes(tokens)
                 a = asks.flatten()
                 start, low, high = (a.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "low", "high"))
@@ -192,18 +288,19 @@ def common_length(coded: DataFrame, places: DataFrame, size: int) -> DataFrame:
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(got), TRIES).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([repo.take(pa.array([0] * n)), family.take(pa.array([0] * n)), a.field("h1"), a.field("h2"), lists], names=[*GROUP, "got"])
 
-    ends = places.join(coded.select("repo_id", "family", "path", F.size("syms").alias("tokens")), ["repo_id", "family", "path"])
+    ends = places.join(by_shuffle(coded.select("repo_id", "family", "path", "tokens")), ["repo_id", "family", "path"])
     left = materialize(ends.groupBy(*GROUP).agg(F.lit(size).cast("long").alias("low"), F.min(F.col("tokens") - F.col("start")).cast("long").alias("high")), "lengths")
     done = left.filter("low >= high").select(*GROUP, F.col("low").cast("int").alias("length"))
+    codes = F.transform("syms", lambda x: F.xxhash64(x))  # narrower than the tokens in a shuffle
     while not (left := left.filter("low < high")).isEmpty():
-        answers = _asked(coded, places.join(left, GROUP), ["low", "high"]).select("repo_id", "family", "syms", "asks")
+        answers = _asked(coded.select("repo_id", "family", "path", codes.alias("codes")), places.join(by_shuffle(left), GROUP), ["low", "high"]).select("repo_id", "family", "codes", "asks")
         got = answers.mapInArrow(run, "repo_id string, family string, h1 long, h2 long, got array<long>")
         same = got.groupBy(*GROUP).agg(F.array(*[F.min(F.get("got", F.lit(i))) == F.max(F.get("got", F.lit(i))) for i in range(TRIES)]).alias("same"))
         # how many of the tries all places agree in: the agreement ends once
         agreed = F.coalesce(F.array_position("same", False), F.lit(0))
         agreed = F.when(agreed == 0, TRIES).otherwise(agreed - 1)
         tried = lambda k: F.col("low") + F.ceil((F.col("high") - F.col("low")) * k / TRIES).cast("long")
-        now = left.join(same.select(*GROUP, agreed.alias("k")), GROUP).select(*GROUP, tried(F.col("k")).alias("low"), F.when(F.col("k") == TRIES, F.col("high")).otherwise(tried(F.col("k") + 1) - 1).alias("high"))
+        now = left.join(by_shuffle(same.select(*GROUP, agreed.alias("k"))), GROUP).select(*GROUP, tried(F.col("k")).alias("low"), F.when(F.col("k") == TRIES, F.col("high")).otherwise(tried(F.col("k") + 1) - 1).alias("high"))
         left = materialize(now, "lengths")
         done = done.unionByName(left.filter("low >= high").select(*GROUP, F.col("low").cast("int").alias("length")))
     return done
@@ -243,11 +340,10 @@ def clone_groups(files: DataFrame, min_tokens: int = 30, mode: str = "mild", ski
     plain = lambda t, k: F.concat(k, F.lit("\u0002"), t)
     sym = F.zip_with("texts", "kinds", lambda t, k: F.when(k.isin(alike), F.concat(F.lit("\u0001"), k)).otherwise(plain(t, k)) if alike else plain(t, k))
     names = F.zip_with("texts", "kinds", lambda t, k: F.when(k == "ident", t).otherwise(""))
-    coded = materialize(files.select("repo_id", "family", "path", sym.alias("syms"), names.alias("names"), "lines", "ends"), "tokens")
-    found = windows(coded, min_tokens, ["repo_id", "family", "path"])
-    good = left_maximal(repeated(found, ["repo_id", "family"])).select(*GROUP)
-    places = materialize(places_of(found, good, ["repo_id", "family"]).select(*GROUP, "path", "start"), "places")
-    cut = places.join(common_length(coded, places, min_tokens), GROUP)
+    coded = materialize(files.select("repo_id", "family", "path", sym.alias("syms"), names.alias("names"), "lines", "ends", F.size("texts").alias("tokens"), F.monotonically_increasing_id().alias("file")), "tokens")
+    found = repeated(coded, min_tokens, "syms", F.col("tokens"), ["repo_id", "family"], file="file", leftmost=True)
+    places = materialize(found.join(by_shuffle(coded.select("repo_id", "family", "path", "file")), "file").select(*GROUP, "path", "start"), "places")
+    cut = places.join(by_shuffle(common_length(coded, places, min_tokens)), GROUP)
     # of one file's overlapping blocks the greedy choice from the left stays
     starts = cut.groupBy(*GROUP, "path", "length").agg(F.array_sort(F.collect_set("start")).alias("s"))
     kept = starts.select(*GROUP, "path", "length", F.explode(greedy_starts(F.col("s"), F.col("length"))).alias("start"))
@@ -257,7 +353,7 @@ def clone_groups(files: DataFrame, min_tokens: int = 30, mode: str = "mild", ski
         F.array_sort(F.collect_list(F.struct("order", "start", member.alias("member")))).alias("m"), F.count_distinct(F.regexp_replace("path", "[^/]*$", "")).alias("dirs"), F.min(F.struct("order", "start")).alias("head"))
     if not all_classes:  # the class of the group's first member only
         best = classes.groupBy(*GROUP).agg(F.min("head").alias("head"))
-        classes = classes.join(best, [*GROUP, "head"], "left_semi")
+        classes = classes.join(by_shuffle(best), [*GROUP, "head"], "left_semi")
     classes = classes.filter(F.size("m") >= 2)
     if skip_local:
         classes = classes.filter("dirs > 1")

@@ -309,29 +309,27 @@ x AS (SELECT doc_id, source, i - 1 AS start, w[i : i + 29] AS g, CASE WHEN i > 1
 h AS (SELECT g, count(*) AS n, count(DISTINCT prev) AS n_prev, count(*) FILTER (prev IS NULL) AS at_start, count(DISTINCT source) AS sources FROM x GROUP BY g HAVING count(*) >= 2)"""
 
 
-def document_windows(spark: SparkSession, sf_dir: str, key: list[str]) -> DataFrame:
+def repeated_windows(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     ship(spark)
-    return clones.windows(table(spark, sf_dir, "documents"), 30, key, "text")
+    return clones.repeated(table(spark, sf_dir, "documents"), 30, "text", **how)
 
 
 @query(f"WITH {WINDOW_SQL} SELECT x.doc_id, CAST(x.start AS INTEGER) AS start, h.n FROM x JOIN h USING (g)")
 def clone_windows_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every window of 30 tokens that occurs twice or more, with its number of places."""
-    found = document_windows(spark, sf_dir, ["doc_id"])
-    return clones.places_of(found, clones.repeated(found).select("h1", "h2", "n")).select("doc_id", "start", "n")
+    return repeated_windows(spark, sf_dir, file="doc_id").select("doc_id", "start", "n")
 
 
 @query(f"WITH {WINDOW_SQL} SELECT n, n_prev, count(*) AS groups FROM h WHERE n_prev + at_start > 1 GROUP BY ALL")
 def clone_left_maximal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups that no common token to the left extends, counted by size."""
-    return clones.left_maximal(clones.repeated(document_windows(spark, sf_dir, ["doc_id"]))).groupBy("n", "n_prev").agg(F.count(F.lit(1)).alias("groups"))
+    return clones.left_maximal(repeated_windows(spark, sf_dir)).groupBy("n", "n_prev").agg(F.count(F.lit(1)).alias("groups"))
 
 
 @query(f"WITH {WINDOW_SQL} SELECT n, sources, count(*) AS groups FROM h WHERE sources > 1 GROUP BY ALL")
 def clone_cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups with members in more than one place of origin."""
-    found = document_windows(spark, sf_dir, ["doc_id", "source"])
-    groups = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources")).filter("n >= 2 and sources > 1")
+    groups = repeated_windows(spark, sf_dir, of="source").withColumnRenamed("n_prev", "sources").filter("sources > 1")
     return groups.groupBy("n", "sources").agg(F.count(F.lit(1)).alias("groups"))
 
 
