@@ -2,7 +2,7 @@
 
 Input: ``files(repo_id, path, family, syms array<string>, lines array<int>, ends array<boolean>)``, a row per file.
 Window hashes are made in Arrow batches in time linear in the tokens (two independent rolling hashes), the groups
-by one shuffle of (hash, place) rows; token sequences never leave their file.
+by one shuffle of packed hashes and places; token sequences never leave their file.
 """
 
 from __future__ import annotations
@@ -271,22 +271,27 @@ def common_length(coded: DataFrame, places: DataFrame, size: int) -> DataFrame:
     """(repo_id, family, h1, h2, length): how many tokens all places (GROUP, path, start) of a group share from their starts on.
 
     Every pass tries TRIES lengths between those known to be shared and not: each file answers with one hash a try for
-    its places, so rows are narrow however long the files are, and the range shrinks by TRIES each time.
+    its places, so rows are narrow however long the files are, and the range shrinks by TRIES each time. The answers of
+    256 files are made together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(whole.num_rows):
-                repo, family, hashes, asks = (whole.column(j)[i : i + 1] for j in range(4))
-                tokens, _ = _tokens(hashes)
-                blocks = BlockHashes(tokens)
-                a = asks.flatten()
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
+                # files one after the other: the hash of a block does not depend on its place
+                tokens, many = _tokens(batch.column(2))
+                asks = batch.column(3)
+                row = np.repeat(np.arange(batch.num_rows), asks.value_lengths().to_numpy(zero_copy_only=False))
+                a, blocks, first = asks.flatten(), BlockHashes(tokens), (np.cumsum(many) - many)[row]
                 start, low, high = (a.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "low", "high"))
-                n = len(start)
-                tries = low[:, None] + -(-(high - low)[:, None] * np.arange(1, TRIES + 1)[None, :] // TRIES)
-                got = blocks.of(np.repeat(start, TRIES), tries.ravel())
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(got), TRIES).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([repo.take(pa.array([0] * n)), family.take(pa.array([0] * n)), a.field("h1"), a.field("h2"), lists], names=[*GROUP, "got"])
+                for lo in range(0, len(start), 16_384):
+                    part = slice(lo, lo + 16_384)
+                    tries = low[part, None] + -(-(high - low)[part, None] * np.arange(1, TRIES + 1)[None, :] // TRIES)
+                    got = blocks.of(np.repeat(first[part] + start[part], TRIES), tries.ravel())
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(got), TRIES).cast(pa.list_(pa.int64()))
+                    own, at = a.slice(lo, 16_384), pa.array(row[part])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), own.field("h1"), own.field("h2"), lists], names=[*GROUP, "got"])
 
     ends = places.join(by_shuffle(coded.select("repo_id", "family", "path", "tokens")), ["repo_id", "family", "path"])
     left = materialize(ends.groupBy(*GROUP).agg(F.lit(size).cast("long").alias("low"), F.min(F.col("tokens") - F.col("start")).cast("long").alias("high")), "lengths")
@@ -310,21 +315,41 @@ def _blocks(coded: DataFrame, kept: DataFrame, semantic: bool) -> DataFrame:
     """Blocks (GROUP, path, start, length) with their first and last line, statement ends, renaming class and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for repo, family, path, syms, names, lines, ends, asks in zip(*(c.to_pylist() for c in b.columns)):
-                closed = np.concatenate(([0], np.cumsum(np.array(ends, dtype=np.int64))))
-                rows = []
-                for x in asks:
-                    lo, hi = x["start"], x["start"] + x["length"]
-                    shown = alpha_key([n or i for i, n in enumerate(names[lo:hi])]) if semantic else ()
-                    renamed = xxhash.xxh64_intdigest(",".join(str(k) if n else "" for k, n in zip(shown, names[lo:hi])))
-                    print_ = xxhash.xxh64_intdigest("\u0003".join(syms[lo:hi]).encode(), 42)
-                    rows.append((repo, family, x["h1"], x["h2"], path, lo, x["length"], lines[lo], lines[hi - 1], int(closed[hi] - closed[lo]), renamed >> 1, f"{print_ & 0xFFFFFFFF:08x}"))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in ddl.split(", ")])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):
+                yield blocks(whole.slice(begin, 256))
+
+    def blocks(b: pa.RecordBatch) -> pa.RecordBatch:
+        syms, lines, ends, asks = (b.column(j) for j in range(3, 7))
+        names = b.column(7) if semantic else syms  # else all of one renaming class
+        many = syms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(b.num_rows), asks.value_lengths().to_numpy(zero_copy_only=False))
+        a = asks.flatten()
+        start, length = (a.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "length"))
+        lo = (np.cumsum(many) - many)[row] + start
+        hi = lo + length
+        closed = np.concatenate(([0], np.cumsum(ends.flatten().to_numpy(zero_copy_only=False).astype(np.int64))))
+        line = lines.flatten().to_numpy(zero_copy_only=False)
+        coded = [x.flatten().dictionary_encode() for x in (syms, names)]
+        (sym, name), (words, shown) = ([x.indices.to_numpy(zero_copy_only=False) for x in coded], [x.dictionary.to_pylist() for x in coded])
+        prints, classes, out = {}, {}, ([], [])
+        for x, y in zip(lo.tolist(), hi.tolist()):
+            key = sym[x:y].tobytes()
+            if (print_ := prints.get(key)) is None:  # members of a group are mostly alike
+                print_ = prints[key] = f"{xxhash.xxh64_intdigest('\u0003'.join([words[i] for i in sym[x:y].tolist()]).encode(), 42) & 0xFFFFFFFF:08x}"
+            key = name[x:y].tobytes()
+            if (renamed := classes.get(key)) is None:
+                own = [shown[i] for i in name[x:y].tolist()]
+                first = alpha_key([n or i for i, n in enumerate(own)]) if semantic else ()
+                renamed = classes[key] = xxhash.xxh64_intdigest(",".join(str(k) if n else "" for k, n in zip(first, own))) >> 1
+            out[0].append(renamed)
+            out[1].append(print_)
+        at = pa.array(row)
+        columns = [b.column(0).take(at), b.column(1).take(at), a.field("h1"), a.field("h2"), b.column(2).take(at), a.field("start"), a.field("length"), pa.array(line[lo]), pa.array(line[hi - 1]), pa.array((closed[hi] - closed[lo]).astype(np.int32)), pa.array(out[0], type=pa.int64()), pa.array(out[1], type=pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in ddl.split(", ")])
 
     ddl = "repo_id string, family string, h1 long, h2 long, path string, start int, length int, start_line int, end_line int, statements int, alpha long, fingerprint string"
-    kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[x.split()[1]] for x in ddl.split(", ")]
-    return _asked(coded, kept, ["length"]).select("repo_id", "family", "path", "syms", "names", "lines", "ends", "asks").mapInArrow(run, ddl)
+    return _asked(coded, kept, ["length"]).select("repo_id", "family", "path", "syms", "lines", "ends", "asks", *(["names"] if semantic else [])).mapInArrow(run, ddl)
 
 
 def clone_groups(files: DataFrame, min_tokens: int = 30, mode: str = "mild", skip_local: bool = False, all_classes: bool = False) -> DataFrame:
@@ -352,8 +377,8 @@ def clone_groups(files: DataFrame, min_tokens: int = 30, mode: str = "mild", ski
     classes = kept.groupBy(*GROUP, "length", "alpha", "fingerprint").agg(
         F.array_sort(F.collect_list(F.struct("order", "start", member.alias("member")))).alias("m"), F.count_distinct(F.regexp_replace("path", "[^/]*$", "")).alias("dirs"), F.min(F.struct("order", "start")).alias("head"))
     if not all_classes:  # the class of the group's first member only
-        best = classes.groupBy(*GROUP).agg(F.min("head").alias("head"))
-        classes = classes.join(by_shuffle(best), [*GROUP, "head"], "left_semi")
+        best = F.min_by(F.struct("length", "fingerprint", "m", "dirs"), "head").alias("best")
+        classes = classes.groupBy(*GROUP).agg(best).select(*GROUP, "best.*")
     classes = classes.filter(F.size("m") >= 2)
     if skip_local:
         classes = classes.filter("dirs > 1")

@@ -5,9 +5,13 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from repolens import session
 from repolens.operators import clones
-from repolens.plans import table_queries
+from repolens.plans import generated, table_queries
 from repolens.session import ship
+from repolens.sources import repositories
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +55,31 @@ def test_windows_are_shuffled_once_and_packed(spark, sf_dir):
     for name in ("clone_windows_exact", "clone_left_maximal", "clone_cross_source"):
         plan = table_queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
         assert "share" in plan and "Join" not in plan and plan.count("Exchange") - plan.count("hashpartitioning(n") == 1, plan
+
+
+@pytest.mark.parametrize("mode", ["exact", "semantic"])
+def test_groups_are_joined_by_shuffle_and_blocks_made_once(spark, sf_dir, monkeypatch, mode):
+    ship(spark)
+    plans = []
+    plan_of = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+
+    def recorded(df, label="step"):
+        plans.append(plan_of(df))
+        return session.materialize(df, label)
+
+    monkeypatch.setattr(clones, "materialize", recorded)
+    streams = repositories.token_streams(repositories.source_files(generated.tree(spark, sf_dir).filter("repo_id = 'g1'")))
+    groups = clones.clone_groups(streams, 20, mode)
+    plans.append(plan_of(groups))
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans if "part.parquet" not in p)
+    assert plans[-1].count("MapInArrow") == 1
+    # members of a group show the same tokens from their starts on, one more they do not all show
+    words = {(r.repo_id, r.path): list(zip(r.texts, r.kinds)) for r in streams.collect()}
+    alike = {"exact": (), "semantic": ("num", "str", "ident")}[mode]
+    coded = lambda t: [k if k in alike else (k, x) for x, k in t]
+    rows = groups.select("repo_id", "length", F.explode("members").alias("m"), "fingerprint").collect()
+    assert rows
+    for r in rows:
+        block = coded(words[r.repo_id, r.m.path][r.m.start : r.m.start + r.length])
+        assert len(block) == r.length
+        assert coded(words[r.repo_id, (first := next(x for x in rows if (x.repo_id, x.fingerprint, x.length) == (r.repo_id, r.fingerprint, r.length))).m.path][first.m.start : first.m.start + r.length]) == block
