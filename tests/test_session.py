@@ -67,3 +67,20 @@ def test_a_scan_broadcasts_nothing_that_grows(spark, sf_dir, monkeypatch):
     broadcasts = [(label, line.strip()) for label, plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
     # of a scan's tables only the ignore rules, a row per repository of measured size, are sent to all executors
     assert len(plans) > 10 and not [x for x in broadcasts if not re.search(r"Join \[repo_id#\d+\], \[repo_id#\d+\], LeftOuter, BuildRight", x[1])]
+
+
+def test_rounds_over_a_large_graph_broadcast_nothing(spark, monkeypatch):
+    plans = []
+
+    def recorded(df, label="step"):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return session.materialize(df, label)
+
+    monkeypatch.setattr(graph, "materialize", recorded)
+    pairs = [(i, i // 3) for i in range(1, 200)] + [(i // 3, i) for i in range(1, 200, 7)]
+    edges = spark.createDataFrame([("r", f"p{a}", f"p{b}") for a, b in pairs], "repo_id string, src string, dst string")
+    found = {r.node: (r.comp, r.size) for r in graph.strong_components(edges, 10).collect()}
+    want = {x: (part[0], len(part)) for part in graph.tarjan((f"p{a}", f"p{b}") for a, b in pairs if a != b) for x in part}
+    assert found == want and len(plans) > 10
+    # the names of the large graphs are few, their nodes and edges are not
+    assert not [p for p in plans if re.search(r"BroadcastHashJoin \[repo_id#\d+, ", p)]
